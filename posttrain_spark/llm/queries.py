@@ -17,6 +17,28 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every text under unigrams and under the backoff automaton."""
+    from .lm import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"), order=2)
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text: plain patterns and literals assigned to sensitive names."""
+    from .secrets import scan_documents
+
+    return scan_documents(_table(spark, sf_dir, "documents"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, by its inferred mixture of languages."""
+    from .langid import identify, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return identify(docs, train(docs))
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BPE ids of every text and what they decode to, by digest."""
     from .bpe import encode_documents
@@ -42,7 +64,7 @@ def op10_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_bpe_codec, op9_line_dedup, op10_simhash_classes)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_secret_scan, op3_language_id, op8_bpe_codec, op9_line_dedup, op10_simhash_classes)}
 
 
 OP9_SQL = """
