@@ -39,6 +39,20 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, train(docs))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule counts and verdict of every document, with the verdict on its host."""
+    from .quality import judge
+
+    return judge(_table(spark, sf_dir, "documents")).drop("host_rate")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every text."""
+    from .licenses import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BPE ids of every text and what they decode to, by digest."""
     from .bpe import encode_documents
@@ -64,7 +78,7 @@ def op10_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_secret_scan, op3_language_id, op8_bpe_codec, op9_line_dedup, op10_simhash_classes)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_secret_scan, op3_language_id, op6_quality_rules, op7_license_scan, op8_bpe_codec, op9_line_dedup, op10_simhash_classes)}
 
 
 OP9_SQL = """
@@ -87,5 +101,44 @@ GROUP BY doc_id
 """
 
 
+OP6_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3))) AS i FROM docs)
+), twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM windows) WHERE c >= 2
+), covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS dup
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM docs)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), counts AS (
+  SELECT docs.doc_id, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(dup, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(covered.n, 0) AS n_repeat_words
+  FROM docs LEFT JOIN lines ON lines.doc_id = docs.doc_id LEFT JOIN covered ON covered.doc_id = docs.doc_id
+), failed AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+         n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR n_symbols > n_words * 0.25 OR n_dup_lines > n_lines * 0.5 AS any_failed
+  FROM counts
+), hosts AS (
+  SELECT source, count(*) AS n, count(*) FILTER (WHERE any_failed) AS f FROM failed GROUP BY source
+), overall AS (
+  SELECT sum(f) / sum(n) AS m, sum(n) AS n FROM hosts
+), spread AS (
+  SELECT m, sum(hosts.n * (f / hosts.n - m) * (f / hosts.n - m)) / any_value(overall.n) AS v FROM hosts, overall GROUP BY m
+), prior AS (
+  SELECT m, CASE WHEN v <= 0 THEN 1e6 ELSE least(1e6, greatest(1.0, m * (1 - m) / v - 1)) END AS k FROM spread
+), rates AS (
+  SELECT source, (f + m * k) / (n + k) AS rate FROM hosts, prior
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate < 0.75 AS kept
+FROM failed JOIN rates ON failed.source IS NOT DISTINCT FROM rates.source
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": OP9_SQL}
+    return {"op6_quality_rules": OP6_SQL, "op9_line_dedup": OP9_SQL}
