@@ -39,6 +39,13 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, train(docs))
 
 
+def op4_wavelet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every text, written as wavelet matrix shards and read back."""
+    from .wavelet import encode_to_shards
+
+    return encode_to_shards(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=0)[0]
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts and verdict of every document, with the verdict on its host."""
     from .quality import judge
@@ -78,7 +85,7 @@ def op10_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_secret_scan, op3_language_id, op6_quality_rules, op7_license_scan, op8_bpe_codec, op9_line_dedup, op10_simhash_classes)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_secret_scan, op3_language_id, op4_wavelet_ids, op6_quality_rules, op7_license_scan, op8_bpe_codec, op9_line_dedup, op10_simhash_classes)}
 
 
 OP9_SQL = """
