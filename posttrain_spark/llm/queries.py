@@ -46,6 +46,14 @@ def op4_wavelet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_to_shards(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=0)[0]
 
 
+def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, exactly or paraphrased, with the item and the evidence."""
+    from .decontam import find_leaks, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return find_leaks(docs, train(docs, _table(spark, sf_dir, "benchmark")))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts and verdict of every document, with the verdict on its host."""
     from .quality import judge
@@ -85,7 +93,7 @@ def op10_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_secret_scan, op3_language_id, op4_wavelet_ids, op6_quality_rules, op7_license_scan, op8_bpe_codec, op9_line_dedup, op10_simhash_classes)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_secret_scan, op3_language_id, op4_wavelet_ids, op5_benchmark_leaks, op6_quality_rules, op7_license_scan, op8_bpe_codec, op9_line_dedup, op10_simhash_classes)}
 
 
 OP9_SQL = """
