@@ -333,7 +333,8 @@ def encode_documents(docs: DataFrame, path: str, ids: bool = False) -> DataFrame
             "decoded_sha256": [sha(y) for _, y in got],
         }
         if ids:
-            out["ids"] = [list(map(int, x.split())) for x, _ in got]
+            flat = [np.fromstring(x, np.int32, sep=" ") for x, _ in got]
+            out["ids"] = pa.ListArray.from_arrays(np.cumsum([0, *map(len, flat)], dtype=np.int32), np.concatenate(flat))
         return out
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids

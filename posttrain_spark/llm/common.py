@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 ROOT = Path(__file__).resolve().parents[2]
 #: Input batches handed to Python: rows and bytes, whichever is reached first.
@@ -91,23 +93,34 @@ def doc_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
-    """Applies ``fn`` (batch -> columns by name) to every Arrow batch."""
-    arrow = arrow_schema(df.sparkSession, schema)
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | pa.RecordBatch], schema: str | StructType) -> DataFrame:
+    """Applies ``fn`` (batch -> columns by name, or a batch) to every Arrow batch."""
+    arrow = arrow_schema(schema) if isinstance(schema, str) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_pydict(fn(batch), schema=arrow)
+                out = fn(batch)
+                yield pa.RecordBatch.from_pydict(out, schema=arrow) if arrow else out
 
     return df.mapInArrow(run, schema)
 
 
-def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+def arrow_schema(schema: str | StructType) -> pa.Schema:
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return to_arrow_schema(schema)
 
-    return to_arrow_schema(StructType.fromDDL(ddl))
+
+def keep_rows(docs: DataFrame, keep: Callable[[list[str | None]], list[bool]]) -> DataFrame:
+    """The rows, with all their columns, whose text ``keep`` says yes to."""
+    prepare(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch.column(at).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def flat_offsets(lengths: list[int] | np.ndarray) -> np.ndarray:

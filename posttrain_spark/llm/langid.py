@@ -18,10 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, map_batches, prepare
+from .common import arrow_schema, keep_rows, map_batches, prepare
 
 UNKNOWN = "und"
 #: Hash buckets of n-grams, and the n-gram lengths.
@@ -181,7 +181,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         rate = F.when(F.col("lang") == name, F.lit(min(1.0, per_language / sizes[name]))).otherwise(rate)
     unit = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
     sample = labelled.filter(unit < rate).select("lang", "text").repartition(16)
-    schema = arrow_schema(spark, "lang string, counts binary")
+    schema = arrow_schema("lang string, counts binary")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -201,17 +201,14 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     return Model(languages, table)
 
 
-def _shared(spark: SparkSession, model: Model):
-    return spark.sparkContext.broadcast(model)
-
-
 def identify(docs: DataFrame, model: Model, penalty: float = 1.0) -> DataFrame:
     """Predicts the language of every whole text from its text alone.
 
     Returns ``doc_id``, ``held_out``, ``lang_pred`` (``und`` for null texts, texts without a letter, and if no
     language was learned), ``score``, the share of that language, and ``mixture``, all shares from 0.01 on.
     """
-    shared = _shared(docs.sparkSession, model)
+    prepare(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> dict:
         got = shared.value.predict(batch.column(1).to_pylist(), penalty)
@@ -224,3 +221,9 @@ def identify(docs: DataFrame, model: Model, penalty: float = 1.0) -> DataFrame:
         }
 
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, held_out boolean, lang_pred string, score double, mixture string")
+
+
+def keep_identified(docs: DataFrame, model: Model, min_share: float = 0.5, penalty: float = 1.0) -> DataFrame:
+    """The documents, with all their columns, in which some language has at least ``min_share``; null texts and texts without a letter go."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return keep_rows(docs, lambda texts: [x != UNKNOWN and share >= min_share for x, share, _ in shared.value.predict(texts, penalty)])

@@ -74,7 +74,7 @@ def twice_filter(texts: DataFrame, filter_bits: int) -> Broadcast:
     """The merged twice filter over the line keys of all texts, broadcast."""
     spark = texts.sparkSession
     per = filter_bits // SEGMENTS >> 3
-    out = arrow_schema(spark, "segment int, once binary, twice binary")
+    out = arrow_schema("segment int, once binary, twice binary")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twin, held, n = None, [], 0
@@ -117,7 +117,7 @@ def twice_filter(texts: DataFrame, filter_bits: int) -> Broadcast:
         for s, (_, twice) in kept.items():
             yield pa.RecordBatch.from_pydict({"segment": [s], "twice": [pack(twice.tobytes())]}, schema=merged)
 
-    merged = arrow_schema(spark, "segment int, twice binary")
+    merged = arrow_schema("segment int, twice binary")
     rows = texts.select("text").mapInArrow(scan, "segment int, once binary, twice binary").repartition(min(SEGMENTS, partitions(spark)), "segment").mapInArrow(merge, "segment int, twice binary").collect()
     whole = np.zeros(filter_bits >> 3, np.uint8)
     for s, t in rows:
@@ -164,53 +164,73 @@ def confirmed_lines(texts: DataFrame, min_docs: int, min_chars: int, filter_bits
     return suspects, counted.filter(F.col("n_docs") >= min_docs)
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none", filter_bits: int = 1 << 27, broadcast_rows: int = 1 << 20) -> DataFrame:
-    """Drops lines whose key occurs in at least ``min_docs`` documents (rows; a key counts once in each).
+def _stripped(doc: int | None, text: str, drop: dict[bytes, int | None], keep: str, min_chars: int) -> tuple[int, int, str]:
+    """Lines before, lines dropped, and what stays, of one document."""
+    lines = text.split("\n")
+    left, seen = [], set()
+    for line, key in zip(lines, line_keys(text), strict=True):
+        if len(key) >= min_chars and (d := digest(key)) in drop:
+            if keep == "none" or drop[d] != doc or d in seen:
+                continue
+            seen.add(d)
+        left.append(line)
+    return len(lines), len(lines) - len(left), "\n".join(left)
 
-    ``keep="none"`` drops them everywhere; ``keep="first"`` leaves the first occurrence: the first such line of
-    the document with the smallest ``doc_id`` (of every row with that id, if ids repeat; a null id is never
-    first unless all are null). Keys shorter than ``min_chars`` code points, and empty keys, always stay. Null
-    and empty texts are one empty line. Returns ``doc_id``, ``n_lines`` (before), ``n_dropped`` and ``kept``,
-    the remaining lines joined by a newline ("" if none remain).
-    """
+
+def _map_stripped(docs: DataFrame, make, schema: str, min_docs: int, min_chars: int, keep: str, filter_bits: int, broadcast_rows: int) -> DataFrame:
+    """``make(batch, results)`` for all batches of ``docs``, the results being those of ``_stripped``."""
     if keep not in ("none", "first"):
         raise ValueError(f"keep must be 'none' or 'first', not {keep!r}")
     spark = docs.sparkSession
     prepare(spark)
-    texts = doc_texts(docs)
-    suspects, confirmed = confirmed_lines(texts, min_docs, max(1, min_chars), filter_bits)
+    least = max(1, min_chars)
+    suspects, confirmed = confirmed_lines(doc_texts(docs), min_docs, least, filter_bits)
     confirmed = materialize(confirmed, "repeated-lines")
-    schema = "doc_id long, n_lines long, n_dropped long, kept string"
-
-    def strip(doc: int | None, text: str, drop: dict[bytes, int | None]) -> tuple[int, int, str]:
-        lines = text.split("\n")
-        left, seen = [], set()
-        for line, key in zip(lines, line_keys(text), strict=True):
-            if len(key) >= max(1, min_chars) and (d := digest(key)) in drop:
-                if keep == "none" or drop[d] != doc or d in seen:
-                    continue
-                seen.add(d)
-            left.append(line)
-        return len(lines), len(lines) - len(left), "\n".join(left)
-
-    def columns(batch: pa.RecordBatch, got: list[tuple[int, int, str]]) -> dict:
-        return {"doc_id": batch.column(0), "n_lines": [x for x, _, _ in got], "n_dropped": [x for _, x, _ in got], "kept": [x for _, _, x in got]}
-
+    names = docs.columns
+    at, id_at = names.index("text"), names.index("doc_id")
+    columns = lambda batch: (batch.column(id_at).to_pylist(), [t or "" for t in batch.column(at).to_pylist()])
     if confirmed.count() <= broadcast_rows:
         shared = spark.sparkContext.broadcast({bytes(d): f for d, f in confirmed.select("digest", "first_doc").collect()})
 
-        def run(batch: pa.RecordBatch) -> dict:
-            drop = shared.value
-            return columns(batch, [strip(i, t, drop) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)])
+        def run(batch: pa.RecordBatch) -> dict | pa.RecordBatch:
+            return make(batch, [_stripped(i, t, shared.value, keep, least) for i, t in zip(*columns(batch), strict=True)])
 
-        return map_batches(texts, run, schema)
+        return map_batches(docs, run, schema)
 
     # Few digests a document; the join on the digest is skewed by hot lines, which adaptive execution splits.
     hits = suspects.join(confirmed, "digest").groupBy("doc_id").agg(F.collect_list(F.struct("digest", "first_doc")).alias("hits"))
-    both = texts.join(hits, texts.doc_id.eqNullSafe(hits.doc_id), "left").select(texts.doc_id, "text", "hits")
+    both = docs.join(hits, docs.doc_id.eqNullSafe(hits.doc_id), "left").select(*(docs[c] for c in names), hits["hits"])
 
-    def run_joined(batch: pa.RecordBatch) -> dict:
-        got = [strip(i, t, {h["digest"]: h["first_doc"] for h in hs or ()}) for i, t, hs in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-        return columns(batch, got)
+    def run_joined(batch: pa.RecordBatch) -> dict | pa.RecordBatch:
+        drops = [{h["digest"]: h["first_doc"] for h in hs or ()} for hs in batch.column(len(names)).to_pylist()]
+        return make(batch, [_stripped(i, t, d, keep, least) for i, t, d in zip(*columns(batch), drops, strict=True)])
 
     return map_batches(both, run_joined, schema)
+
+
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none", filter_bits: int = 1 << 27, broadcast_rows: int = 1 << 20) -> DataFrame:
+    """Drops lines whose key occurs in at least ``min_docs`` documents (rows; a key counts once in each).
+
+    ``keep="none"`` drops them everywhere; ``keep="first"`` leaves the first occurrence: the first such line of
+    the document with the smallest ``doc_id`` (of every row with that id, if ids repeat; a null id is never
+    first unless all are null). Keys shorter than ``min_chars`` code points, and empty keys, always stay. Null
+    and empty texts are one empty line. Returns ``doc_id``, ``n_lines`` (before), ``n_dropped`` and ``kept``,
+    the remaining lines joined by a newline ("" if none remain).
+    """
+
+    def make(batch: pa.RecordBatch, got: list[tuple[int, int, str]]) -> dict:
+        return {"doc_id": batch.column(0), "n_lines": [x for x, _, _ in got], "n_dropped": [x for _, x, _ in got], "kept": [x for _, _, x in got]}
+
+    return _map_stripped(doc_texts(docs), make, "doc_id long, n_lines long, n_dropped long, kept string", min_docs, min_chars, keep, filter_bits, broadcast_rows)
+
+
+def strip_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none", filter_bits: int = 1 << 27, broadcast_rows: int = 1 << 20) -> DataFrame:
+    """The documents, with all their columns, without the lines that ``dedup_lines`` drops. A null text becomes empty."""
+    names = docs.columns
+    at = names.index("text")
+
+    def make(batch: pa.RecordBatch, got: list[tuple[int, int, str]]) -> pa.RecordBatch:
+        kept = pa.array([x for _, _, x in got], batch.schema.field(at).type)
+        return pa.RecordBatch.from_arrays([kept if k == at else batch.column(k) for k in range(len(names))], names)
+
+    return _map_stripped(docs, make, docs.schema, min_docs, min_chars, keep, filter_bits, broadcast_rows)

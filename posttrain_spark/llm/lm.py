@@ -73,7 +73,7 @@ CHUNK = "chunk string, doc_ids array<long>, sizes binary, words binary, tokens b
 
 def write_chunks(docs: DataFrame) -> DataFrame:
     """The corpus as chunks: ids and lengths of the texts, hashes of the chunk's words, and the coded tokens."""
-    out = arrow_schema(docs.sparkSession, CHUNK)
+    out = arrow_schema(CHUNK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int | None] = []
@@ -201,7 +201,7 @@ def count_ngrams(chunks: DataFrame, order: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"chunk": [None], "bucket": [b], "totals": [None], "tokens": [int(total[single].sum())], "types": [int((total[single] > 0).sum())]}, schema=given)
 
     give = "chunk string, bucket int, totals binary, tokens long, types long"
-    asked, given = arrow_schema(spark, ask), arrow_schema(spark, give)
+    asked, given = arrow_schema(ask), arrow_schema(give)
     dealt = chunks.mapInArrow(request, ask).repartition(min(n, max(partitions(spark), n // 8)), "bucket").sortWithinPartitions("bucket")
     return materialize(dealt.mapInArrow(answer, give), "lm-counts")
 
@@ -249,7 +249,7 @@ def score_documents(docs: DataFrame, order: int = 2, mass: tuple[float, ...] = M
     union = chunks.withColumn("bucket", F.lit(-1)).withColumn("totals", F.lit(None).cast("binary")).unionByName(counts.filter("chunk is not null").select("chunk", "bucket", "totals"), allowMissingColumns=True)
     dealt = union.repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", "bucket")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = arrow_schema(spark, schema)
+    out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (head, *rows) in _grouped(batches, "chunk"):

@@ -104,7 +104,7 @@ def near_links(prints: DataFrame, radius: int = 2) -> DataFrame:
     hidden = [[k for k in range(BITS) if not m >> k & 1] for m in masks(radius)]
     keyed = prints.select("fp", "rep", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in table])).alias("t", "key"))
     dealt = keyed.repartition(partitions(spark), "t", "key").sortWithinPartitions("t", "key")
-    out = arrow_schema(spark, "a long, b long")
+    out = arrow_schema("a long, b long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -156,3 +156,18 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     named = reps.join(found, reps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     out = prints.join(named, "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Ids of dropped documents that are broadcast at most (counted first; 8 bytes each); more are joined by shuffle.
+BROADCAST_IDS = 1 << 22
+
+
+def keep_representatives(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
+    """One document of each class stays, the one of the smallest ``doc_id``, with all its columns.
+
+    Rows that share an id count as one document; rows of a null id stay.
+    """
+    classes = materialize(near_duplicates(docs, words, radius).filter("doc_id <> component_id").select(F.col("doc_id").alias("dropped_id")).distinct(), "dropped")
+    if classes.count() <= BROADCAST_IDS:
+        classes = F.broadcast(classes)
+    return docs.join(classes, docs.doc_id == classes.dropped_id, "left_anti")

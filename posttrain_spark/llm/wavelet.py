@@ -236,7 +236,7 @@ def write_shards(docs: DataFrame, path: str, at: str, end_id: int = 0, shard_ids
     tie = F.xxhash64("text").alias("tie")  # equal ids keep one order and can be dealt to several tasks
     ordered = doc_texts(docs).select("doc_id", "text", tie).repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     schema = "part int, seq int, file string, n_docs long, n_ids long"
-    out = arrow_schema(spark, schema)
+    out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
@@ -301,7 +301,7 @@ def read_shards(shards: DataFrame, at: str) -> DataFrame:
     order = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     dealt = shards.withColumn("before", F.coalesce(F.sum("n_ids").over(order), F.lit(0).cast("long"))).select("part", "file", "before").repartition(partitions(spark))
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    out = arrow_schema(spark, schema)
+    out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
