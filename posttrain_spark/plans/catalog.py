@@ -1,15 +1,21 @@
-"""The registered queries and their SQL."""
+"""The registered queries of the data operators, and their SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from . import chat_queries, data_queries  # noqa: F401  (they register their queries)
+from .base import QUERIES, SQL, Query
 
 
-def queries():
-    return {}
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word overlap of each conversation's answers with its last question."""
+    return chat_queries.h14_word_jaccard(spark, sf_dir)
 
 
-def oracle_sql():
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
