@@ -8,18 +8,29 @@ from pyspark.sql import functions as F
 from .common import materialize, release
 
 
+#: Parts that the links of one node are dealt to, so that a hub is no single task's.
+SALTS = 16
+
+
+def _with_lowest(links: DataFrame, low: DataFrame) -> DataFrame:
+    """``links`` (a, b) with the value m that ``low`` (a, m) has for a; the links of a hub are dealt to ``SALTS`` parts."""
+    salted = links.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    copies = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, ["a", "salt"]).select("a", "b", "m")
+
+
 def _largest(edges: DataFrame) -> DataFrame:
     """Large star: every node links its larger neighbours to its smallest one (itself included)."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _with_lowest(both.filter("b > a"), low).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _smallest(edges: DataFrame) -> DataFrame:
     """Small star: every node links its smaller neighbours, and itself, to the smallest one."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     low = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = _with_lowest(down, low).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(low.select("a", F.col("m").alias("b")))
 
 
