@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -25,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..sources.storage import fresh_path, materialize, release, shared_dir  # noqa: F401  (the operators take them from here)
+
 ROOT = Path(__file__).resolve().parents[2]
 #: Input batches handed to Python: rows and bytes, whichever is reached first.
 BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
@@ -54,36 +55,6 @@ def prepare(spark: SparkSession) -> None:
         sc._posttrain_shipped = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one if unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="posttrain-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    at = fresh_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(at)
-    out = spark.read.schema(df.schema).parquet(at)
-    out._posttrain_path = at
-    return out
-
-
-def release(df: DataFrame) -> None:
-    """Deletes what ``materialize`` wrote for ``df``."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._posttrain_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -198,8 +198,9 @@ def _map_stripped(docs: DataFrame, make, schema: str, min_docs: int, min_chars:
         return map_batches(docs, run, schema)
 
     # Few digests a document; the join on the digest is skewed by hot lines, which adaptive execution splits.
-    hits = suspects.join(confirmed, "digest").groupBy("doc_id").agg(F.collect_list(F.struct("digest", "first_doc")).alias("hits"))
-    both = docs.join(hits, docs.doc_id.eqNullSafe(hits.doc_id), "left").select(*(docs[c] for c in names), hits["hits"])
+    name = "_" * max(map(len, names)) + "hits"  # longer than any column's
+    hits = suspects.join(confirmed, "digest").groupBy("doc_id").agg(F.collect_list(F.struct("digest", "first_doc")).alias(name))
+    both = docs.join(hits, docs.doc_id.eqNullSafe(hits.doc_id), "left").select(*(docs[c] for c in names), hits[name])
 
     def run_joined(batch: pa.RecordBatch) -> dict | pa.RecordBatch:
         drops = [{h["digest"]: h["first_doc"] for h in hs or ()} for hs in batch.column(len(names)).to_pylist()]

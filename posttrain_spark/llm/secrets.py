@@ -27,6 +27,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "literal")
 
+#: A constant of more characters or literals than this is not put in for its name.
+LONGEST, MOST = 4096, 16
 #: How sensitive a part of a name is; a name's score is the largest of its parts and of neighbouring parts joined.
 NAME_PARTS = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "token": 1.0, "apikey": 1.0, "credential": 1.0, "credentials": 1.0, "privatekey": 1.0, "secretkey": 1.0, "accesskey": 1.0, "authkey": 1.0, "signingkey": 1.0, "encryptionkey": 1.0, "connectionstring": 0.8, "auth": 0.7, "bearer": 0.9, "private": 0.5, "key": 0.5, "pin": 0.4, "salt": 0.6, "cert": 0.4}
 STEMS = ("pass", "pwd", "secret", "token", "key", "cred", "auth", "bearer", "private", "salt", "connection")
@@ -35,7 +37,7 @@ PLACEHOLDER = re.compile(r"^(?:x+|\*+|\.+|-+|_+|none|null|nil|true|false|undefin
 THRESHOLD = 0.5
 
 _PAIR = re.compile(r"""(?<![\w.-])["']?(?P<name>[A-Za-z_][\w.-]{0,127})["']?[ \t]*(?::=|=>|=(?!=)|:(?!:))[ \t]*(?=\S)""", re.ASCII)
-_TERM = re.compile(r"""(?P<quote>["'`])(?P<text>(?:[^"'`\\\n]|\\.|(?!(?P=quote))["'`])*)(?P=quote)|(?P<bare>[A-Za-z0-9_+/.=:@%$~!^&*-]+)""", re.ASCII)
+_TERM = re.compile(r"""(?P<quote>["'`])(?P<text>(?:[^"'`\\\n]|\\.|(?!(?P=quote))["'`])*)(?P=quote)|(?P<bare>[A-Za-z0-9_+/.@%$~!^&*-]+(?:={1,2}(?![\w=]))?)""", re.ASCII)
 _PLUS = re.compile(r"[ \t]*\+[ \t]*\n?[ \t]*")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _NAME = re.compile(r"[A-Za-z_][\w.-]*", re.ASCII)
@@ -73,23 +75,28 @@ def pairs(text: str) -> list[tuple[str, list[tuple[int, int]], str]]:
                 spans.append(t.span("text"))
                 value += t["text"]
             elif t["bare"] in constants:
-                more, v = constants[t["bare"]]
-                spans += more
-                value += v
+                spans += constants[t["bare"]][0]
+                value += constants[t["bare"]][1]
             elif text[end : end + 1] == "(":  # a call: its value is not known
                 simple = False
                 break
             else:
                 spans.append(t.span("bare"))
                 value += t["bare"]
+            if len(value) > 4 * LONGEST or len(spans) > 4 * MOST:
+                simple = False
+                break
             if not (p := _PLUS.match(text, end)) or not _TERM.match(text, p.end()):
                 break
             end = p.end()
         if simple and spans:
             found.append((m["name"], spans, value))
-            constants[m["name"]] = (spans, value)
+            if len(value) <= LONGEST and len(spans) <= MOST:
+                constants[m["name"]] = (spans, value)
+            else:
+                constants.pop(m["name"], None)
         # A nested name such as  a: b = c  is read again from its value.
-        at = m.end() if simple and len(spans) == 1 and _PAIR.match(text, m.end()) else max(end, m.end())
+        at = m.end() if simple and len(spans) == 1 and end - m.end() <= 256 and _PAIR.match(text, m.end()) else max(end, m.end())
     return found
 
 
