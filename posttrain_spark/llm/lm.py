@@ -33,7 +33,7 @@ from .common import arrow_schema, doc_texts, map_batches, materialize, partition
 
 #: Token codes of a chunk: 0 is the end of a text, words follow; the start of a text is only a context.
 END, START = 0, -1
-CHUNK_TOKENS = 1 << 22
+CHUNK_TOKENS = 1 << 20
 BUCKET_KEYS = 1 << 22
 #: Smoothing mass of the failure arc at each context length, 1 and up; the last holds for longer ones.
 MASS = (12.0, 4.0)
