@@ -28,6 +28,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
@@ -41,7 +42,7 @@ BLOCK = 512
 #: Ids of a shard, but for a document that has more.
 SHARD_IDS = 1 << 22
 #: Pieces of text remembered by each Python worker.
-CACHE = 400_000
+CACHE = 600_000
 
 
 def write_wavelet(ids: np.ndarray, sizes: np.ndarray, docs: list[int | None], planes: int) -> bytes:
@@ -178,7 +179,11 @@ class PieceEncoder:
     """
 
     _CUT = re.compile(r"(?<=\S) (?=\S)")
-    _ODD = re.compile(r"\s \s?|  ?\s|^\s|\s$")
+    _ODD = re.compile(r" \s|\s |^\s|\s$")
+    #: White space other than the space and the newline.
+    _RARE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+    #: Marks that may follow the letters of a piece; they are a word of their own in these files.
+    _MARKS = ".,;:!?"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -189,32 +194,89 @@ class PieceEncoder:
         split = spec["pre_tokenizer"]
         self.by_piece_ok = spec["normalizer"] is None and split["type"] == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
         self.planes = max(1, max(self.tokenizer.get_vocab().values()).bit_length())
+        newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.by_piece_ok &= len(newline) == 1
+        self.newline = newline[0]
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _ids_of_pieces(self, pieces: list[str], lead: str) -> list[bytes]:
+        """Ids of many pieces (each after ``lead``) from few calls: a newline between two pieces is a word of its own."""
+        out: list[bytes] = [b""] * len(pieces)
+        joined, alone = [], []
+        for k, p in enumerate(pieces):
+            (alone if not p or "\n" in p or "<|" in p or p[0].isspace() or p[-1].isspace() else joined).append(k)
+        for lo in range(0, len(joined), 4096):
+            part = joined[lo : lo + 4096]
+            (e,) = self.tokenizer.encode_batch_fast(["\n".join([lead + pieces[k] for k in part])], add_special_tokens=False)
+            ids = np.array(e.ids, "<u4")
+            raw = ids.tobytes()
+            cuts = (4 * np.nonzero(ids == self.newline)[0]).tolist()
+            for k, a, b in zip(part, [0, *[c + 4 for c in cuts]], [*cuts, len(raw)], strict=True):
+                out[k] = raw[a:b]
+        for k, x in zip(alone, self._ids([lead + pieces[k] for k in alone]), strict=True):
+            out[k] = x
+        return out
+
+    def _learn(self, memory: dict[str, bytes], pieces: list[str], lead: str) -> dict[str, bytes]:
+        """Ids of pieces that aren't remembered; remembered from now on while there is room, the frequent ones coming early."""
+        split = {}
+        for p in pieces:
+            word = p.rstrip(self._MARKS)
+            split[p] = word if word != p and word.isalpha() else p
+        need = [w for w in set(split.values()) if w not in memory]
+        got = dict(zip(need, self._ids_of_pieces(need, lead), strict=True))
+        marks = [m for m in {p[len(w) :] for p, w in split.items()} if m and m not in self.marks]
+        self.marks.update(zip(marks, self._ids(marks), strict=True))
+        out = {p: (got[w] if w in got else memory[w]) + (self.marks[p[len(w) :]] if p != w else b"") for p, w in split.items()}
+        if len(memory) < CACHE:
+            memory.update(got)
+            memory.update(out)
+        if len(self.marks) > CACHE:
+            self.marks = {"": b""}
+        return out
+
+    def _of(self, memory: dict[str, bytes], pieces: list[str], lead: str) -> list[bytes]:
+        new = self._learn(memory, [p for p in pieces if p not in memory], lead)
+        return [new[p] if p in new else memory[p] for p in pieces]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if not self.by_piece_ok:
             return self._ids(texts)
-        if len(self.later) > CACHE:
-            self.first, self.later = {}, {}
-        split = [t.split(" ") if not self._odd(t) else self._CUT.split(t) for t in texts]
-        need = set().union(*split) if split else set()
-        for memory, pieces, lead in ((self.first, {s[0] for s in split}, ""), (self.later, need, " ")):
-            new = [p for p in pieces if p not in memory]
-            memory.update(zip(new, self._ids([lead + p for p in new]), strict=True))
-        later = self.later
-        return [b"".join([self.first[s[0]], *[later[p] for p in s[1:]]]) for s in split]
-
-    @staticmethod
-    def _odd(t: str) -> bool:
+        odd = [k for k, t in enumerate(texts) if self._odd(t)]
+        # Lists of pieces in Arrow: each distinct piece of the batch becomes a Python string once.
+        column = pa.array(["" if self._odd(t) else t for t in texts] if odd else texts, pa.large_string())
+        lists = pc.split_pattern(column, " ")
+        cuts = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.values.dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        firsts = lists.values.take(pa.array(cuts[:-1])).to_pylist()
+        ids = self._of(self.later, pieces, " ") + self._of(self.first, firsts, "")
+        which = coded.indices.to_numpy().astype(np.int64)
+        which[cuts[:-1]] = len(pieces) + np.arange(len(texts))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(sizes) - sizes
+        each = sizes[which]
+        ends = np.cumsum(each)
+        flat = np.frombuffer(b"".join(ids), "<u4")[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[which] - (ends - each), each)].tobytes()
+        bounds = np.r_[0, ends][cuts].tolist()
+        out = [flat[4 * a : 4 * b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        for k in odd:
+            first, *rest = self._CUT.split(texts[k])
+            out[k] = b"".join([*self._of(self.first, [first], ""), *self._of(self.later, rest, " ")])
+        return out
+
+    @classmethod
+    def _odd(cls, t: str) -> bool:
         """Whether some single space doesn't stand between two other characters that are no white space."""
         if not t or t[0].isspace() or t[-1].isspace() or "  " in t or " \n" in t or "\n " in t:
             return True
-        return not t.isprintable() and PieceEncoder._ODD.search(t.replace("\n", "x")) is not None
+        return any(c in t for c in cls._RARE) and cls._ODD.search(t) is not None
 
 
 _LOADED: dict[str, PieceEncoder] = {}
