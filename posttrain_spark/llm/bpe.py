@@ -23,13 +23,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import doc_texts, map_batches, prepare
+from .common import doc_texts, map_batches, prepare, workspace
 
 WIDE = 64
 _SHIFT = 20
 _INF = np.int64(1) << 62
-#: Words and pieces remembered by each Python worker; the memory is emptied when full.
-CACHE = 400_000
+#: Words and pieces remembered by each Python worker: the first ones it meets, among them the frequent ones.
+CACHE = 250_000
 
 
 def byte_alphabet() -> list[str]:
@@ -259,18 +259,19 @@ class WordBpe:
         """As the library decodes when the file names no decoder: tokens joined by a space."""
         return " ".join([self.token[i] for i in ids if i in self.token])
 
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.by_piece) + len(pieces) > CACHE:
-            self.by_piece.clear()
-        if len(self.by_word) > CACHE:
-            self.by_word.clear()
+    def _learn(self, pieces: set[str]) -> dict[str, tuple[str, str]]:
+        """Ids and decoded text of pieces that aren't remembered."""
         split = {p: self.words(self.normal(p)) for p in pieces}
         new = list({w for ws in split.values() for w in ws} - self.by_word.keys())
-        for w, ids in zip(new, self.merge(new), strict=True):
-            self.by_word[w] = (" ".join(map(str, ids)), self.decode(ids))
+        made = {w: (" ".join(map(str, ids)), self.decode(ids)) for w, ids in zip(new, self.merge(new), strict=True)}
+        out = {}
         for p, ws in split.items():
-            got = [self.by_word[w] for w in ws]
-            self.by_piece[p] = (" ".join([x for x, _ in got]), " ".join([y for _, y in got]))
+            got = [made[w] if w in made else self.by_word[w] for w in ws]
+            out[p] = got[0] if len(got) == 1 else (" ".join([x for x, _ in got]), " ".join([y for _, y in got]))
+        for memory, more in ((self.by_word, made), (self.by_piece, out)):
+            if len(memory) < CACHE:
+                memory.update(more)
+        return out
 
     def encode_batch(self, texts: list[str]) -> list[tuple[str, str]]:
         """For each text its ids, as decimals joined by a space, and what they decode to.
@@ -288,15 +289,9 @@ class WordBpe:
         need: set[str] = set()
         for ps in split:
             need.update(ps)
-        special = {p for p in need if p[:1] == "\0" and p[1:] in self.special} if self.cut else set()
-        self._learn({p for p in need if p not in self.by_piece} - special)
-        memory = self.by_piece
-        if special or not need <= memory.keys():
-            memory = {**{p: memory[p] for p in need if p in memory}, **{p: (str(self.special[p[1:]]), p[1:]) for p in special}}
-            rest = need - memory.keys()  # emptied meanwhile
-            if rest:
-                self._learn(rest)
-                memory |= {p: self.by_piece[p] for p in rest}
+        memory = {p: self.by_piece[p] for p in need if p in self.by_piece}
+        memory |= {p: (str(self.special[p[1:]]), p[1:]) for p in need if p[:1] == "\0" and p[1:] in self.special}
+        memory |= self._learn(need - memory.keys())
         out = []
         for ps in split:
             got = [memory[p] for p in ps]
@@ -304,14 +299,12 @@ class WordBpe:
         return out
 
 
-_LOADED: dict[str, WordBpe] = {}
-
-
 def loaded(path: str) -> WordBpe:
     """One encoder a worker process and file."""
-    if path not in _LOADED:
-        _LOADED[path] = WordBpe(path)
-    return _LOADED[path]
+    held = workspace("bpe")
+    if path not in held:
+        held[path] = WordBpe(path)
+    return held[path]
 
 
 def encode_documents(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:

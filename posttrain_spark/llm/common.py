@@ -28,7 +28,7 @@ from ..sources.storage import fresh_path, materialize, release, shared_dir  # no
 
 ROOT = Path(__file__).resolve().parents[2]
 #: Input batches handed to Python: rows and bytes, whichever is reached first.
-BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
 
 #: The ASCII white space that the contracts name: [\x20\x09-\x0D].
 SPACE = " \t\n\x0b\x0c\r"
@@ -55,6 +55,17 @@ def prepare(spark: SparkSession) -> None:
         sc._posttrain_shipped = True
 
 
+_WORK: dict = {"name": "", "held": {}}
+
+
+def workspace(name: str) -> dict:
+    """What an operator remembers in a Python worker; dropped when another operator's tasks come to that worker."""
+    if _WORK["name"] != name:
+        _WORK["held"].clear()
+        _WORK["name"] = name
+    return _WORK["held"]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -32,7 +32,7 @@ MAX_LANGUAGES = 512
 #: Languages whose subsets are tried, and steps for each subset.
 WIDEST, STEPS = 6, 6
 #: Words times languages that are fitted at once, and words remembered by each Python worker.
-AT_ONCE, CACHE = 1 << 22, 300_000
+AT_ONCE, CACHE = 1 << 21, 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint64)

@@ -35,14 +35,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, doc_texts, fresh_path, map_batches, materialize, partitions, prepare
+from .common import arrow_schema, doc_texts, fresh_path, map_batches, materialize, partitions, prepare, workspace
 
 MAGIC = b"WAVEMTX1"
 BLOCK = 512
 #: Ids of a shard, but for a document that has more.
 SHARD_IDS = 1 << 22
 #: Pieces of text remembered by each Python worker.
-CACHE = 600_000
+CACHE = 500_000
 
 
 def write_wavelet(ids: np.ndarray, sizes: np.ndarray, docs: list[int | None], planes: int) -> bytes:
@@ -279,13 +279,11 @@ class PieceEncoder:
         return any(c in t for c in cls._RARE) and cls._ODD.search(t) is not None
 
 
-_LOADED: dict[str, PieceEncoder] = {}
-
-
 def loaded(path: str) -> PieceEncoder:
-    if path not in _LOADED:
-        _LOADED[path] = PieceEncoder(path)
-    return _LOADED[path]
+    held = workspace("wavelet")
+    if path not in held:
+        held[path] = PieceEncoder(path)
+    return held[path]
 
 
 def write_shards(docs: DataFrame, path: str, at: str, end_id: int = 0, shard_ids: int = SHARD_IDS) -> DataFrame:
