@@ -7,8 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def usable(trajectories: DataFrame, version: int, max_age: int) -> DataFrame:
@@ -25,47 +24,33 @@ def replay(trajectories: DataFrame, current: int, max_age: int, prompts: int, ke
     return usable(trajectories, current, max_age).orderBy(F.desc("weight_version"), key).limit(buffer_size(prompts, max_age))
 
 
-class Buffer(StatefulProcessor):
-    """Keeps trajectories of one target version until a batch is full; a full batch is emitted, overflow is refused and counted.
+def buffered(trajectories: DataFrame, batch_size: int, max_age: int) -> DataFrame:
+    """Streaming form: trajectories of a target version wait in state until a batch is full.
 
     Input: ``target_version``, ``trajectory_id``, ``weight_version``. Output: ``target_version``, ``trajectory_id``,
-    ``batch`` and ``expired`` (true for a trajectory that is too old for its target).
+    ``batch`` (from 1; -1 if expired) and ``expired``, true for a trajectory that is too old or too new for its target.
+    State holds fewer than ``batch_size`` ids a version.
     """
 
-    def __init__(self, batch_size: int, max_age: int):
-        self.batch_size, self.max_age = batch_size, max_age
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getListState("held", StructType.fromDDL("trajectory_id long"))
-        self.batch = handle.getValueState("batch", StructType.fromDDL("n long"))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        target = key[0]
-        held = [r[0] for r in self.held.get()] if self.held.exists() else []
-        batch = self.batch.get()[0] if self.batch.exists() else 0
-        out: list[tuple] = []
-        for pdf in rows:
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (target,) = key
+        held, batch = state.get if state.exists else ([], 0)
+        held, out = list(held), []
+        for pdf in frames:
             for r in pdf.sort_values("trajectory_id").itertuples():
-                if not target - self.max_age <= r.weight_version <= target:
-                    out.append((target, int(r.trajectory_id), -1, True))
+                if not target - max_age <= r.weight_version <= target:
+                    out.append((target, r.trajectory_id, -1, True))
                     continue
                 held.append(int(r.trajectory_id))
-                if len(held) == self.batch_size:
+                if len(held) == batch_size:
                     batch += 1
                     out += [(target, i, batch, False) for i in held]
                     held = []
-        self.held.put([(i,) for i in held])
-        self.batch.update((batch,))
-        if out:
-            yield pd.DataFrame(out, columns=["target_version", "trajectory_id", "batch", "expired"])
+        state.update((held, batch))
+        yield pd.DataFrame(out, columns=["target_version", "trajectory_id", "batch", "expired"])
 
-    def close(self) -> None:
-        pass
-
-
-def buffered(trajectories: DataFrame, batch_size: int, max_age: int) -> DataFrame:
-    """Streaming form, keyed by target version. Needs the RocksDB state store."""
-    return trajectories.groupBy("target_version").transformWithStateInPandas(Buffer(batch_size, max_age), "target_version long, trajectory_id long, batch long, expired boolean", "Append", "None")
+    schema = "target_version long, trajectory_id long, batch long, expired boolean"
+    return trajectories.groupBy("target_version").applyInPandasWithState(step, schema, "held array<long>, batch long", "append", GroupStateTimeout.NoTimeout)
 
 
 def accumulate(groups: DataFrame, target: int, max_batches: int, sink: Callable[[DataFrame, int], None]):
