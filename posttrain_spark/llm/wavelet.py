@@ -41,8 +41,14 @@ MAGIC = b"WAVEMTX1"
 BLOCK = 512
 #: Ids of a shard, but for a document that has more.
 SHARD_IDS = 1 << 22
+#: Bytes of text that are encoded together.
+AT_ONCE = 12 << 20
 #: Pieces of text remembered by each Python worker.
-CACHE = 500_000
+CACHE = 900_000
+
+
+def _kind(planes: int) -> type:
+    return np.uint16 if planes <= 16 else np.uint32
 
 
 def write_wavelet(ids: np.ndarray, sizes: np.ndarray, docs: list[int | None], planes: int) -> bytes:
@@ -54,17 +60,18 @@ def write_wavelet(ids: np.ndarray, sizes: np.ndarray, docs: list[int | None], pl
         "sizes": pack(sizes.astype("<i8").tobytes()),
     }
     zeros = []
-    row = ids.astype(np.uint32)
+    row = ids.astype(_kind(planes))
     for b in range(planes - 1, -1, -1):
-        bit = (row >> np.uint32(b) & np.uint32(1)).astype(bool)
+        bit = (row & row.dtype.type(1 << b)) != 0
         packed = np.packbits(bit, bitorder="little")
         padded = np.zeros(-(-max(1, len(packed)) // (BLOCK // 8)) * (BLOCK // 8), np.uint8)
         padded[: len(packed)] = packed
         ones = np.bitwise_count(padded).reshape(-1, BLOCK // 8).sum(1, dtype=np.uint64)
         sections[f"plane{b}"] = pack(padded.tobytes())
         sections[f"rank{b}"] = pack(np.concatenate([[np.uint64(0)], np.cumsum(ones)]).astype("<u8").tobytes())
-        row = np.concatenate([row[~bit], row[bit]])
-        zeros.append(int(len(bit) - bit.sum()))
+        low = row[~bit]
+        zeros.append(len(low))
+        row = np.concatenate([low, row[bit]])
     at, table = 0, {}
     for name, body in sections.items():
         table[name] = [at, len(body)]
@@ -161,14 +168,14 @@ class Wavelet:
 
     def all_ids(self) -> np.ndarray:
         """The ids in order, by undoing the planes from the last to the first."""
-        row = np.zeros(self.n, np.uint32)
+        row = np.zeros(self.n, _kind(self.planes))
         for b, zeros in reversed(list(self._levels())):
-            bit = np.unpackbits(self.section(f"plane{b}", "u1"), count=self.n, bitorder="little").astype(bool)
+            bit = np.unpackbits(self.section(f"plane{b}", "u1"), count=self.n, bitorder="little").view(bool)
             before = np.empty_like(row)
             before[~bit] = row[:zeros]
-            before[bit] = row[zeros:] | np.uint32(1 << b)
+            before[bit] = row[zeros:] | row.dtype.type(1 << b)
             row = before
-        return row
+        return row.astype(np.uint32)
 
 
 class PieceEncoder:
@@ -241,8 +248,12 @@ class PieceEncoder:
         return out
 
     def _of(self, memory: dict[str, bytes], pieces: list[str], lead: str) -> list[bytes]:
-        new = self._learn(memory, [p for p in pieces if p not in memory], lead)
-        return [new[p] if p in new else memory[p] for p in pieces]
+        got = list(map(memory.get, pieces))
+        unknown = [k for k, x in enumerate(got) if x is None]
+        new = self._learn(memory, [pieces[k] for k in unknown], lead)
+        for k in unknown:
+            got[k] = new[pieces[k]]
+        return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -317,9 +328,9 @@ def write_shards(docs: DataFrame, path: str, at: str, end_id: int = 0, shard_ids
             n, seq = 0, seq + 1
             return pa.RecordBatch.from_pydict(row, schema=out)
 
-        for batch in batches:
-            coded = coder.encode(batch.column(1).to_pylist())
-            for doc, x in zip(batch.column(0).to_pylist(), coded, strict=True):
+        # Several batches are encoded together: their common pieces are looked up once.
+        for docs_, texts in gathered(batches, AT_ONCE):
+            for doc, x in zip(docs_, coder.encode(texts), strict=True):
                 ids.append(doc)
                 held.append(x + end)
                 n += len(x) // 4 + 1
@@ -331,6 +342,20 @@ def write_shards(docs: DataFrame, path: str, at: str, end_id: int = 0, shard_ids
     return materialize(ordered.mapInArrow(run, schema), "shards")
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, list[str]]]:
+    """The two columns of consecutive batches of about so many bytes together."""
+    docs, texts, n = [], [], 0
+    for batch in batches:
+        docs += batch.column(0).to_pylist()
+        texts += batch.column(1).to_pylist()
+        n += batch.nbytes
+        if n >= size:
+            yield docs, texts
+            docs, texts, n = [], [], 0
+    if docs:
+        yield docs, texts
+
+
 def put(folder: str, name: str, body: bytes) -> None:
     """Writes a whole file to a folder on any file system, or leaves none."""
     fs, root = pafs.FileSystem.from_uri(folder)
