@@ -363,7 +363,10 @@ def put(folder: str, name: str, body: bytes) -> None:
     temporary = f"{root}/.{name}.{uuid.uuid4().hex}"
     with fs.open_output_stream(temporary) as f:
         f.write(body)
-    fs.move(temporary, f"{root}/{name}")
+    target = f"{root}/{name}"
+    if fs.get_file_info(target).type != pafs.FileType.NotFound:  # an earlier attempt's; some file systems don't replace
+        fs.delete_file(target)
+    fs.move(temporary, target)
 
 
 def open_shard(folder: str, name: str) -> Wavelet:
