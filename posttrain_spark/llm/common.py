@@ -32,12 +32,11 @@ BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
 
 #: The ASCII white space that the contracts name: [\x20\x09-\x0D].
 SPACE = " \t\n\x0b\x0c\r"
-_ASCII_LOWER = {u: u + 32 for u in range(65, 91)}
 
 
 def lower_az(s: str) -> str:
     """Lower-cases A-Z only; other letters stay."""
-    return s.lower() if s.isascii() else s.translate(_ASCII_LOWER)
+    return s.lower() if s.isascii() else s.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def prepare(spark: SparkSession) -> None:

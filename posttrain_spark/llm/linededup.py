@@ -36,7 +36,7 @@ FOLD = 1 << 20
 
 def line_keys(text: str) -> list[str]:
     """The key of each line: ASCII white space stripped at both ends, A-Z lower-cased."""
-    return [lower_az(line.strip(SPACE)) for line in text.split("\n")]
+    return [line.strip(SPACE) for line in lower_az(text).split("\n")]
 
 
 def key_hash(key: str) -> int:
