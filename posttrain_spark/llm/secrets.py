@@ -27,8 +27,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "literal")
 
-#: A constant of more characters or literals than this is not put in for its name.
-LONGEST, MOST = 4096, 16
+#: The text of a joined value of more characters is not kept; it is scored by its characters' shares.
+LONGEST = 4096
 #: How sensitive a part of a name is; a name's score is the largest of its parts and of neighbouring parts joined.
 NAME_PARTS = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "token": 1.0, "apikey": 1.0, "credential": 1.0, "credentials": 1.0, "privatekey": 1.0, "secretkey": 1.0, "accesskey": 1.0, "authkey": 1.0, "signingkey": 1.0, "encryptionkey": 1.0, "connectionstring": 0.8, "auth": 0.7, "bearer": 0.9, "private": 0.5, "key": 0.5, "pin": 0.4, "salt": 0.6, "cert": 0.4}
 STEMS = ("pass", "pwd", "secret", "token", "key", "cred", "auth", "bearer", "private", "salt", "connection")
@@ -36,7 +36,7 @@ STEMS = ("pass", "pwd", "secret", "token", "key", "cred", "auth", "bearer", "pri
 PLACEHOLDER = re.compile(r"^(?:x+|\*+|\.+|-+|_+|none|null|nil|true|false|undefined|todo|changeme|change_me|example|placeholder|dummy|redacted|your[_-].*|<.*>|\$\{.*\}|\$\(.*\)|%\(.*\).|\{\{.*\}\})$", re.IGNORECASE)
 THRESHOLD = 0.5
 
-_PAIR = re.compile(r"""(?<![\w.-])["']?(?P<name>[A-Za-z_][\w.-]{0,127})["']?[ \t]*(?::=|=>|=(?!=)|:(?!:))[ \t]*(?=\S)""", re.ASCII)
+_PAIR = re.compile(r"""(?<![\w.-])["']?(?P<name>[A-Za-z_][\w.-]*+)["']?[ \t]*(?::=|=>|=(?!=)|:(?!:))[ \t]*(?=\S)""", re.ASCII)
 _TERM = re.compile(r"""(?P<quote>["'`])(?P<text>(?:[^"'`\\\n]|\\.|(?!(?P=quote))["'`])*)(?P=quote)|(?P<bare>[A-Za-z0-9_+/.@%$~!^&*-]+(?:={1,2}(?![\w=]))?)""", re.ASCII)
 _PLUS = re.compile(r"[ \t]*\+[ \t]*\n?[ \t]*")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -59,47 +59,100 @@ def literal_score(value: str) -> float:
     return min(1.0, n / 16) * 0.3 + min(1.0, entropy / 3.5) * 0.4 + min(1.0, kinds / 2) * 0.3
 
 
-def pairs(text: str) -> list[tuple[str, list[tuple[int, int]], str]]:
-    """Name, literal spans and joined value of every assignment, constants put in for their names.
+class Value:
+    """What a name is bound to: a literal's span, or other values joined. These are referred to, not copied."""
+
+    def __init__(self, span: tuple[int, int] | None, text: str | None, parts: list[Value] = ()):
+        self.span, self.text, self.parts = span, text, parts
+        self.known: float | None = None
+        self.shape: tuple[float, dict[str, float], str, str] | None = None
+
+    def profile(self) -> tuple[float, dict[str, float], str, str]:
+        """Length, share of each character, first and last characters; parts have theirs from when they were joined."""
+        if self.shape is None:
+            n = len(self.text)
+            self.shape = (float(n), {c: k / n for c, k in Counter(self.text).items()}, self.text[:16], self.text[-2:])
+        return self.shape
+
+    def score(self) -> float:
+        if self.known is None:
+            self.known = literal_score(self.text) if self.text is not None else profile_score(*self.shape)
+        return self.known
+
+
+def join(parts: list[Value]) -> Value:
+    """The parts one after another; the first of them itself if it is alone."""
+    if len(parts) == 1:
+        return parts[0]
+    if all(p.text is not None for p in parts) and sum(len(p.text) for p in parts) <= LONGEST:
+        return Value(None, "".join(p.text for p in parts), parts)
+    out = Value(None, None, parts)
+    shapes = [x for p in parts if (x := p.profile())[0]]
+    n = sum(x[0] for x in shapes)
+    shares: dict[str, float] = {}
+    for size, own, _, _ in shapes:
+        for c, share in own.items():
+            shares[c] = shares.get(c, 0.0) + share * (size / n)
+    head = "".join(x[2] for x in shapes[:16])[:16]
+    tail = "".join(x[3] for x in shapes[-2:])[-2:]
+    out.shape = (min(n, 1e300), shares, head, tail)  # names may stand for names, so a length may double with each
+    return out
+
+
+def profile_score(n: float, shares: dict[str, float], head: str, tail: str) -> float:
+    """``literal_score`` of a value of over ``LONGEST`` characters."""
+    if any(c.isspace() for c in shares) or PLACEHOLDER.match(f"{head}~a~{tail}"):
+        return 0.0
+    entropy = -sum(p * math.log2(p) for p in shares.values() if p > 0)
+    kinds = sum(any(f(c) for c in shares) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+    return min(1.0, n / 16) * 0.3 + min(1.0, entropy / 3.5) * 0.4 + min(1.0, kinds / 2) * 0.3
+
+
+def pairs(text: str) -> list[tuple[str, Value]]:
+    """Name and value of every assignment, constants put in for their names.
 
     Literal spans leave out the quotes. A name that is bound again stands for its latest value.
     """
-    constants: dict[str, tuple[list[tuple[int, int]], str]] = {}
+    constants: dict[str, Value] = {}
     found, at = [], 0
     while m := _PAIR.search(text, at):
-        spans: list[tuple[int, int]] = []
-        value, end, simple = "", m.end(), True
+        parts: list[Value] = []
+        end, simple = m.end(), True
         while t := _TERM.match(text, end):
             end = t.end()
             if t["quote"]:
-                spans.append(t.span("text"))
-                value += t["text"]
+                parts.append(Value(t.span("text"), t["text"]))
             elif t["bare"] in constants:
-                spans += constants[t["bare"]][0]
-                value += constants[t["bare"]][1]
+                parts.append(constants[t["bare"]])
             elif text[end : end + 1] == "(":  # a call: its value is not known
                 simple = False
                 break
             else:
-                spans.append(t.span("bare"))
-                value += t["bare"]
-            if len(value) > 4 * LONGEST or len(spans) > 4 * MOST:
-                simple = False
-                break
+                parts.append(Value(t.span("bare"), t["bare"]))
             if not (p := _PLUS.match(text, end)) or not _TERM.match(text, p.end()):
                 break
             end = p.end()
-        if simple and spans:
-            found.append((m["name"], spans, value))
-            if len(value) <= LONGEST and len(spans) <= MOST:
-                constants[m["name"]] = (spans, value)
-            else:
-                constants.pop(m["name"], None)
+        if simple and parts:
+            constants[m["name"]] = join(parts)
+            found.append((m["name"], constants[m["name"]]))
         # A nested name such as  a: b = c  is read again from its value.
-        at = m.end() if simple and len(spans) == 1 and end - m.end() <= 256 and _PAIR.match(text, m.end()) else max(end, m.end())
+        at = m.end() if simple and len(parts) == 1 and parts[0].span and _PAIR.match(text, m.end()) else max(end, m.end())
     return found
 
 
+def literal_spans(values: list[Value]) -> set[tuple[int, int]]:
+    """Spans of all literals that the values are made of; each value is visited once."""
+    seen, todo, out = set(), list(values), set()
+    while todo:
+        v = todo.pop()
+        if id(v) not in seen:
+            seen.add(id(v))
+            todo += v.parts
+            if v.span:
+                out.add(v.span)
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the three plain patterns, by start and then kind."""
     low = text.lower()
@@ -117,10 +170,8 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     base = base_spans(text)
     if not ("=" in text or ":" in text) or not any(s in text.lower() for s in STEMS):
         return base, base
-    added = set()
-    for name, spans, value in pairs(text):
-        if name_score(name) * literal_score(value) >= THRESHOLD:
-            added |= {(a, 3, b) for a, b in spans if b > a}
+    secret = [v for name, v in pairs(text) if (s := name_score(name)) >= THRESHOLD and s * v.score() >= THRESHOLD]
+    added = {(a, 3, b) for a, b in literal_spans(secret) if b > a}
     ends = [0]  # the largest end of the base spans so far, by start
     for _, _, b in base:
         ends.append(max(ends[-1], b))

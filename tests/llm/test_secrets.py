@@ -63,3 +63,34 @@ def test_table(make, odd):
 def test_long_texts_stay_linear():
     s.scan("key=" * 50_000)
     s.scan('a="b"\n' * 20_000 + "token=a")
+
+
+def key_text(n, seed=5):
+    rng = random.Random(seed)
+    return "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+
+
+def added(text):
+    return [text[a:b] for a, k, b in s.scan(text)[1] if k == 3]
+
+
+def test_long_literals_and_names():
+    long = key_text(20_000)
+    assert added(f'signing_key = "{long}"') == [long]
+    assert added(f'blob = "{key_text(5_000)}"\nsigning_key = blob') == [key_text(5_000)]
+    parts = [key_text(20, k) for k in range(100)]
+    joined = " + ".join(f'"{p}"' for p in parts)
+    assert added(f"signing_key = {joined}") == parts
+    assert added(f"a = {joined}\nsigning_key = a") == parts
+    name = "x" * 300 + "_pwd"
+    assert added(f'{name} = "xK9fQ2mZ7pL4vTq8"') == ["xK9fQ2mZ7pL4vTq8"]
+    assert added(f'note: {name} = "xK9fQ2mZ7pL4vTq8"') == ["xK9fQ2mZ7pL4vTq8"]
+    assert added(f'signing_key = "<{long}" + "{long}>"') == []
+    assert added(f'signing_key = "{long}" + "two words {long}"') == []
+
+
+def test_names_of_names_stay_linear():
+    doubled = "\n".join(f"a{k + 1} = a{k} + a{k}" for k in range(5_000))
+    assert added(f'a0 = "xK9fQ2mZ7pL4vTq8"\n{doubled}\nsigning_key = a5000') == ["xK9fQ2mZ7pL4vTq8"]
+    s.scan('a = "xK9fQ2mZ"\n' + 'a = a + "7pL4vTq8"\n' * 5_000 + "signing_key = a\n" * 5_000)
+    s.scan("key " + "x" * 300_000 + ":" + "x." * 100_000 + "=1")
