@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Mapping
-from itertools import combinations
-from math import comb
+from math import comb, fsum
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -30,16 +29,41 @@ def group_pass_at_k(rows: DataFrame, group: str, correct: Column, k: int) -> Dat
     return counted.withColumn("pass_at_k", pass_at_k(F.col("n"), F.col("c"), k))
 
 
+def _times(a: list[int], b: list[int]) -> list[int]:
+    """Product of power series, as long as the first."""
+    return [sum(a[i] * b[n - i] for i in range(max(0, n + 1 - len(b)), n + 1)) for n in range(len(a))]
+
+
+def _over(a: list[int], b: list[int]) -> list[int]:
+    """Quotient of power series; the divisor starts with 1."""
+    out: list[int] = []
+    for n, x in enumerate(a):
+        out.append(x - sum(b[i] * out[n - i] for i in range(1, min(n + 1, len(b)))))
+    return out
+
+
 def consistency(answers: list, rewards: list[float], k: int) -> float:
-    """Mean over all k-subsets of whether the most frequent answer (first seen on ties) is right."""
-    if comb(len(answers), k) > 2_000_000:
-        raise ValueError("too many subsets")
-    right = [0.0]
-    for subset in combinations(range(len(answers)), k):
-        counts = Counter(answers[i] for i in subset)
-        best = max(counts.values())
-        right.append(next(rewards[i] for i in subset if counts[answers[i]] == best))
-    return sum(right) / max(1, len(right) - 1)
+    """Mean over all k-subsets of whether the most frequent answer (first seen on ties) is right.
+
+    The subsets that a sample decides are counted, not listed: it is the first of m samples of its answer, every
+    other answer is there fewer than m times, or m times and only later. Time is linear in the samples.
+    """
+    total = comb(len(answers), k)
+    if not total:
+        return 0.0
+    counts = Counter(answers)
+    after = Counter(counts)
+    factor = lambda x, m: [comb(counts[x], c) for c in range(m)] + [comb(after[x], m)]
+    products = {m: [1] + [0] * (k - m) for m in range(1, k + 1)}
+    for x in counts:
+        products = {m: _times(p, factor(x, m)) for m, p in products.items()}
+    right = []
+    for x, reward in zip(answers, rewards, strict=True):
+        others = {m: _over(p, factor(x, m)) for m, p in products.items()}
+        after[x] -= 1
+        right.append(sum(comb(after[x], m - 1) * p[k - m] for m, p in others.items()) / total * reward)
+        products = {m: _times(p, factor(x, m)) for m, p in others.items()}
+    return fsum(right)
 
 
 def cons_at_k(rows: DataFrame, group: str, order: str, answer: str, reward: str, k: int) -> DataFrame:

@@ -143,10 +143,9 @@ def e2_pass_at_k(spark, d):
 
 @query()
 def e3_cons_at_k(spark, d):
-    """Majority vote over all subsets of three of each prompt's first six rollouts; combinatorial, so no SQL."""
-    w = Window.partitionBy("prompt").orderBy("event_id")
-    rows = rollouts(spark, d).withColumn("nth", F.row_number().over(w)).filter("nth <= 6").withColumn("right", F.col("correct").cast("double"))
-    return groups.cons_at_k(rows, "prompt", "nth", "event_type", "right", 3)
+    """Majority vote over all subsets of three of each prompt's rollouts; combinatorial, so no SQL."""
+    rows = rollouts(spark, d).withColumn("right", F.col("correct").cast("double"))
+    return groups.cons_at_k(rows, "prompt", "event_id", "event_type", "right", 3)
 
 
 @query(

@@ -302,3 +302,30 @@ def test_accumulate(spark, tmp_path):
     q = writer.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert state["full"] and len(got) == 6 and all(g % 2 for g in got)
+
+
+def test_consistency_counts_all_subsets():
+    import random
+    from collections import Counter
+    from itertools import combinations
+
+    rng = random.Random(8)
+    for _ in range(200):
+        n, k = rng.randrange(0, 9), rng.randrange(1, 6)
+        answers, rewards = [rng.choice("ABCD") for _ in range(n)], [rng.randrange(3) for _ in range(n)]
+        right = []
+        for subset in combinations(range(n), k):
+            counts = Counter(answers[i] for i in subset)
+            right.append(next(rewards[i] for i in subset if counts[answers[i]] == max(counts.values())))
+        assert groups.consistency(answers, rewards, k) == pytest.approx(sum(right) / max(1, len(right)))
+    assert groups.consistency(["a", "b"] * 1000, [1.0, 0.0] * 1000, 3) == pytest.approx(0.5, abs=0.01)
+
+
+def test_cons_at_k_query_reads_every_rollout(spark, tmp_path):
+    from posttrain_spark.plans.data_queries import e3_cons_at_k
+
+    kinds = ["view"] * 6 + ["purchase"] * 14
+    rows = [(i, 1, 1.0, k) for i, k in enumerate(kinds)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double, event_type string").selectExpr("*", "timestamp'2024-01-01' AS ts").write.parquet(str(tmp_path / "events.parquet"))
+    got = [r.cons_at_k for r in e3_cons_at_k(spark, str(tmp_path)).collect()]
+    assert got == [pytest.approx((364 + 91 * 6) / 1140)]
