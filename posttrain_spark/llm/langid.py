@@ -29,6 +29,8 @@ BUCKETS, GRAMS = 1 << 17, (2, 3)
 #: The fit uses about so many labelled documents of each language, chosen by a hash of the id.
 PER_LANGUAGE = 4_000
 MAX_LANGUAGES = 512
+#: Different n-grams that a language must show before texts can be found to be in no learned language.
+DISTINCT = 256
 #: Languages whose subsets are tried, and steps for each subset.
 WIDEST, STEPS = 6, 6
 #: Words times languages that are fitted at once, and words remembered by each Python worker.
@@ -78,6 +80,8 @@ class Model:
         prior = pooled / pooled.sum() * min(2_000.0, max(1.0, counts.sum() / max(1, len(languages)) / 50))
         p = counts + prior
         self.log = np.ascontiguousarray(np.log(p / p.sum(1, keepdims=True)).T.astype(np.float32))
+        # Only languages fitted on enough n-grams can tell that a text is in none of them.
+        self.settled = bool(languages) and counts.sum(1).min() >= BUCKETS and (counts > 0).sum(1).min() >= DISTINCT
         self.memory: dict[str, int] = {}
         self.rows = np.zeros((0, len(languages)), np.float32)
 
@@ -136,6 +140,21 @@ class Model:
             best[better], best_score[better] = share[better], score[better]
         return best
 
+    def speaks(self, texts: list[str | None]) -> list[bool]:
+        """Whether some word of a text is likelier in a learned language than if all n-grams were alike; any word will do unless ``settled``."""
+        split = [list(dict.fromkeys(tokens(t))) if t else [] for t in texts]
+        if not self.settled:
+            return [bool(ws) for ws in split]
+        flat = [w for ws in split for w in ws]
+        if not flat:
+            return [False] * len(texts)
+        lengths = np.fromiter(map(len, flat), np.int64, len(flat)) + 2
+        grams = sum(np.maximum(lengths - n + 1, 0) for n in GRAMS)
+        known = self.word_rows(flat).max(1) > -grams * np.log(BUCKETS)
+        before = np.r_[0, np.cumsum(known)]
+        ends = np.cumsum([len(ws) for ws in split])
+        return (before[ends] > before[np.r_[0, ends[:-1]]]).tolist()
+
     def predict(self, texts: list[str | None], penalty: float = 1.0) -> list[tuple[str, float, str]]:
         """Language of the largest share (ties: the first by name), that share, and all shares of at least a hundredth."""
         out: list[tuple[str, float, str]] = [(UNKNOWN, 0.0, "")] * len(texts)
@@ -223,7 +242,11 @@ def identify(docs: DataFrame, model: Model, penalty: float = 1.0) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, held_out boolean, lang_pred string, score double, mixture string")
 
 
-def keep_identified(docs: DataFrame, model: Model, min_share: float = 0.5, penalty: float = 1.0) -> DataFrame:
-    """The documents, with all their columns, in which some language has at least ``min_share``; null texts and texts without a letter go."""
+def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents, with all their columns, that are in some learned language or in a mixture of several.
+
+    Null texts, texts without a letter and those in no learned language (``Model.speaks``) go. If no language was
+    learned, or one from few texts, every text with a letter stays.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return keep_rows(docs, lambda texts: [x != UNKNOWN and share >= min_share for x, share, _ in shared.value.predict(texts, penalty)])
+    return keep_rows(docs, lambda texts: shared.value.speaks(texts))

@@ -66,3 +66,17 @@ def test_many_languages_and_batches():
         assert model.predict(texts) == one
     finally:
         langid.AT_ONCE = langid_at_once
+
+
+def test_mixtures_and_unlabelled_tables_are_kept(make):
+    rng = random.Random(17)
+    mixed = [(1000 + k, " ".join(prose(rng, 20, words_of(lang)) for lang in langs)) for k, langs in enumerate([("aa", "bb", "cc"), ("aa", "bb"), ("cc",)])]
+    other = [(2000, "слова другого языка"), (2001, "12 !!"), (2002, None)]
+    plain = [(i, prose(rng, 600, words_of(lang)), lang) for i, _, lang in corpus()]
+    docs = make([*plain, *mixed, *other])
+    model = langid.train(docs)
+    assert model.predict([mixed[0][1]])[0][1] < 0.5
+    kept = {r.doc_id for r in langid.keep_identified(docs, model).collect()}
+    assert model.settled and kept == {i for i, *_ in [*plain, *mixed]}
+    unlabelled = make([(1, "some text"), (2, None), (3, "1 !"), (4, "more")])
+    assert {r.doc_id for r in langid.keep_identified(unlabelled, langid.train(unlabelled)).collect()} == {1, 4}
