@@ -2,17 +2,21 @@
 
 Each language is a smoothed multinomial over hashed character n-grams of words (padded by a space at both
 ends). A document is a mixture: each word comes from one language, and expectation-maximisation estimates the
-proportions from the words' n-gram likelihoods. Which languages are in the mixture is chosen by penalised
-likelihood: starting with the likeliest ones, the language of the smallest share is left out again and again,
-and the set with the best log likelihood less ``penalty * ln(words)`` a language is kept.
-
-All documents of an Arrow batch are fitted together; words seen before are not hashed again.
+proportions from the words' n-gram likelihoods, until no share moves by ``TOLERANCE`` or more. Which languages are in
+the mixture is chosen by penalised likelihood, the log likelihood less ``penalty * ln(words)`` a language. All learned
+languages are there at first. Those go together whose words, by a bound, the others explain at a loss below the
+penalties saved. Then the language of the smallest share is left out again and again, down to one, and the best set
+is kept.
+
+All documents of an Arrow batch are fitted together, by their different words and how often these occur; words seen
+before are not hashed again.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +35,10 @@ PER_LANGUAGE = 4_000
 MAX_LANGUAGES = 512
 #: Different n-grams that a language must show before texts can be found to be in no learned language.
 DISTINCT = 256
-#: Languages whose subsets are tried, and steps for each subset.
-WIDEST, STEPS = 6, 6
-#: Words times languages that are fitted at once, and words remembered by each Python worker.
-AT_ONCE, CACHE = 1 << 21, 200_000
+#: The largest change of a share in the last step of a fit.
+TOLERANCE = 1e-4
+#: Different words times languages that are fitted at once, and bytes of words and their rows remembered by each Python worker.
+AT_ONCE, CACHE = 1 << 21, 64 << 20
 
 _WORD = re.compile(r"[^\W\d_]+")
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint64)
@@ -70,6 +74,49 @@ def gram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(owners)
 
 
+class Part:
+    """Words of some documents: likelihoods by language, and how often each occurs in its document."""
+
+    def __init__(self, like: np.ndarray, counts: np.ndarray, first: np.ndarray, sizes: np.ndarray, whole: bool = False):
+        at = slice(None) if whole else np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        self.like, self.counts, self.sizes = like[at], counts[at].astype(np.float64), sizes
+        self.first = np.cumsum(sizes) - sizes
+        self.doc = np.repeat(np.arange(len(sizes)), sizes)
+        self.words = np.add.reduceat(self.counts, self.first)
+
+    def fit(self, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shares by expectation-maximisation from these on, and the log likelihood; documents that have settled are left out."""
+        share, moving, part = share.copy(), np.arange(len(share)), self
+        while len(moving):
+            now = share[moving]
+            joint = part.like * now[part.doc]
+            new = np.add.reduceat(joint * (part.counts / joint.sum(1))[:, None], part.first, axis=0) / part.words[:, None]
+            share[moving] = new
+            more = np.abs(new - now).max(1) >= TOLERANCE
+            if more.sum() < 0.7 * len(more):
+                moving = moving[more]
+                if len(moving):
+                    part = Part(part.like, part.counts, part.first[more], part.sizes[more])
+        total = (self.like * share[self.doc]).sum(1)
+        return share, np.add.reduceat(self.counts * np.log(total), self.first)
+
+    def expendable(self, share: np.ndarray, cost: np.ndarray) -> np.ndarray:
+        """The most languages, those of the smallest shares, that surely cost less likelihood than their penalties; not the largest.
+
+        Words whose posterior for these languages is r lose at most -ln(1 - r) without them.
+        """
+        by = share.argsort(1, kind="stable")
+        joint = self.like * share[self.doc]
+        among = np.cumsum(np.take_along_axis(joint, by[self.doc], 1), axis=1) / joint.sum(1, keepdims=True)
+        loss = -np.add.reduceat(self.counts[:, None] * np.log(np.maximum(1 - among[:, :-1], 1e-300)), self.first, axis=0)
+        saved = cost[:, None] * np.cumsum(np.take_along_axis(share, by, 1) > 0, axis=1)[:, :-1]
+        fine = loss <= saved
+        most = np.where(fine.any(1), fine.shape[1] - fine[:, ::-1].argmax(1), 0)
+        drop = np.zeros(share.shape, bool)
+        np.put_along_axis(drop, by, np.arange(share.shape[1]) < most[:, None], 1)
+        return drop
+
+
 class Model:
     """Log probabilities of n-gram buckets by language (sorted by name)."""
 
@@ -83,61 +130,52 @@ class Model:
         # Only languages fitted on enough n-grams can tell that a text is in none of them.
         self.settled = bool(languages) and counts.sum(1).min() >= BUCKETS and (counts > 0).sum(1).min() >= DISTINCT
         self.memory: dict[str, int] = {}
+        self.held = 0
         self.rows = np.zeros((0, len(languages)), np.float32)
 
     def word_rows(self, words: list[str]) -> np.ndarray:
         """Log likelihood of each word by language."""
-        if len(self.memory) > CACHE:
-            self.memory, self.rows = {}, self.rows[:0]
-        new = list(dict.fromkeys(w for w in set(words) if w not in self.memory))
+        memory = self.memory
+        new = [w for w in dict.fromkeys(words) if w not in memory]
         if new:
+            size = sum(map(len, new)) + len(new) * (200 + 4 * len(self.languages))
+            if self.held + size > CACHE:
+                self.memory, self.rows, self.held = memory, _, _ = {}, self.rows[:0], 0
+                new = list(dict.fromkeys(words))
+                size = sum(map(len, new)) + len(new) * (200 + 4 * len(self.languages))
             buckets, owners = gram_buckets(new)
-            made = np.zeros((len(new), len(self.languages)), np.float32)
             order = np.argsort(owners, kind="stable")
-            starts = np.searchsorted(owners[order], np.arange(len(new)))
-            made = np.add.reduceat(self.log[buckets[order]], starts, axis=0)
-            base = len(self.memory)
-            self.memory |= {w: base + k for k, w in enumerate(new)}
+            made = np.add.reduceat(self.log[buckets[order]], np.searchsorted(owners[order], np.arange(len(new))), axis=0)
+            base = len(self.rows)
+            memory.update((w, base + k) for k, w in enumerate(new))
             self.rows = np.concatenate([self.rows, made])
-        return self.rows[[self.memory[w] for w in words]]
+            self.held += size
+        return self.rows[[memory[w] for w in words]]
 
-    def mixtures(self, sizes: list[int], rows: np.ndarray, penalty: float = 1.0) -> np.ndarray:
-        """Proportions by document; ``sizes``: words of each (at least one), ``rows``: of the words in turn."""
+    def mixtures(self, sizes: np.ndarray, rows: np.ndarray, counts: np.ndarray, penalty: float = 1.0) -> np.ndarray:
+        """Proportions by document; ``sizes``: different words of each (at least one), ``rows`` and ``counts``: of these in turn."""
         n, k = len(sizes), len(self.languages)
-        sizes_ = np.asarray(sizes)
-        first = np.r_[0, np.cumsum(sizes_)[:-1]]
-        doc = np.repeat(np.arange(n), sizes_)
-        top = rows.max(1, keepdims=True)
-        like = np.exp(rows - top)
-        share = np.full((n, k), 1.0 / k, np.float32)
-
-        def steps(share: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-            for _ in range(count):
-                joint = like * share[doc]
-                total = joint.sum(1, keepdims=True)
-                share = np.add.reduceat(joint / np.maximum(total, 1e-30), first, axis=0) / sizes_[:, None]
-                share /= share.sum(1, keepdims=True)
-            total = (like * share[doc]).sum(1)
-            return share, np.add.reduceat(np.log(np.maximum(total, 1e-30)).astype(np.float64), first)
-
-        share, fit = steps(share, STEPS)
-        if k > WIDEST:
-            floor = np.sort(share, axis=1)[:, -WIDEST][:, None]
-            share = np.where(share >= floor, share, 0)
-            share, fit = steps(share / share.sum(1, keepdims=True), STEPS)
-        cost = penalty * np.log(sizes_ + 1.0)
-        best, best_score = share.copy(), fit - cost * (share > 0).sum(1)
-        for _ in range(min(k, WIDEST) - 1):
-            several = (share > 0).sum(1) > 1
-            if not several.any():
-                break
-            least = np.where(share > 0, share, 2).argmin(1)
-            share = share.copy()
-            share[several, least[several]] = 0
-            share, fit = steps(share / np.maximum(share.sum(1, keepdims=True), 1e-30), STEPS)
-            score = fit - cost * (share > 0).sum(1)
-            better = score >= best_score
-            best[better], best_score[better] = share[better], score[better]
+        first = np.cumsum(sizes) - sizes
+        like = np.exp(np.maximum(rows - rows.max(1, keepdims=True), -600).astype(np.float64))
+        words = np.add.reduceat(counts, first).astype(np.float64)
+        cost = penalty * np.log(words + 1.0)
+        share = np.full((n, k), 1.0 / k)
+        best, best_score = share.copy(), np.full(n, -np.inf)
+        left, all_in = np.arange(n), True
+        while len(left):
+            part = Part(like, counts, first[left], sizes[left]) if len(left) < n else Part(like, counts, first, sizes, whole=True)
+            now, fit = part.fit(share[left])
+            score = fit - cost[left] * (now > 0).sum(1)
+            better = score >= best_score[left]
+            best[left[better]], best_score[left[better]] = now[better], score[better]
+            drop = np.arange(k) == np.where(now > 0, now, 2).argmin(1)[:, None]
+            if all_in:
+                if k > 2:
+                    drop |= part.expendable(now, cost[left])
+                all_in = False
+            share[left] = np.where(drop, 0, now)
+            left = left[(share[left] > 0).any(1)]
+            share[left] /= share[left].sum(1, keepdims=True)
         return best
 
     def speaks(self, texts: list[str | None]) -> list[bool]:
@@ -160,21 +198,22 @@ class Model:
         out: list[tuple[str, float, str]] = [(UNKNOWN, 0.0, "")] * len(texts)
         if not self.languages:
             return out
-        split = [tokens(t) if t else [] for t in texts]
         limit = max(1, AT_ONCE // len(self.languages))
-        part: list[int] = []
+        part: list[tuple[int, Counter]] = []
         n = 0
-        for k, ws in enumerate([*split, None]):
-            if part and (ws is None or n + len(ws) > limit):
-                flat = [w for p in part for w in split[p]]
-                share = self.mixtures([len(split[p]) for p in part], self.word_rows(flat), penalty)
-                for p, s in zip(part, share, strict=True):
+        for k, text in enumerate([*texts, None]):
+            ws = Counter(tokens(text)) if text else Counter()
+            if part and (k == len(texts) or n + len(ws) > limit):
+                flat = [w for _, c in part for w in c]
+                counts = np.array([x for _, c in part for x in c.values()])
+                share = self.mixtures(np.array([len(c) for _, c in part]), self.word_rows(flat), counts, penalty)
+                for (p, _), s in zip(part, share, strict=True):
                     b = int(s.argmax())
                     mix = ",".join(f"{self.languages[j]}:{s[j]:.2f}" for j in np.nonzero(s >= 0.01)[0])
                     out[p] = (self.languages[b], min(1.0, float(s[b])), mix)
                 part, n = [], 0
             if ws:
-                part.append(k)
+                part.append((k, ws))
                 n += len(ws)
         return out
 
@@ -224,7 +263,8 @@ def identify(docs: DataFrame, model: Model, penalty: float = 1.0) -> DataFrame:
     """Predicts the language of every whole text from its text alone.
 
     Returns ``doc_id``, ``held_out``, ``lang_pred`` (``und`` for null texts, texts without a letter, and if no
-    language was learned), ``score``, the share of that language, and ``mixture``, all shares from 0.01 on.
+    language was learned), ``score``, the share of that language, and ``mixture``, all shares from 0.01 on. Texts of
+    any length are fitted whole; of equal shares the first language by name counts. Repeated rows are alike.
     """
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -80,3 +80,61 @@ def test_mixtures_and_unlabelled_tables_are_kept(make):
     assert model.settled and kept == {i for i, *_ in [*plain, *mixed]}
     unlabelled = make([(1, "some text"), (2, None), (3, "1 !"), (4, "more")])
     assert {r.doc_id for r in langid.keep_identified(unlabelled, langid.train(unlabelled)).collect()} == {1, 4}
+
+
+def test_ten_languages_in_one_text():
+    """No language of a mixture is left out because there are many."""
+    sets = {f"l{k}": "".join(chr(0x4E00 + 30 * k + j) for j in range(12)) for k in range(12)}
+    rng = random.Random(3)
+    word = lambda lang: "".join(rng.choice(sets[lang]) for _ in range(4))
+    table = np.zeros((12, langid.BUCKETS))
+    for k, lang in enumerate(sets):
+        table[k] = np.bincount(langid.gram_buckets([word(lang) for _ in range(3000)])[0], minlength=langid.BUCKETS)
+    model = langid.Model(list(sets), table)
+    text = " ".join(word(f"l{k}") for k in range(10) for _ in range(40))
+    _, score, mix = model.predict([text])[0]
+    shares = dict(x.split(":") for x in mix.split(","))
+    assert set(shares) == {f"l{k}" for k in range(10)} and all(abs(float(x) - 0.1) < 0.03 for x in shares.values()) and score < 0.15
+
+
+def brute_mixture(rows, penalty):
+    """The best subset of all, each fitted by a thousand plain steps; shares and score."""
+    import itertools
+
+    n, k = rows.shape
+    best = None
+    for size in range(1, k + 1):
+        for subset in itertools.combinations(range(k), size):
+            share = np.zeros(k)
+            share[list(subset)] = 1 / size
+            for _ in range(1000):
+                joint = np.exp(rows - rows.max()) * share
+                share = (joint / joint.sum(1, keepdims=True)).mean(0)
+            fit = (np.log((np.exp(rows - rows.max()) * share).sum(1)) + rows.max()).sum()
+            score = fit - penalty * np.log(n + 1) * size
+            if best is None or score > best[1]:
+                best = (share, score)
+    return best
+
+
+def test_against_brute_force():
+    """Shares of documents with repeated words against a search of all subsets; documents fitted together."""
+    rng = np.random.default_rng(4)
+    model = langid.Model(list("abcd"), rng.integers(0, 30, (4, langid.BUCKETS)))
+    docs = []
+    for _ in range(25):
+        n = int(rng.integers(1, 40))
+        kinds = rng.choice(4, size=int(rng.integers(1, 4)), replace=False)
+        rows = rng.normal(-20, 1, (n, 4))
+        rows[np.arange(n), rng.choice(kinds, n)] += rng.uniform(0, 6)
+        docs.append((rows.astype(np.float32), rng.integers(1, 4, n)))
+    got = model.mixtures(np.array([len(c) for _, c in docs]), np.concatenate([r for r, _ in docs]), np.concatenate([c for _, c in docs]))
+    same = 0
+    for (rows, counts), share in zip(docs, got, strict=True):
+        all_rows = np.repeat(rows.astype(float), counts, axis=0)
+        want, score = brute_mixture(all_rows, 1.0)
+        like = np.exp(all_rows - all_rows.max())
+        reached = (np.log((like * share).sum(1)) + all_rows.max()).sum() - np.log(len(all_rows) + 1) * (share > 0).sum()
+        same += np.abs(share - want).max() < 0.02
+        assert reached >= score - 1.0  # the set is reached by leaving out one language after the other
+    assert same >= 22
