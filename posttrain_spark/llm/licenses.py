@@ -1,19 +1,20 @@
 """License scan by diagonal voting, in DataFrame expressions only.
 
-Phrases and notices are templates, cut into word k-grams like the texts: pairs for phrases, triples for notices.
-Rolling k-grams of a text that occur in a template are joined to the template positions; each match votes for its
-diagonal, text position less template position. Diagonals of a template that lie within ``DRIFT`` words are
-merged, so inserted or missing words don't split a notice. A span is verified by its words, not their hashes, and
-must cover ``COVERAGE`` of the template's k-grams; a phrase needs all of them on one diagonal.
-
-Only matching k-grams leave the row of their text, under a key for the row, so no group is larger than a
-document's matches and repeated ids don't mix.
+Phrases and notices are templates, cut into word k-grams like the texts: pairs for phrases, triples for notices. All
+rolling k-gram hashes of all texts are joined to the template positions; each match votes for its diagonal, text
+position less template position. Diagonals of a template that lie within ``DRIFT`` words of the next are merged, so
+inserted or missing words don't split a notice. A span is verified: its longest chain of matches that goes forward in
+the text and in the template must cover ``COVERAGE`` of the template's k-grams, and be at most ``STRETCH`` times as
+long as the template (and ``DRIFT`` words); a phrase needs all its words on one diagonal. Words are compared by 64-bit
+hashes of k-grams.
+
+Templates are a table: a row each with ``template`` (lower-case words, one space between), ``label`` and ``k``. Their
+positions are broadcast up to ``BROADCAST_GRAMS`` (counted first), else joined by shuffle. Only matches leave the row
+of their text, under a key for the row, so no group is larger than a document's matches and repeated ids don't mix.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +42,9 @@ NOTICES = {
 }
 PAIR, TRIPLE = 2, 3
 DRIFT = 4
-COVERAGE = 0.6
+COVERAGE, STRETCH = 0.6, 1.5
+#: Template positions (some 40 bytes each) that may be broadcast.
+BROADCAST_GRAMS = 500_000
 
 #: Everything in ASCII that is no digit and no letter.
 _OTHER = "".join(map(chr, [*range(0, 48), *range(58, 65), *range(91, 97), *range(123, 128)]))
@@ -58,66 +61,79 @@ def words(text: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(F.lower(inner), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
 
 
-def _gram(w: Column, i: Column, k: int) -> Column:
-    return reduce(lambda a, b: F.concat(a, F.lit(" "), b), [F.get(w, i + j) for j in range(k)])
+def _grams(w: Column, k: int) -> Column:
+    """(position, hash) of the rolling k-grams of an array of words."""
+    gram = lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(k), *(F.get(w, i + j) for j in range(k))).alias("hash"))
+    return F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(0), F.size(w) - k), gram)).otherwise(F.array().cast("array<struct<pos:int,hash:bigint>>"))
 
 
-def template_rows() -> list[tuple[str, str, int, int, int]]:
-    """k-gram, template, its position there, the template's number of k-grams, k."""
-    out = []
-    for texts, k in ((PHRASES, PAIR), (NOTICES, TRIPLE)):
-        for text in texts:
-            ws = text.split(" ")
-            n = len(ws) - k + 1
-            out += [(" ".join(ws[i : i + k]), text, i, n, k) for i in range(n)]
-    return out
+def templates(spark: SparkSession) -> DataFrame:
+    """The fixed phrases and notices."""
+    rows = [(t, label, k) for texts, k in ((PHRASES, PAIR), (NOTICES, TRIPLE)) for t, label in texts.items()]
+    return spark.createDataFrame(rows, "template string, label string, k int")
 
 
-def _templates(spark: SparkSession) -> DataFrame:
-    """The template positions, by the hash of their k-gram; a fixed table."""
-    labels = PHRASES | NOTICES
-    rows = [(g, t, i, n, k, labels[t]) for g, t, i, n, k in template_rows()]
-    return spark.createDataFrame(rows, "t_gram string, template string, t_pos int, n_grams int, k int, label string").withColumn("t_hash", F.xxhash64("t_gram"))
+def _positions(table: DataFrame) -> DataFrame:
+    """Every k-gram of every template: ``hash`` and ``at`` (template, label, k, position, number of k-grams)."""
+    w = F.split("template", " ")
+    grams = F.when(F.col("k") == PAIR, _grams(w, PAIR)).otherwise(_grams(w, TRIPLE))
+    cut = table.select("template", "label", "k", F.size(grams).alias("n_grams"), F.explode(grams).alias("g"))
+    return cut.select(F.col("g.hash").alias("hash"), F.struct("template", "label", "k", "n_grams", F.col("g.pos").alias("t_pos")).alias("at"))
 
 
-def matches(docs: DataFrame) -> DataFrame:
-    """A key for each row, ``doc_id``, ``n_words`` and the (position, k-gram) pairs that occur in a template."""
-    rows = template_rows()
-    first = sorted({g.split(" ")[0] for g, *_ in rows})
-    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.coalesce(F.col("text"), F.lit(""))).alias("w"))
+def matches(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """A key for each row, ``doc_id``, ``n_words`` and ``hits``, the positions of its k-grams with the template positions they match."""
     w = F.col("w")
+    split = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words(F.coalesce(F.col("text"), F.lit(""))).alias("w"))
+    grams = split.select("row", "doc_id", F.size(w).cast("long").alias("n_words"), F.explode_outer(F.concat(_grams(w, PAIR), _grams(w, TRIPLE))).alias("g")).select("row", "doc_id", "n_words", "g.pos", "g.hash")
+    known = _positions(table)
+    if known.count() <= BROADCAST_GRAMS:
+        known = F.broadcast(known)
+    hit = F.when(F.col("at").isNotNull(), F.struct("pos", "at"))
+    return grams.join(known, "hash", "left").groupBy("row", "doc_id", "n_words").agg(F.collect_list(hit).alias("hits"))
+
+
+def _chain(found: Column) -> Column:
+    """Length, first and end position of the longest chain of (pos, t_pos), sorted, that goes forward in both.
+
+    The ends of the best chains by length are kept as an array, each with the place where its chain began.
+    """
+    place = "struct<t:int,first:int,last:int>"
+    empty = F.array().cast(f"array<{place}>")
 
-    def hits(k: int) -> Column:
-        grams = sorted({r[0] for r in rows if r[4] == k})
-        # The first word decides most positions; its test is the cheap one.
-        at = F.filter(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.get(w, i).isin([g for g in first if any(x.startswith(g + " ") for x in grams)]) & _gram(w, i, k).isin(grams))
-        found = F.transform(at, lambda i: F.struct(i.alias("pos"), _gram(w, i, k).alias("gram")))
-        return F.when(F.size(w) >= k, found).otherwise(F.array().cast("array<struct<pos:int,gram:string>>"))
+    def grow(ends: Column, x: Column) -> Column:
+        before = F.filter(ends, lambda e: e["t"] < x["t_pos"])
+        n = F.size(before)
+        fresh = F.struct(x["t_pos"].alias("t"), F.coalesce(F.get(before, n - 1)["first"], x["pos"]).alias("first"), x["pos"].alias("last"))
+        return F.concat(before, F.array(fresh).cast(f"array<{place}>"), F.slice(ends, n + 2, F.greatest(F.size(ends) - n - 1, F.lit(0))))
 
-    return split.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size(w).cast("long").alias("n_words"), F.concat(hits(PAIR), hits(TRIPLE)).alias("hits"))
+    done = lambda ends: F.struct(F.size(ends).alias("n"), F.get(ends, F.size(ends) - 1)["first"].alias("first"), F.get(ends, F.size(ends) - 1)["last"].alias("last"))
+    return F.aggregate(found, empty, grow, done)
 
 
-def scan_licenses(docs: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+def scan_licenses(docs: DataFrame, coverage: float = COVERAGE, table: DataFrame | None = None) -> DataFrame:
     """License phrases and notices of every whole text.
 
     Returns ``doc_id``, ``n_words``, ``n_base`` (places of phrases), ``first_word`` and ``last_word`` (smallest
     and largest start of a place; else null), ``base_labels`` and ``labels`` (distinct, sorted, comma-joined; ""
     if none) and ``score``, the largest share of a template found (1 for a phrase, 0 for nothing). Null and
-    empty texts have no words. Repeated rows are scanned each.
+    empty texts have no words. Repeated rows are scanned each. A text of any length is scanned whole, its words in
+    the memory of one task. Of equally long chains the one that ends earliest in the template counts.
     """
     spark = docs.sparkSession
-    digest = materialize(matches(docs), "license-grams")
-    grams = digest.filter(F.size("hits") > 0).select("row", F.explode("hits").alias("g")).select("row", "g.pos", "g.gram", F.xxhash64("g.gram").alias("hash"))
-    table = F.broadcast(_templates(spark))
-    voted = grams.join(table, (F.col("hash") == F.col("t_hash")) & (F.col("gram") == F.col("t_gram")))
+    digest = materialize(matches(docs, table if table is not None else templates(spark)), "license-matches")
+    voted = digest.filter(F.size("hits") > 0).select("row", F.explode("hits").alias("g")).select("row", "g.pos", "g.at.*")
     diagonal = F.col("pos") - F.col("t_pos")
-    lines = voted.groupBy("row", "template", "label", "k", "n_grams", diagonal.alias("diagonal")).agg(F.count(F.lit(1)).alias("votes"), F.collect_set("t_pos").alias("found"))
+    lines = voted.groupBy("row", "template", "label", "k", "n_grams", diagonal.alias("diagonal")).agg(F.collect_list(F.struct("pos", "t_pos")).alias("found"))
     order = Window.partitionBy("row", "template").orderBy("diagonal")
     phrase = F.col("k") == PAIR
     fresh = (phrase | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > DRIFT, F.lit(True))).cast("int")
-    merged = lines.withColumn("group", F.sum(fresh).over(order)).groupBy("row", "template", "label", "k", "n_grams", "group").agg(F.min("diagonal").alias("start"), F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
-    share = F.size("found") / F.col("n_grams")
-    spans = merged.withColumn("share", share).filter(F.when(phrase, F.col("share") == 1).otherwise(F.col("share") >= coverage))
+    merged = lines.withColumn("group", F.sum(fresh).over(order)).groupBy("row", "template", "label", "k", "n_grams", "group").agg(F.min("diagonal").alias("start"), F.flatten(F.collect_list("found")).alias("found"))
+    # In the text's order; of matches at one place the later in the template first, so that a chain takes one of them.
+    sorted_ = F.transform(F.array_sort(F.transform("found", lambda x: F.struct(x["pos"].alias("pos"), (-x["t_pos"]).alias("back")))), lambda x: F.struct(x["pos"].alias("pos"), (-x["back"]).alias("t_pos")))
+    chained = merged.withColumn("chain", _chain(sorted_)).withColumn("share", F.col("chain.n") / F.col("n_grams"))
+    short = F.col("chain.last") - F.col("chain.first") < STRETCH * F.col("n_grams") + DRIFT
+    spans = chained.filter(F.when(phrase, F.col("share") == 1).otherwise((F.col("share") >= coverage) & short))
     base = F.when(phrase, F.col("start"))
     result = spans.groupBy("row").agg(
         F.count(base).alias("n_base"),
