@@ -2,8 +2,8 @@
 
 Every document gets counts and rule failures from its own text in one pass. Failures are added up by host; a
 host's rate is shrunk towards the mean of all hosts by a beta prior whose strength is fitted to the spread of the
-host rates (method of moments), so a host with three documents is not condemned by two of them. The verdicts
-join back to the documents. Only digests (no texts) are written and shuffled.
+host rates beyond what chance alone would give hosts of their sizes (moments of the beta-binomial), so a host with
+three documents is not condemned by two of them. The verdicts join back to the documents. Only digests (no texts) are written and shuffled.
 """
 
 from __future__ import annotations
@@ -78,18 +78,17 @@ def judge(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
     ``base_failed`` (under 10 words, or over a fifth of the words in repeated windows of five), ``host_rate``
     (the host's shrunk failure rate) and ``kept``: not failed and of a host below ``host_limit``. The host is
     ``source``; a null source is a host of its own. Null and empty texts have no words and fail. Repeated rows
-    count as often as they occur.
+    count as often as they occur. A text of any length is counted whole, its words in the memory of one task.
     """
     soft = (F.col("n_symbols") > F.col("n_words") * SYMBOLS_PER_WORD) | (F.col("n_dup_lines") > F.col("n_lines") * DUPLICATE_LINES)
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     digest = materialize(text_counts(docs).withColumn("base_failed", base).withColumn("failed", base | soft).drop("n_lines"), "quality")
     hosts = materialize(digest.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("long")).alias("f")), "hosts")
     rate = F.col("f") / F.col("n")
-    total = hosts.agg(F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("n"), F.sum("f").alias("f")).first()
+    total = hosts.agg(F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("n"), F.sum("f").alias("f"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares")).first()
     mean = float(total["f"]) / total["n"] if total["n"] else 0.0
     spread = hosts.agg(F.sum(F.col("n") * (rate - mean) * (rate - mean)).alias("v")).first()["v"]
-    variance = float(spread) / total["n"] if total["n"] else 0.0
-    strength = prior_strength(mean, variance)
+    strength = prior_strength(mean, float(spread or 0.0), total["hosts"], total["n"] or 0, total["squares"] or 0.0)
     judged = hosts.select(F.col("source").alias("host"), ((F.col("f") + mean * strength) / (F.col("n") + strength)).alias("host_rate"))
     if total["hosts"] <= BROADCAST_HOSTS:
         judged = F.broadcast(judged)
@@ -97,8 +96,18 @@ def judge(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
     return both.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("host_rate") < host_limit)).alias("kept"), "host_rate")
 
 
-def prior_strength(mean: float, variance: float) -> float:
-    """Pseudo-documents of the beta prior with this mean and variance of rates; between 1 and a million."""
-    if variance <= 0:
+def prior_strength(mean: float, spread: float, hosts: int, docs: int, squares: float) -> float:
+    """Pseudo-documents of the beta prior; between 1 and a million.
+
+    ``spread``: sum over hosts of documents times the squared distance of the rate from the mean; ``squares``: sum of
+    squared numbers of documents. The spread is expected to be ``mean * (1 - mean)`` times
+    ``(hosts - 1) * (1 - r) + r * (docs - squares / docs)``, r being the correlation of two documents of a host; the
+    strength is ``1 / r - 1``. Hosts of one document each, or a single host, tell nothing of r: they are pooled.
+    """
+    chance = mean * (1 - mean)
+    if docs == 0 or chance <= 0:
+        return 1e6
+    above, most = spread / chance - (hosts - 1), docs - squares / docs - (hosts - 1)
+    if above <= 0 or most <= 0:
         return 1e6
-    return min(1e6, max(1.0, mean * (1 - mean) / variance - 1))
+    return min(1e6, max(1.0, most / above - 1))

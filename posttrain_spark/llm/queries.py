@@ -21,7 +21,7 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probability of every text under unigrams and under the backoff automaton."""
     from .lm import score_documents
 
-    return score_documents(_table(spark, sf_dir, "documents"), order=2)
+    return score_documents(_table(spark, sf_dir, "documents"), order=3)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,11 +142,14 @@ WITH docs AS (
 ), hosts AS (
   SELECT source, count(*) AS n, count(*) FILTER (WHERE any_failed) AS f FROM failed GROUP BY source
 ), overall AS (
-  SELECT sum(f) / sum(n) AS m, sum(n) AS n FROM hosts
+  SELECT sum(f) / sum(n) AS m, sum(n) AS n, count(*) AS h, sum(n::DOUBLE * n) AS q FROM hosts
 ), spread AS (
-  SELECT m, sum(hosts.n * (f / hosts.n - m) * (f / hosts.n - m)) / any_value(overall.n) AS v FROM hosts, overall GROUP BY m
+  SELECT any_value(overall.m) AS m, any_value(overall.n) AS n, any_value(overall.h) AS h, any_value(overall.q) AS q,
+         sum(hosts.n * (f / hosts.n - m) * (f / hosts.n - m)) AS s FROM hosts, overall
 ), prior AS (
-  SELECT m, CASE WHEN v <= 0 THEN 1e6 ELSE least(1e6, greatest(1.0, m * (1 - m) / v - 1)) END AS k FROM spread
+  SELECT m, CASE WHEN m * (1 - m) <= 0 THEN 1e6
+                 WHEN s / (m * (1 - m)) - (h - 1) <= 0 OR n - q / n - (h - 1) <= 0 THEN 1e6
+                 ELSE least(1e6, greatest(1.0, (n - q / n - (h - 1)) / (s / (m * (1 - m)) - (h - 1)) - 1)) END AS k FROM spread
 ), rates AS (
   SELECT source, (f + m * k) / (n + k) AS rate FROM hosts, prior
 )

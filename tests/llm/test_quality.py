@@ -38,7 +38,32 @@ def test_host_verdicts(make):
 
 
 def test_prior_strength():
-    assert q.prior_strength(0.5, 0.0) == 1e6 and q.prior_strength(0.5, 0.05) == pytest.approx(4) and q.prior_strength(0.5, 0.3) == 1
+    """Hosts drawn from a beta prior give its strength back; chance alone, single documents and a single host pool."""
+    rng = random.Random(6)
+    for want in (2.0, 10.0, 50.0):
+        hosts = [(n, sum(rng.random() < p for _ in range(n))) for n in (rng.randrange(1, 60) for _ in range(6000)) for p in [rng.betavariate(0.3 * want, 0.7 * want)]]
+        assert strength_of(hosts) == pytest.approx(want, rel=0.15)
+    assert strength_of([(10, sum(rng.random() < 0.3 for _ in range(10))) for _ in range(5000)]) > 200
+    assert strength_of([(1, k % 2) for k in range(100)]) == 1e6 and strength_of([(50, 20)]) == 1e6 and strength_of([(5, 0)]) == 1e6
+    assert strength_of([(50, 50), (50, 0)]) == 1.0 and q.prior_strength(0.0, 0.0, 0, 0, 0.0) == 1e6
+
+
+def strength_of(hosts):
+    n, f = sum(n for n, _ in hosts), sum(f for _, f in hosts)
+    return q.prior_strength(f / n, sum(k * (x / k - f / n) ** 2 for k, x in hosts), len(hosts), n, float(sum(k * k for k, _ in hosts)))
+
+
+def test_hosts_of_one_page(make):
+    """A host's only page, failed, doesn't condemn it when half of all such hosts have one."""
+    good = " ".join(f"word{i}" for i in range(30))
+    rows = [(i, good if i % 2 else "bad", "en", f"host{i}") for i in range(40)] + [(99, good, "en", "host0")]
+    got = {r.doc_id: r for r in q.judge(make(rows)).collect()}
+    assert got[99].kept and all(r.host_rate < 0.6 for r in got.values())
+
+
+def test_odd_rows_have_verdicts(make, odd):
+    got = sorted((tuple(r)[0] is None, r.doc_id or 0, r.base_failed, r.kept) for r in q.judge(make(odd)).collect())
+    assert got == sorted((d is None, d or 0, brute(t)[5], False) for d, t in odd)
 
 
 def test_empty(make):
