@@ -94,3 +94,76 @@ def test_names_of_names_stay_linear():
     assert added(f'a0 = "xK9fQ2mZ7pL4vTq8"\n{doubled}\nsigning_key = a5000') == ["xK9fQ2mZ7pL4vTq8"]
     s.scan('a = "xK9fQ2mZ"\n' + 'a = a + "7pL4vTq8"\n' * 5_000 + "signing_key = a\n" * 5_000)
     s.scan("key " + "x" * 300_000 + ":" + "x." * 100_000 + "=1")
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ('signing_key = """xK9fQ2mZ7pL4vTq8"""', ["xK9fQ2mZ7pL4vTq8"]),
+        ("signing_key = '''xK9fQ2mZ'7pL4vTq8'''\nx = 1", ["xK9fQ2mZ'7pL4vTq8"]),
+        ("tls:\n  private_key: |\n    xK9fQ2mZ7pL4vTq8\n    aB3dE5gH7jK9mN1p\n  port: 80", ["xK9fQ2mZ7pL4vTq8", "aB3dE5gH7jK9mN1p"]),
+        ("  signing_key: >-\n    xK9fQ2mZ7pL4vTq8\n\n    aB3dE5gH\nname: zzzzzzzz", ["xK9fQ2mZ7pL4vTq8", "aB3dE5gH"]),
+        ('signing_key = os.environ.get("SIGNING_KEY", "xK9fQ2mZ7pL4vTq8")', ["xK9fQ2mZ7pL4vTq8"]),
+        ('signing_key = Key("xK9fQ2mZ7pL4vTq8")', ["xK9fQ2mZ7pL4vTq8"]),
+        ('db = connect(user="me", db_pwd="xK9fQ2mZ7pL4vTq8")', ["xK9fQ2mZ7pL4vTq8"]),
+        ('signing_key = os.environ.get("xK9fQ2mZ7pL4vTq8", None)', []),
+        ('signing_key = value\nvalue = "xK9fQ2mZ7pL4vTq8"', ["xK9fQ2mZ7pL4vTq8"]),
+        ('signing_key = a + b\na = "xK9fQ2mZ"\nb = c\nc = "7pL4vTq8"', ["xK9fQ2mZ", "7pL4vTq8"]),
+        ("signing_key = aaaaaaaa\naaaaaaaa = bbbbbbbb\nbbbbbbbb = aaaaaaaa", []),
+        ("<config><authKey>xK9fQ2mZ7pL4vTq8</authKey><name>xK9fQ2mZ7pL4vTqq</name></config>", ["xK9fQ2mZ7pL4vTq8"]),
+        ('wallet_mnemonic = "correct horse battery staple"', ["correct horse battery staple"]),
+        ('pin = "xK9fQ2mZ7pL4vTq8"', []),
+    ],
+)
+def test_more_syntax(text, found):
+    assert added(text) == found
+
+
+def test_random_programs():
+    """Programs of assignments in any order against the values that they were made from."""
+    rng = random.Random(9)
+    for _ in range(400):
+        names = [f"v{k}" for k in range(6)] + ["signing_key", "auth_key"]
+        program = []
+        for k in range(rng.randrange(1, 14)):
+            terms = [rng.choice(names) if rng.random() < 0.5 else f'"{key_text(12, rng.random())}"' for _ in range(rng.randrange(1, 4))]
+            program.append((rng.choice(names), terms))
+        text, starts = "", []
+        for name, terms in program:
+            line = f"{name} {rng.choice(['=', ':=', ':'])} "
+            starts.append([])
+            for t in terms:
+                starts[-1].append(len(text) + len(line))
+                line += t + " + "
+            text += line[:-3] + "\n"
+
+        def spans(k, seen, program=program, starts=starts):
+            """Literal spans of a statement's value, or None if names go in a circle."""
+            out = set()
+            for t, at in zip(program[k][1], starts[k], strict=True):
+                if t[0] == '"':
+                    out.add((at + 1, at + len(t) - 1))
+                    continue
+                bound = [j for j, (n, _) in enumerate(program) if n == t]
+                other = [j for j in bound if j < k][-1:] or [j for j in bound if j > k][:1]
+                if other and other[0] in seen:
+                    return None
+                more = spans(other[0], seen | {other[0]}) if other else set()
+                if more is None:
+                    return None
+                out |= more
+            return out
+
+        want = [spans(k, {k}) for k, (name, _) in enumerate(program) if name.endswith("key")]
+        if None in want:
+            continue
+        got = {(a, b) for a, k, b in s.scan(text)[1] if k == 3 and text[a - 1] == '"'}
+        assert got == set().union(*want), text
+
+
+def test_new_syntax_stays_linear():
+    s.scan('token = """' * 30_000)
+    s.scan("".join(f"{' ' * (k % 500)}key: |\n" for k in range(30_000)))
+    s.scan("token = f(" * 30_000 + '"a"')
+    s.scan("<key>" * 50_000)
+    s.scan("".join(f"key{k} = key{k + 1}\n" for k in range(30_000)) + 'key30000 = "xK9fQ2mZ7pL4vTq8"')
