@@ -5,14 +5,17 @@ planes above left: each plane moves the ids with a zero bit before those with a
 planes (a count every 512 bits) an id, the number of occurrences of an id in a range and the place of its k-th
 occurrence take one step a plane.
 
-File: ``WAVEMTX1``, a little-endian uint32 with the length of the header, the header (JSON: number of ids and
-documents, number of planes, zeros of each plane, offset and length of each section), and the sections, each a
-zstd frame: ``docs`` (int64 ids of the documents), ``nulls`` (one byte a document: id is null), ``sizes`` (int64
-number of ids of each), ``plane<b>`` (bits, least significant first) and ``rank<b>`` (uint64 ones before each
-block of 512 bits). A reader fetches the sections that it needs.
-
-Shards are written by executors to a folder that all share, under a temporary name and then moved, so a task that
-runs again or twice leaves one whole file.
+File: ``WAVEMTX2``, a little-endian uint32 with the length of the header, the header (JSON: number of ids and
+documents, number of planes, zeros of each plane, offset and length of each section), and the sections: ``docs`` (int64
+ids of the documents), ``nulls`` (one byte a document: id is null), ``sizes`` (int64 number of ids of each),
+``index<b>`` (uint64: where each frame of plane b starts in its section, and the end; then the ones before each frame),
+each a zstd frame, and ``plane<b>``, a zstd frame for every 2^19 bits of the plane, which holds the ones of the frame
+before each block of 512 bits (uint32) and the bits, least significant first. A reader fetches the header, the index of
+a plane and the frames that it needs: an access reads one frame a plane.
+
+Shards are written by executors to a folder that all share. Every attempt of a task names its files anew and nothing is
+replaced or moved; the rows that the written table holds say which files count, so a task that is stopped at any point
+or runs again leaves whole shards for every row (and files that no row names, which ``sweep`` deletes).
 """
 
 from __future__ import annotations
@@ -37,14 +40,17 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, doc_texts, fresh_path, map_batches, materialize, partitions, prepare, workspace
 
-MAGIC = b"WAVEMTX1"
-BLOCK = 512
+MAGIC = b"WAVEMTX2"
+#: Bits between ranks, and of a frame.
+BLOCK, FRAME = 512, 1 << 19
+#: Frames that a reader keeps.
+FRAMES = 256
 #: Ids of a shard, but for a document that has more.
 SHARD_IDS = 1 << 22
 #: Bytes of text that are encoded together.
 AT_ONCE = 12 << 20
-#: Pieces of text remembered by each Python worker.
-CACHE = 900_000
+#: Bytes of pieces of text and their ids remembered by each Python worker, with what a dictionary's entry takes.
+CACHE, ENTRY = 256 << 20, 160
 
 
 def _kind(planes: int) -> type:
@@ -66,9 +72,16 @@ def write_wavelet(ids: np.ndarray, sizes: np.ndarray, docs: list[int | None], pl
         packed = np.packbits(bit, bitorder="little")
         padded = np.zeros(-(-max(1, len(packed)) // (BLOCK // 8)) * (BLOCK // 8), np.uint8)
         padded[: len(packed)] = packed
-        ones = np.bitwise_count(padded).reshape(-1, BLOCK // 8).sum(1, dtype=np.uint64)
-        sections[f"plane{b}"] = pack(padded.tobytes())
-        sections[f"rank{b}"] = pack(np.concatenate([[np.uint64(0)], np.cumsum(ones)]).astype("<u8").tobytes())
+        ones = np.bitwise_count(padded).reshape(-1, BLOCK // 8).sum(1, dtype=np.uint32)
+        frames, starts, before = [], [0], [0]
+        for lo in range(0, len(ones), FRAME // BLOCK):
+            part = ones[lo : lo + FRAME // BLOCK]
+            ranks = np.cumsum(part, dtype="<u4") - part
+            frames.append(pack(ranks.astype("<u4").tobytes() + padded[lo * BLOCK // 8 : (lo + len(part)) * BLOCK // 8].tobytes()))
+            starts.append(starts[-1] + len(frames[-1]))
+            before.append(before[-1] + int(part.sum()))
+        sections[f"index{b}"] = pack(np.array([*starts, *before], "<u8").tobytes())
+        sections[f"plane{b}"] = b"".join(frames)
         low = row[~bit]
         zeros.append(len(low))
         row = np.concatenate([low, row[bit]])
@@ -93,6 +106,7 @@ class Wavelet:
         self.start = len(MAGIC) + 4 + n
         self.n, self.planes = self.head["ids"], self.head["planes"]
         self._held: dict[str, np.ndarray] = {}
+        self._frames: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
     def section(self, name: str, kind: str) -> np.ndarray:
         if name not in self._held:
@@ -109,11 +123,32 @@ class Wavelet:
     def docs(self) -> list[int | None]:
         return [None if z else d for d, z in zip(self.section("docs", "<i8").tolist(), self.section("nulls", "u1").tolist(), strict=True)]
 
+    def _index(self, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the frames of plane b start, and the ones before each; both with the end."""
+        return tuple(np.split(self.section(f"index{b}", "<u8").astype(np.int64), 2))
+
+    def _frame(self, b: int, f: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks and bytes of a frame."""
+        if (b, f) not in self._frames:
+            starts, _ = self._index(b)
+            self.file.seek(self.start + self.head["sections"][f"plane{b}"][0] + int(starts[f]))
+            raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.file.read(int(starts[f + 1] - starts[f]))), np.uint8)
+            blocks = len(raw) // (BLOCK // 8 + 4)
+            if len(self._frames) >= FRAMES:
+                self._frames.clear()
+            self._frames[b, f] = raw[: 4 * blocks].view("<u4").astype(np.int64), raw[4 * blocks :]
+        return self._frames[b, f]
+
     def _ones(self, b: int, i: int) -> int:
         """Ones of plane b before position i."""
-        plane, k = self.section(f"plane{b}", "u1"), i // BLOCK
-        inside = plane[k * BLOCK // 8 : -(-i // 8)]
-        total = int(self.section(f"rank{b}", "<u8")[k]) + int(np.bitwise_count(inside).sum())
+        before = self._index(b)[1]
+        f, i = divmod(i, FRAME)
+        ranks, bits = self._frame(b, f) if f + 1 < len(before) else (np.zeros(0, np.int64), None)
+        k = i // BLOCK
+        if k >= len(ranks):  # the end of the last frame
+            return int(before[min(f + 1, len(before) - 1)])
+        inside = bits[k * BLOCK // 8 : -(-i // 8)]
+        total = int(before[f]) + int(ranks[k]) + int(np.bitwise_count(inside).sum())
         return total - (int(inside[-1]) >> (i % 8)).bit_count() if i % 8 and len(inside) else total
 
     def _levels(self) -> Iterator[tuple[int, int]]:
@@ -125,7 +160,7 @@ class Wavelet:
             raise IndexError(i)
         out = 0
         for b, zeros in self._levels():
-            bit = int(self.section(f"plane{b}", "u1")[i >> 3]) >> (i & 7) & 1
+            bit = int(self._frame(b, i // FRAME)[1][i % FRAME >> 3]) >> (i & 7) & 1
             out = out << 1 | bit
             ones = self._ones(b, i)
             i = zeros + ones if bit else i - ones
@@ -146,31 +181,53 @@ class Wavelet:
 
     def select(self, x: int, k: int) -> int:
         """Position of the k-th occurrence of id x, from 0."""
-        if k < 0 or k >= self.count(x):
+        lo, hi = self._range(x, 0, self.n) if 0 <= x < 1 << self.planes else (0, 0)
+        if not 0 <= k < hi - lo:
             raise IndexError(k)
-        at = self._range(x, 0, 0)[0] + k
+        return int(self._up(x, np.array([lo + k]))[0])
+
+    def positions(self, x: int) -> np.ndarray:
+        """All positions of id x, ascending, in one pass over the planes."""
+        lo, hi = self._range(x, 0, self.n) if 0 <= x < 1 << self.planes else (0, 0)
+        return self._up(x, np.arange(lo, hi))
+
+    def _up(self, x: int, at: np.ndarray) -> np.ndarray:
+        """Positions in the shard of ascending places below the last plane, all of id x."""
         for b, zeros in reversed(list(self._levels())):
-            one = x >> b & 1
-            at = self._find(b, at - zeros if one else at, bool(one))
+            one = bool(x >> b & 1)
+            at = self._find(b, at - zeros if one else at, one)
         return at
 
-    def _find(self, b: int, k: int, one: bool) -> int:
-        """Position of the k-th one (or zero) of plane b."""
-        ranks = self.section(f"rank{b}", "<u8").astype(np.int64)
-        before = ranks if one else np.arange(len(ranks)) * BLOCK - ranks
-        block = int(np.searchsorted(before, k, side="right")) - 1
-        bits = np.unpackbits(self.section(f"plane{b}", "u1")[block * BLOCK // 8 : (block + 1) * BLOCK // 8], bitorder="little") == one
-        return block * BLOCK + int(np.nonzero(bits)[0][k - int(before[block])])
-
-    def positions(self, x: int) -> list[int]:
-        """All positions of id x, ascending."""
-        return [self.select(x, k) for k in range(self.count(x))]
+    def _find(self, b: int, k: np.ndarray, one: bool) -> np.ndarray:
+        """Positions of the ones (or zeros) of plane b with these ascending numbers; each frame is read once."""
+        before = self._index(b)[1]
+        if not one:
+            before = np.arange(len(before)) * FRAME - before
+            before[-1] = np.iinfo(np.int64).max
+        frame = np.searchsorted(before, k, side="right") - 1
+        out = np.empty(len(k), np.int64)
+        for f in np.unique(frame).tolist():
+            mine = frame == f
+            ranks, bits = self._frame(b, f)
+            if not one:
+                ranks = np.arange(len(ranks)) * BLOCK - ranks
+            number = k[mine] - before[f]
+            block = np.searchsorted(ranks, number, side="right") - 1
+            first, last = int(block[0]), int(block[-1]) + 1
+            places = np.flatnonzero(np.unpackbits(bits[first * BLOCK // 8 : last * BLOCK // 8], bitorder="little") == one)
+            out[mine] = f * FRAME + first * BLOCK + places[number - int(ranks[first])]
+        return out
 
     def all_ids(self) -> np.ndarray:
         """The ids in order, by undoing the planes from the last to the first."""
         row = np.zeros(self.n, _kind(self.planes))
         for b, zeros in reversed(list(self._levels())):
-            bit = np.unpackbits(self.section(f"plane{b}", "u1"), count=self.n, bitorder="little").view(bool)
+            starts, _ = self._index(b)
+            self.file.seek(self.start + self.head["sections"][f"plane{b}"][0])
+            raw, inflate = self.file.read(int(starts[-1])), zstandard.ZstdDecompressor().decompress
+            frames = [np.frombuffer(inflate(raw[i:j]), np.uint8) for i, j in zip(starts.tolist(), starts[1:].tolist(), strict=False)]
+            plane = np.concatenate([f[len(f) // (BLOCK // 8 + 4) * 4 :] for f in frames])
+            bit = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             before = np.empty_like(row)
             before[~bit] = row[:zeros]
             before[bit] = row[zeros:] | row.dtype.type(1 << b)
@@ -207,6 +264,7 @@ class PieceEncoder:
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
+        self.room = CACHE
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -240,10 +298,11 @@ class PieceEncoder:
         marks = [m for m in {p[len(w) :] for p, w in split.items()} if m and m not in self.marks]
         self.marks.update(zip(marks, self._ids(marks), strict=True))
         out = {p: (got[w] if w in got else memory[w]) + (self.marks[p[len(w) :]] if p != w else b"") for p, w in split.items()}
-        if len(memory) < CACHE:
-            memory.update(got)
-            memory.update(out)
-        if len(self.marks) > CACHE:
+        if self.room > 0:
+            for more in (got, out):
+                self.room -= sum(len(p) + len(x) + ENTRY for p, x in more.items())
+                memory.update(more)
+        if len(self.marks) > 10_000:  # not many and short, but any run of marks is one
             self.marks = {"": b""}
         return out
 
@@ -321,7 +380,7 @@ def write_shards(docs: DataFrame, path: str, at: str, end_id: int = 0, shard_ids
             nonlocal n, seq
             flat = np.frombuffer(b"".join(held), "<u4")
             body = write_wavelet(flat, np.array([len(h) // 4 for h in held], np.int64), ids, max(coder.planes, int(end_id).bit_length()))
-            name = f"shard-{part:06d}-{seq:05d}.wmx"
+            name = f"shard-{part:06d}-{seq:05d}-{uuid.uuid4().hex}.wmx"
             put(at, name, body)
             row = {"part": [part], "seq": [seq], "file": [name], "n_docs": [len(ids)], "n_ids": [len(flat)]}
             ids.clear(), held.clear()
@@ -357,16 +416,21 @@ def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[lis
 
 
 def put(folder: str, name: str, body: bytes) -> None:
-    """Writes a whole file to a folder on any file system, or leaves none."""
+    """Writes a file to a folder on any file system."""
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
-    temporary = f"{root}/.{name}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(temporary) as f:
+    with fs.open_output_stream(f"{root}/{name}") as f:
         f.write(body)
-    target = f"{root}/{name}"
-    if fs.get_file_info(target).type != pafs.FileType.NotFound:  # an earlier attempt's; some file systems don't replace
-        fs.delete_file(target)
-    fs.move(temporary, target)
+
+
+def sweep(shards: DataFrame, at: str) -> int:
+    """Deletes the files that stopped attempts have left in the folder: those that no row of ``shards`` names; how many."""
+    fs, root = pafs.FileSystem.from_uri(at)
+    there = shards.sparkSession.createDataFrame([(f.base_name,) for f in fs.get_file_info(pafs.FileSelector(root))], "file string")
+    gone = [r["file"] for r in there.join(shards, "file", "left_anti").toLocalIterator()]
+    for name in gone:
+        fs.delete_file(f"{root}/{name}")
+    return len(gone)
 
 
 def open_shard(folder: str, name: str) -> Wavelet:
@@ -374,8 +438,10 @@ def open_shard(folder: str, name: str) -> Wavelet:
     return Wavelet(fs.open_input_file(f"{root}/{name}"))
 
 
-def read_shards(shards: DataFrame, at: str) -> DataFrame:
-    """Per document of the shards: ``doc_id``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids_crc32``.
+def read_shards(shards: DataFrame, at: str, end_id: int = 0) -> DataFrame:
+    """Per document of the shards: ``doc_id``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids_crc32``, ``shard_ends``.
+
+    The last is the number of end ids in the document's shard, counted by the ranks of the planes.
 
     The offset of a part is summed on the driver, one number a part; that of a shard in its part by a window.
     """
@@ -388,7 +454,7 @@ def read_shards(shards: DataFrame, at: str) -> DataFrame:
     offsets = spark.sparkContext.broadcast(base)
     order = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     dealt = shards.withColumn("before", F.coalesce(F.sum("n_ids").over(order), F.lit(0).cast("long"))).select("part", "file", "before").repartition(partitions(spark))
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long, shard_ends long"
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,7 +465,7 @@ def read_shards(shards: DataFrame, at: str) -> DataFrame:
                 ends = np.cumsum(shard.sizes)
                 starts = ends - shard.sizes
                 crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": shard.docs, "start": starts + (offsets.value[part] + before), "n_tokens": shard.sizes, "ids_crc32": crcs}, schema=out)
+                yield pa.RecordBatch.from_pydict({"doc_id": shard.docs, "start": starts + (offsets.value[part] + before), "n_tokens": shard.sizes, "ids_crc32": crcs, "shard_ends": [shard.count(end_id)] * len(crcs)}, schema=out)
 
     return dealt.mapInArrow(run, schema)
 
@@ -411,7 +477,7 @@ def encode_to_shards(docs: DataFrame, path: str, at: str | None = None, end_id:
     together, in the order of a hash of their text. An empty table writes no shard.
     """
     at = at or fresh_path(docs.sparkSession, "wavelet")
-    return read_shards(write_shards(docs, path, at, end_id), at), at
+    return read_shards(write_shards(docs, path, at, end_id), at, end_id), at
 
 
 def count_id(shards: DataFrame, at: str, x: int) -> DataFrame:
