@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
-from ..sources.storage import materialize
+from ..sources.storage import free_name, materialize
 
 # Fixed value: the system turn of expanded threads.
 SYSTEM_PROMPT = "A chat between a curious user and an artificial intelligence assistant. The assistant gives helpful, detailed, and polite answers to the user's questions.\n\n"
@@ -52,74 +48,84 @@ def flat_nodes(trees: list[dict]) -> list[tuple[str, str | None, str, str]]:
     return out
 
 
-def tools_of(value) -> list[dict] | None:
-    """Tools as a list of objects; layers of JSON text are read, anything else is an error."""
-    if value is None:
-        return None
-    read = lambda x: json.loads(x) if isinstance(x, str) else x
-    tools = read(value)
-    if not isinstance(tools, list):
-        raise ValueError("tools: expected a list")
-    tools = [read(t) for t in tools]
-    if not all(isinstance(t, dict) for t in tools):
-        raise ValueError("tools: expected objects")
-    return tools
-
-
-def tool_call_answer(calls: list, tools: list[dict] | None) -> dict:
-    """Name and arguments of the single call of an answer; anything else is an error."""
-    if not tools:
-        raise ValueError("a tool call without tools")
-    if len(calls) != 1:
-        raise ValueError("more than one tool call")
-    call = calls[0]
-    function = call.get("function", call) if isinstance(call, dict) else None
-    if not isinstance(function, dict):
-        raise ValueError("a tool call must be an object")
-    name, arguments = function.get("name"), function.get("arguments")
-    if not isinstance(name, str) or not name.strip():
-        raise ValueError("a tool call needs a name")
-    if not isinstance(arguments, (str, dict)):
-        raise ValueError("a tool call needs arguments, as text or an object")
-    return {"name": name, "arguments": arguments}
-
-
-def question_answer(line: str) -> tuple[str | None, str | None]:
-    """The question-answer record of a chat record (JSON), or why there is none: a pair of record and error; both null if it is silently left out."""
-    try:
-        row = json.loads(line)
-        messages = row.get("messages") or []
-        if not messages:
-            return None, None
-        tools = tools_of(row.get("tools"))
-        *question, last = messages
-        if not isinstance(last, dict):
-            return None, None
-        calls = last.get("tool_calls") or []
-        truth = tool_call_answer(calls, tools) if calls else last.get("content", "").strip()
-    except (ValueError, AttributeError, TypeError) as e:
-        return None, str(e) or type(e).__name__
-    if not question or not truth:
-        return None, None
-    out = {"question": question, "ground_truth": truth} | ({"answer_is_tool_call": True} if calls else {}) | ({"tools": tools} if tools else {})
-    return json.dumps(out, ensure_ascii=False), None
-
-
-@F.pandas_udf(StructType([StructField("record", StringType()), StructField("error", StringType())]))
-def _question_answer(lines: pd.Series) -> pd.DataFrame:
-    got = [question_answer(x) if isinstance(x, str) and x.strip() else (None, None) for x in lines]
-    return pd.DataFrame(got, columns=["record", "error"])
+def _kind(v: Column) -> Column:
+    """STRING, OBJECT, ARRAY, VOID, ... of a VARIANT; null for a missing value."""
+    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+
+
+def _part(v: Column, path: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(v, f"$.{path}" if path else "$", kind)
+
+
+def _opened(v: Column) -> Column:
+    """A VARIANT, or the one that its JSON text stands for."""
+    return F.when(_kind(v) == "STRING", F.try_parse_json(_part(v, "", "string"))).otherwise(v)
+
+
+def _chat(line: Column) -> dict[str, Column]:
+    """The parts of a chat record (a VARIANT): null where a part is missing or of another kind."""
+    turns, tools = _part(line, "messages", "array<variant>"), _part(line, "tools")
+    last = F.try_element_at(turns, F.lit(-1))
+    calls = _part(last, "tool_calls", "array<variant>")
+    call = F.get(calls, 0)
+    given = F.coalesce(_part(call, "function"), call)
+    return {
+        "turns": turns,
+        "last": last,
+        "tools_given": F.coalesce(_kind(tools) != "VOID", F.lit(False)),
+        "tools": F.transform(_part(_opened(tools), "", "array<variant>"), _opened),
+        "calls_given": ~F.coalesce(_kind(_part(last, "tool_calls")), F.lit("VOID")).isin("VOID", "BOOLEAN"),
+        "calls": calls,
+        "given": given,
+        "content": _part(last, "content"),
+    }
+
+
+def _complaint(c: dict[str, Column]) -> Column:
+    """What is wrong with a chat record, by a table of conditions; the first that holds."""
+    some = lambda x: F.coalesce(F.size(x) > 0, F.lit(False))
+    kind = lambda x: F.coalesce(_kind(x), F.lit("VOID"))
+    called = c["calls_given"] & (c["calls"].isNull() | some(c["calls"]))
+    name = F.when(kind(_part(c["given"], "name")) == "STRING", _part(c["given"], "name", "string"))
+    table = [
+        (c["tools_given"] & c["tools"].isNull(), "tools: expected a list"),
+        (F.exists(F.coalesce(c["tools"], F.array().cast("array<variant>")), lambda t: kind(t) != "OBJECT"), "tools: expected objects"),
+        (called & c["calls"].isNull(), "tool calls: expected a list"),
+        (called & ~some(c["tools"]), "a tool call without tools"),
+        (called & (F.size(c["calls"]) > 1), "more than one tool call"),
+        (called & (kind(c["given"]) != "OBJECT"), "a tool call must be an object"),
+        (called & (F.trim(F.coalesce(name, F.lit(""))) == ""), "a tool call needs a name"),
+        (called & ~kind(_part(c["given"], "arguments")).isin("STRING", "OBJECT"), "a tool call needs arguments, as text or an object"),
+        (~called & ~kind(c["content"]).isin("STRING") & (c["content"].isNotNull()), "content: expected text"),
+    ]
+    return F.coalesce(*(F.when(F.coalesce(condition, F.lit(False)), F.lit(text)) for condition, text in table))
 
 
 def convert_to_question_answer(lines: DataFrame, column: str = "line", skip_on_error: bool = False) -> DataFrame:
-    """Chat records as question-answer records: ``record``. Bad records are an error unless skipped."""
-    out = lines.withColumn("_qa", _question_answer(F.col(column)))
-    bad = F.col("_qa.error")
-    if skip_on_error:
-        out = out.filter(bad.isNull())
-    else:
-        out = out.filter(F.when(bad.isNotNull(), F.raise_error(bad).cast("boolean")).otherwise(True))
-    return out.filter("_qa.record is not null").withColumn("record", F.col("_qa.record")).drop("_qa")
+    """Chat records (JSON lines) as question-answer records: all columns and ``record``, as JSON.
+
+    The last turn is the answer: its text, or name and arguments of its only tool call, which needs tools. Blank
+    lines, records without turns, and those without a question or an answer are left out. Other records with
+    something wrong are an error, or left out with ``skip_on_error``. Objects have their keys in alphabetical order.
+    """
+    held = free_name(lines, "qa")
+    parts = F.struct(*(x.alias(k) for k, x in _chat(F.col(held)).items()))
+    text = F.trim(F.regexp_replace(F.col(column), r"^\s+|\s+$", ""))
+    whole = lines.filter(text != "").withColumn(held, F.try_parse_json(F.col(column)))
+    broken = F.col(held).isNull()
+    out = whole.filter(~broken) if skip_on_error else whole.filter(F.when(broken, F.raise_error(F.lit("not JSON")).cast("boolean")).otherwise(True))
+    out = out.withColumn(held, parts).filter((F.size(f"{held}.turns") > 0) & (_kind(F.col(f"{held}.last")) == "OBJECT"))
+    c = {k: F.col(f"{held}.{k}") for k in ("turns", "last", "tools_given", "tools", "calls_given", "calls", "given", "content")}
+    wrong = _complaint(c)
+    out = out.filter(wrong.isNull()) if skip_on_error else out.filter(F.when(wrong.isNotNull(), F.raise_error(wrong).cast("boolean")).otherwise(True))
+    question = F.slice(c["turns"], 1, F.greatest(F.size(c["turns"]) - 1, F.lit(0)))
+    called = c["calls_given"] & (F.size(c["calls"]) > 0)
+    words = F.regexp_replace(_part(c["content"], "", "string"), r"^\s+|\s+$", "")
+    call = F.to_json(F.struct(_part(c["given"], "name").alias("name"), _part(c["given"], "arguments").alias("arguments")))
+    truth = F.when(called, F.parse_json(call)).when(words != "", F.parse_json(F.to_json(F.struct(words.alias("w")))))
+    truth = F.when(called, truth).otherwise(_part(truth, "w"))
+    record = F.struct(question.alias("question"), truth.alias("ground_truth"), F.when(called, F.lit(True)).alias("answer_is_tool_call"), F.when(F.size(c["tools"]) > 0, c["tools"]).alias("tools"))
+    return out.filter((F.size(question) > 0) & truth.isNotNull()).withColumn("record", F.to_json(record)).drop(held)
 
 
 def text_question_answer(messages: Column) -> tuple[Column, Column]:

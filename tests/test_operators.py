@@ -215,20 +215,47 @@ def test_trees(spark):
 
 
 def test_question_answer(spark):
-    chat = {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": " a "}]}
+    chat = {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": " a\n"}]}
     call = {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "tool_calls": [{"function": {"name": "f", "arguments": "{}"}}]}], "tools": '["{}"]'}
-    qa = lambda r: trees.question_answer(json.dumps(r))
-    assert json.loads(qa(chat)[0])["ground_truth"] == "a"
-    assert json.loads(qa(call)[0]) == {"question": [{"role": "user", "content": "q"}], "ground_truth": {"name": "f", "arguments": "{}"}, "answer_is_tool_call": True, "tools": [{}]}
-    assert qa({"messages": []}) == qa({"messages": [{"role": "assistant", "content": "a"}]}) == (None, None)
-    for change in ({"tools": None}, {"tools": "3"}):
-        assert qa(call | change)[1]
-    two = json.loads(json.dumps(call))
-    two["messages"][1]["tool_calls"] *= 2
-    lines = spark.createDataFrame([(json.dumps(x),) for x in (chat, call, two)], "line string")
-    assert trees.convert_to_question_answer(lines, skip_on_error=True).count() == 2
-    with pytest.raises(Exception, match="more than one tool call"):
-        trees.convert_to_question_answer(lines).collect()
+    with_last = lambda **x: chat | {"messages": [chat["messages"][0], {"role": "assistant"} | x]}
+    with_call = lambda *x: with_last(tool_calls=list(x)) | {"tools": [{"name": "f"}]}
+    asked = {"question": [{"role": "user", "content": "q"}]}
+    cases = [  # a record, and the record that it becomes, None if it is left out, or its error
+        (chat, asked | {"ground_truth": "a"}),
+        (chat | {"tools": []}, asked | {"ground_truth": "a"}),
+        (call, asked | {"ground_truth": {"name": "f", "arguments": "{}"}, "answer_is_tool_call": True, "tools": [{}]}),
+        (with_call({"name": "g", "arguments": {"x": [1, None]}}), asked | {"ground_truth": {"name": "g", "arguments": {"x": [1, None]}}, "answer_is_tool_call": True, "tools": [{"name": "f"}]}),
+        (with_last(content="a", tool_calls=[]), asked | {"ground_truth": "a"}),
+        (with_last(content="a", tool_calls=None), asked | {"ground_truth": "a"}),
+        ({"messages": []}, None),
+        ({"other": 1}, None),
+        ({"messages": [{"role": "assistant", "content": "a"}]}, None),
+        (with_last(content="  "), None),
+        (with_last(), None),
+        ({"messages": [{"role": "user", "content": "q"}, "a"]}, None),
+        (call | {"tools": None}, "without tools"),
+        (call | {"tools": "3"}, "expected a list"),
+        (call | {"tools": ["3"]}, "expected objects"),
+        (with_call({"name": "f", "arguments": "{}"}, {"name": "f", "arguments": "{}"}), "more than one tool call"),
+        (with_call("f"), "must be an object"),
+        (with_call({"name": " ", "arguments": "{}"}), "needs a name"),
+        (with_call({"name": 3, "arguments": "{}"}), "needs a name"),
+        (with_call({"name": "f"}), "needs arguments"),
+        (with_call({"name": "f", "arguments": [1]}), "needs arguments"),
+        (with_last(content=3), "expected text"),
+    ]
+    rows = [(k, json.dumps(x), "qa", "record") for k, (x, _) in enumerate(cases)] + [(100, "  ", "", ""), (101, None, "", "")]
+    lines = spark.createDataFrame(rows, "k int, line string, qa string, qa_ string")
+    good = {k: w for k, (_, w) in enumerate(cases) if not isinstance(w, str)}
+    got = {r.k: json.loads(r.record) for r in trees.convert_to_question_answer(lines.filter(F.col("k").isin([*good, 100, 101])), "line").collect()}
+    assert got == {k: w for k, w in good.items() if w}
+    assert {r.k for r in trees.convert_to_question_answer(lines, skip_on_error=True).collect()} == set(got)
+    for k, (_, w) in enumerate(cases):
+        if isinstance(w, str):
+            with pytest.raises(Exception, match=w):
+                trees.convert_to_question_answer(lines.filter(F.col("k") == k)).collect()
+    with pytest.raises(Exception, match="not JSON"):
+        trees.convert_to_question_answer(spark.createDataFrame([("{",)], "line string")).collect()
 
 
 def test_sources(spark, tmp_path):
