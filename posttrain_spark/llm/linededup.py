@@ -2,12 +2,12 @@
 
 Pass 1 hashes every line key. Each task keeps the hashes it saw once and those it saw twice or more as two
 Bloom filters, sent as 64 segments of packed bits. Filters of two tasks merge without false negatives:
-``once = o1 | o2`` and ``twice = t1 | t2 | (o1 & o2)``. The merged twice filter has ``filter_bits`` bits
-whatever the input (16 MB by default), which bounds what is collected and broadcast.
+``once = o1 | o2`` and ``twice = t1 | t2 | (o1 & o2)``. Filters have ``LINE_BITS`` bits for every line of the corpus
+(counted first), rounded up to a power of two, up to ``MOST_BITS`` (64 MB), which bounds what is collected and broadcast.
 
 Pass 2 reads the lines again. Only lines whose hash is in the twice filter are shuffled, as SHA-256 digests
-of their keys, and counted exactly, so a false positive costs a shuffled row and never changes the result. A
-filter too small for its corpus costs shuffle, not correctness: keep about 10 bits a distinct line.
+of their keys, and counted exactly, so a false positive costs a shuffled row and never changes the result. In a
+corpus of more lines than the largest filter is made for, more lines are shuffled, up to all of them: the plain way.
 
 Confirmed digests of up to ``broadcast_rows`` rows (counted first) are broadcast; beyond that they are joined
 to the documents that hold them. Both ways give the same rows.
@@ -30,6 +30,10 @@ from .common import SPACE, arrow_schema, doc_texts, lower_az, map_batches, mater
 
 SEGMENTS = 64
 PROBES = 2
+#: Bits for a line; the fewest and the most bits of a filter.
+LINE_BITS, LEAST_BITS, MOST_BITS = 10, 1 << 20, 1 << 29
+#: Confirmed digests that are broadcast (some 130 bytes each in a worker).
+BROADCAST_LINES = 1 << 18
 #: Hashes that a task holds before it folds them into its bits.
 FOLD = 1 << 20
 
@@ -70,6 +74,12 @@ class Twin:
             np.bitwise_or.at(self.once, p >> 3, (np.uint8(1) << (p & 7).astype(np.uint8)))
 
 
+def filter_size(texts: DataFrame) -> int:
+    """Bits of a filter for all lines of these texts: a power of two."""
+    lines = texts.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (LINE_BITS * lines - 1).bit_length() if lines else 0))
+
+
 def twice_filter(texts: DataFrame, filter_bits: int) -> Broadcast:
     """The merged twice filter over the line keys of all texts, broadcast."""
     spark = texts.sparkSession
@@ -177,14 +187,14 @@ def _stripped(doc: int | None, text: str, drop: dict[bytes, int | None], keep: s
     return len(lines), len(lines) - len(left), "\n".join(left)
 
 
-def _map_stripped(docs: DataFrame, make, schema: str, min_docs: int, min_chars: int, keep: str, filter_bits: int, broadcast_rows: int) -> DataFrame:
+def _map_stripped(docs: DataFrame, make, schema: str, min_docs: int, min_chars: int, keep: str, filter_bits: int | None, broadcast_rows: int) -> DataFrame:
     """``make(batch, results)`` for all batches of ``docs``, the results being those of ``_stripped``."""
     if keep not in ("none", "first"):
         raise ValueError(f"keep must be 'none' or 'first', not {keep!r}")
     spark = docs.sparkSession
     prepare(spark)
     least = max(1, min_chars)
-    suspects, confirmed = confirmed_lines(doc_texts(docs), min_docs, least, filter_bits)
+    suspects, confirmed = confirmed_lines(doc_texts(docs), min_docs, least, filter_bits or filter_size(doc_texts(docs)))
     confirmed = materialize(confirmed, "repeated-lines")
     names = docs.columns
     at, id_at = names.index("text"), names.index("doc_id")
@@ -209,13 +219,13 @@ def _map_stripped(docs: DataFrame, make, schema: str, min_docs: int, min_chars:
     return map_batches(both, run_joined, schema)
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none", filter_bits: int = 1 << 27, broadcast_rows: int = 1 << 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none", filter_bits: int | None = None, broadcast_rows: int = BROADCAST_LINES) -> DataFrame:
     """Drops lines whose key occurs in at least ``min_docs`` documents (rows; a key counts once in each).
 
     ``keep="none"`` drops them everywhere; ``keep="first"`` leaves the first occurrence: the first such line of
     the document with the smallest ``doc_id`` (of every row with that id, if ids repeat; a null id is never
     first unless all are null). Keys shorter than ``min_chars`` code points, and empty keys, always stay. Null
-    and empty texts are one empty line. Returns ``doc_id``, ``n_lines`` (before), ``n_dropped`` and ``kept``,
+    and empty texts are one empty line; a text of any length is split whole. Returns ``doc_id``, ``n_lines`` (before), ``n_dropped`` and ``kept``,
     the remaining lines joined by a newline ("" if none remain).
     """
 
@@ -225,7 +235,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: s
     return _map_stripped(doc_texts(docs), make, "doc_id long, n_lines long, n_dropped long, kept string", min_docs, min_chars, keep, filter_bits, broadcast_rows)
 
 
-def strip_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none", filter_bits: int = 1 << 27, broadcast_rows: int = 1 << 20) -> DataFrame:
+def strip_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none", filter_bits: int | None = None, broadcast_rows: int = BROADCAST_LINES) -> DataFrame:
     """The documents, with all their columns, without the lines that ``dedup_lines`` drops. A null text becomes empty."""
     names = docs.columns
     at = names.index("text")

@@ -107,19 +107,20 @@ def near_links(prints: DataFrame, radius: int = 2) -> DataFrame:
     out = arrow_schema("a long, b long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        held: list[list[np.ndarray]] = []  # batches of a bucket that goes on
         for batch in batches:
             cols = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("fp", "rep", "t", "key")]
-            if rest is not None:
-                cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
-            new = np.nonzero((np.diff(cols[2]) != 0) | (np.diff(cols[3]) != 0))[0] + 1
-            if not len(new):
-                rest = cols
-                continue
-            rest = [c[new[-1] :] for c in cols]
-            yield pairs([c[: new[-1]] for c in cols], new[:-1])
-        if rest is not None:
-            yield pairs(rest, np.zeros(0, np.int64))
+            last = held[-1] if held else cols
+            new = np.nonzero((np.diff(cols[2], prepend=last[2][-1 if held else 0]) != 0) | (np.diff(cols[3], prepend=last[3][-1 if held else 0]) != 0))[0]
+            if len(new):
+                whole = [np.concatenate(x) for x in zip(*held, [c[: new[-1]] for c in cols], strict=True)]
+                before = sum(len(h[0]) for h in held)
+                cuts = new[:-1] + before
+                yield pairs(whole, cuts[cuts > 0])
+                held, cols = [], [c[new[-1] :] for c in cols]
+            held.append(cols)
+        if held:
+            yield pairs([np.concatenate(x) for x in zip(*held, strict=True)], np.zeros(0, np.int64))
 
     def pairs(cols: list[np.ndarray], cuts: np.ndarray) -> pa.RecordBatch:
         fp, rep, t, _ = cols

@@ -51,6 +51,25 @@ def test_documents_keep_their_columns(make, rows):
     assert sorted(((r.doc_id, r.text) for r in ld.strip_repeated_lines(docs, min_docs=10, broadcast_rows=0).collect()), key=repr) == sorted(((i, t) for i, _, _, t in brute(rows, 10)), key=repr)
 
 
+def test_rows_count_as_documents(spark, make, rows, tmp_path, odd):
+    """Rows of one id are documents of their own, in the SQL of the query too."""
+    import duckdb
+    from posttrain_spark.llm import queries
+
+    repeated = rows + [(100, "a line that only rows of one id share")] * 10
+    make(repeated).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, queries.op9_line_dedup(spark, str(tmp_path)).collect()), key=repr)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.sql(queries.OP9_SQL).fetchall(), key=repr)
+    assert sum(r[2] for r in got if r[0] == 100) >= 10
+
+
+def test_filter_grows_with_the_lines(make):
+    size = lambda n: ld.filter_size(make([(1, "\n" * n), (2, None)]))
+    assert size(10) == ld.LEAST_BITS and size(1_000_000) == 1 << 24 and ld.filter_size(make([])) == ld.LEAST_BITS
+
+
 def test_filters_have_no_false_negatives():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 2**63, 5000, dtype=np.uint64)
