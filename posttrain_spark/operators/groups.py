@@ -7,9 +7,11 @@ from collections.abc import Mapping
 from math import comb, fsum
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..sources.storage import free_name
+
 
 def pass_rate(rows: DataFrame, prompt: str, correct: Column) -> DataFrame:
     """Share of distinct prompts with a correct answer."""
@@ -77,19 +79,30 @@ def cons_at_k(rows: DataFrame, group: str, order: str, answer: str, reward: str,
     return rows.select(group, order, answer, reward).groupBy(group).applyInPandas(one, f"{group} {kind}, cons_at_k double")
 
 
+def _baseline(x: Column, group: WindowSpec, leave_one_out: bool) -> Column:
+    n, total = F.count(F.lit(1)).over(group), F.sum(x).over(group)
+    return F.when(n > 1, (total - x) / (n - 1)).otherwise(F.lit(0.0)) if leave_one_out else total / n
+
+
+def _deviation(x: Column, group: WindowSpec) -> Column:
+    return F.coalesce(F.stddev_samp(x).over(group), F.lit(0.0))
+
+
+def _normal(centred: Column, std: Column, eps: float = 1e-6) -> Column:
+    return F.when(std > 0, centred / (std + eps)).otherwise(centred)
+
+
 def baselines(rows: DataFrame, prompt: str, reward: str, leave_one_out: bool = False) -> DataFrame:
     """``baseline`` and ``std`` (sample) of each row's prompt group."""
-    w = Window.partitionBy(prompt)
-    n, total = F.count(F.lit(1)).over(w), F.sum(reward).over(w)
-    others = F.when(n > 1, (total - F.col(reward)) / (n - 1)).otherwise(F.lit(0.0))
-    return rows.withColumn("baseline", others if leave_one_out else total / n).withColumn("std", F.coalesce(F.stddev_samp(reward).over(w), F.lit(0.0)))
+    x, w = F.col(reward), Window.partitionBy(prompt)
+    return rows.withColumns({"baseline": _baseline(x, w, leave_one_out), "std": _deviation(x, w)})
 
 
 def group_advantages(rows: DataFrame, prompt: str, reward: str, leave_one_out: bool = False, normalize: bool = True, eps: float = 1e-6) -> DataFrame:
     """``advantage``: reward less baseline, over the group's deviation."""
     out = baselines(rows, prompt, reward, leave_one_out)
     centred = F.col(reward) - F.col("baseline")
-    return out.withColumn("advantage", F.when(F.col("std") > 0, centred / (F.col("std") + eps)).otherwise(centred) if normalize else centred)
+    return out.withColumn("advantage", _normal(centred, F.col("std"), eps) if normalize else centred)
 
 
 def batch_advantages(rows: DataFrame, prompt: str, reward: str, minus_baseline: bool = True, eps: float = 1e-8) -> DataFrame:
@@ -102,7 +115,7 @@ def batch_advantages(rows: DataFrame, prompt: str, reward: str, minus_baseline:
 
 def varied_groups(rows: DataFrame, prompt: str, reward: str) -> DataFrame:
     """Rows of prompts whose rewards aren't all equal; the groups are found by aggregation, then joined."""
-    spread = rows.groupBy(prompt).agg(F.min(reward).alias("_lo"), F.max(reward).alias("_hi")).filter("_hi > _lo").select(prompt)
+    spread = rows.groupBy(prompt).agg((F.max(reward) > F.min(reward)).alias(varied := free_name(rows, "varied"))).filter(F.col(varied)).select(prompt)
     return rows.join(spread, prompt, "left_semi")
 
 
@@ -113,18 +126,17 @@ def penalties(rows: DataFrame, prompt: str, severity: str, bound: float, normali
     not at all (``reinforce``); the best rollout of the group or batch is moved to 0, the rest halved, and bounded
     below by ``-abs(bound)``. A constant severity gives 0.
     """
-    negated = rows.withColumn("_r", -F.col(severity).cast("double"))
-    if normalizer == "grpo":
-        a, w = group_advantages(negated, prompt, "_r"), Window.partitionBy(prompt)
-        top = F.max("advantage").over(w)
-        extra = ["baseline", "std"]
-    elif normalizer in ("reinforce_plus_plus", "reinforce"):
-        a = batch_advantages(negated, prompt, "_r") if normalizer == "reinforce_plus_plus" else negated.withColumn("advantage", F.col("_r"))
-        top, extra = F.lit(a.agg(F.max("advantage")).first()[0]), []
-    else:
+    if normalizer not in ("grpo", "reinforce_plus_plus", "reinforce"):
         raise ValueError(f"unknown normalizer {normalizer!r}")
-    out = a.withColumn(name, F.greatest((F.col("advantage") - top) / 2, F.lit(-abs(bound))))
-    return out.drop("_r", "advantage", *extra)
+    x, w = free_name(rows, "negated"), Window.partitionBy(prompt)
+    out = rows.withColumn(x, -F.col(severity).cast("double"))
+    if normalizer != "reinforce":
+        out = out.withColumn(x, F.col(x) - F.avg(x).over(w) if normalizer != "grpo" else _normal(F.col(x) - _baseline(F.col(x), w, False), _deviation(F.col(x), w)))
+    if normalizer == "reinforce_plus_plus":
+        s = out.agg(F.avg(x).alias("m"), F.stddev_samp(x).alias("s")).first()
+        out = out.withColumn(x, (F.col(x) - (s["m"] or 0.0)) / ((s["s"] or 0.0) + 1e-8))
+    top = F.max(x).over(w) if normalizer == "grpo" else F.lit(out.agg(F.max(x)).first()[0])
+    return out.withColumn(name, F.greatest((F.col(x) - top) / 2, F.lit(-abs(bound)))).drop(x)
 
 
 #: Penalty name, message flag that drives it, whether only generated assistant turns count.

@@ -5,10 +5,14 @@ from __future__ import annotations
 import math
 import random
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import materialize
+from ..sources.storage import free_name, materialize
+
+
+#: Rows that a split sorts at most, and rows of a range of the global order.
+SORTED_ROWS, RANGE_ROWS = 100_000, 1_000_000
 
 
 def hash_order(seed: int, *keys: str) -> Column:
@@ -50,8 +54,9 @@ def quota_sample(rows: DataFrame, quotas: dict[str, int | None], stratum: str, k
     rank = F.row_number().over(Window.partitionBy(stratum).orderBy(hash_order(seed, key), key))
     bounded = {k: q for k, q in quotas.items() if q is not None}
     if bounded:
-        table = F.broadcast(spark.createDataFrame(list(bounded.items()), f"{stratum} string, _quota long"))
-        ranked = rows.join(table, stratum).withColumn("_rank", rank).filter(F.col("_rank") <= max(bounded.values())).filter("_rank <= _quota")
+        quota, nth = free_name(rows, "quota"), free_name(rows, "nth")
+        table = F.broadcast(spark.createDataFrame(list(bounded.items()), f"`{stratum}` string, `{quota}` long"))
+        ranked = rows.join(table, stratum).withColumn(nth, rank).filter(F.col(nth) <= max(bounded.values())).filter(F.col(nth) <= F.col(quota))
         out = out.unionByName(ranked.select(*rows.columns))
     return out
 
@@ -59,31 +64,48 @@ def quota_sample(rows: DataFrame, quotas: dict[str, int | None], stratum: str, k
 def split(rows: DataFrame, validation: float, seed: int, key: str) -> DataFrame:
     """Adds ``split``: the first ceil(n * validation) in hash order are for validation.
 
-    The cut is a hash value found by a bounded sort (TakeOrdered) when the share is small, so no row is ranked
-    in one task.
+    The cut is found by counting hash prefixes, four digits longer each time, until few rows share the prefix in which
+    it lies; only these are sorted.
     """
     n = math.ceil(rows.count() * validation)
     if n <= 0:
         return rows.withColumn("split", F.lit("train"))
     h = hash_order(seed, key)
-    edge = rows.select(F.struct(h.alias("h"), F.col(key).alias("k")).alias("s")).orderBy("s").limit(n).agg(F.max("s").alias("s")).first()["s"]
+    hashes, prefix, left = rows.select(h.alias("h"), F.col(key).alias("k")), "", n
+    for digits in range(4, 33, 4):
+        # At most 65,536 prefixes of so many digits begin with the one that is known.
+        counts = hashes.filter(F.col("h").startswith(prefix)).groupBy(F.substring("h", 1, digits).alias("p")).count().orderBy("p").collect()
+        for r in counts:
+            if left <= r["count"]:
+                prefix, size = r["p"], r["count"]
+                break
+            left -= r["count"]
+        if size <= SORTED_ROWS:
+            break
+    edge = hashes.filter(F.col("h").startswith(prefix)).orderBy("h", "k").limit(left).agg(F.max(F.struct("h", "k")).alias("s")).first()["s"]
     inside = (h < edge["h"]) | ((h == edge["h"]) & (F.col(key) <= edge["k"]))
     return rows.withColumn("split", F.when(inside, "validation").otherwise("train"))
 
 
-def numbered(rows: DataFrame, order: list[str], name: str = "row_index", buckets: int = 64) -> DataFrame:
+def ranged(rows: DataFrame, order: list[str], part: str) -> DataFrame:
+    """The rows in ranges of the global order, of about ``RANGE_ROWS`` each, written; ``part``: which range."""
+    buckets = max(partitions(rows.sparkSession), rows.count() // RANGE_ROWS + 1)
+    # Written, since the ranges must not change between two readings.
+    return materialize(rows.repartitionByRange(buckets, *order).withColumn(part, F.spark_partition_id()), "ranges")
+
+
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def numbered(rows: DataFrame, order: list[str], name: str = "row_index") -> DataFrame:
     """0, 1, ... in the global order, without one task for all rows: ranks within ranges, offset by the ranges' sizes."""
-    dealt = rows.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id())
-    dealt = materialize(dealt, "numbered")  # the ranges must not change between the two readings
-    sizes = {r["_part"]: r["count"] for r in dealt.groupBy("_part").count().collect()}
-    offset, start = {}, 0
-    for p in sorted(sizes):
-        offset[p], start = start, start + sizes[p]
-    if not offset:
-        return rows.withColumn(name, F.lit(0).cast("long"))
-    base = F.create_map(*(F.lit(x) for p in offset.items() for x in p))
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return dealt.withColumn(name, (rank + F.element_at(base, F.col("_part"))).cast("long")).drop("_part")
+    part, before = free_name(rows, "part"), free_name(rows, "before")
+    dealt = ranged(rows, order, part)
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
+    offset = dealt.groupBy(part).agg(F.count(F.lit(1)).alias(before)).withColumn(before, F.coalesce(F.sum(before).over(earlier), F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1
+    return dealt.withColumn(name, rank.cast("long")).join(F.broadcast(offset), part).withColumn(name, F.col(name) + F.col(before)).drop(part, before)
 
 
 def chunks(rows: DataFrame, workers: int, order: list[str]) -> DataFrame:
@@ -95,7 +117,8 @@ def chunks(rows: DataFrame, workers: int, order: list[str]) -> DataFrame:
 def batches(rows: DataFrame, batch_size: int, seed: int, key: str, drop_last: bool = True, resume_after: int = 0) -> DataFrame:
     """Shuffled batches: ``batch`` from 1; the same seed gives the same ones, so a run resumes after any batch."""
     total = rows.count()
-    out = numbered(rows.withColumn("_h", hash_order(seed, key)), ["_h", key]).drop("_h").withColumn("batch", F.floor(F.col("row_index") / batch_size) + 1)
+    h = free_name(rows, "h")
+    out = numbered(rows.withColumn(h, hash_order(seed, key)), [h, key]).drop(h).withColumn("batch", F.floor(F.col("row_index") / batch_size) + 1)
     if drop_last:
         out = out.filter(F.col("batch") <= total // batch_size)
     return out.filter(F.col("batch") > resume_after).drop("row_index")

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..sources.storage import free_name
+from .sampling import ranged
+
 
 def is_object(line: Column) -> Column:
     """Whether a line is a JSON object; false for blank, invalid and other JSON lines."""
@@ -56,9 +59,10 @@ def without_field(line: Column, field: str) -> Column:
 
 def first_occurrence(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in the given order. Only (key, order) is ranked where a hot key would hold whole rows: the minimum is found by aggregation, which combines before the shuffle."""
-    at = F.struct(*order)
-    first = rows.groupBy(*keys).agg(F.min(at).alias("_first"))
-    joined = rows.alias("r").join(first.alias("f"), reduce(lambda a, b: a & b, [F.col(f"r.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]) & (F.struct(*(F.col(f"r.{c}") for c in order)) == F.col("f._first")))
+    at, name = F.struct(*order), free_name(rows, "first")
+    first = rows.groupBy(*keys).agg(F.min(at).alias(name))
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]
+    joined = rows.alias("r").join(first.alias("f"), reduce(lambda a, b: a & b, same) & (F.struct(*(F.col(f"r.{c}") for c in order)) == F.col(f"f.{name}")))
     return joined.select(*(F.col(f"r.{c}") for c in rows.columns))
 
 
@@ -70,9 +74,10 @@ def set_minus(a: DataFrame, b: DataFrame, key: str, order: list[str]) -> DataFra
 
 def set_minus_statistics(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """``kept``, ``excluded``, ``duplicates`` and ``invalid`` rows of A."""
-    counts = a.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    marked = counts.join(b.select(F.col(key).alias("_k"), F.lit(True).alias("_in")).filter("_k is not null").distinct(), F.col(key) == F.col("_k"), "left")
-    valid, excluded = F.col(key).isNotNull(), F.col("_in").isNotNull()
+    counts = a.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    other = b.select(F.col(key).alias("k"), F.lit(True).alias("found")).filter("k is not null").distinct()
+    marked = counts.join(other, F.col("key") == F.col("k"), "left")
+    valid, excluded = F.col("key").isNotNull(), F.col("found").isNotNull()
     total = lambda c, x: F.coalesce(F.sum(F.when(c, x)), F.lit(0).cast("long"))
     return marked.agg(
         total(valid & ~excluded, F.lit(1).cast("long")).alias("kept"),
@@ -88,8 +93,9 @@ def union_all(*tables: DataFrame) -> DataFrame:
 
 def repeat(rows: DataFrame, n: int, name: str | None = None) -> DataFrame:
     """Every row n times, as a generator within the row's task: no shuffle and no join."""
-    out = rows.withColumn(name or "_copy", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))) if n > 0 else rows.limit(0).withColumn(name or "_copy", F.lit(0))
-    return out if name else out.drop("_copy")
+    copy = name or free_name(rows, "copy")
+    out = rows.withColumn(copy, F.explode(F.sequence(F.lit(0), F.lit(n - 1)))) if n > 0 else rows.limit(0).withColumn(copy, F.lit(0))
+    return out if name else out.drop(copy)
 
 
 def stamp(rows: DataFrame, value: str, name: str = "dataset") -> DataFrame:
@@ -101,10 +107,11 @@ def stamp(rows: DataFrame, value: str, name: str = "dataset") -> DataFrame:
 
 def lookup(rows: DataFrame, table: DataFrame, key: str, max_rows: int = 10_000) -> DataFrame:
     """Joins a dimension table; a key it lacks is an error. Broadcast if it has at most ``max_rows`` (counted)."""
-    marked = table.withColumn("_found", F.lit(True))
+    found = free_name(rows.join(table, key), "found")
+    marked = table.withColumn(found, F.lit(True))
     side = F.broadcast(marked) if marked.count() <= max_rows else marked
     out = rows.join(side, key, "left")
-    return out.filter(F.when(F.col("_found").isNull(), F.raise_error(F.concat(F.lit("no entry for "), F.col(key).cast("string"))).cast("boolean")).otherwise(True)).drop("_found")
+    return out.filter(F.when(F.col(found).isNull(), F.raise_error(F.concat(F.lit("no entry for "), F.col(key).cast("string"))).cast("boolean")).otherwise(True)).drop(found)
 
 
 def merge_counters(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
@@ -140,5 +147,13 @@ def with_conversation_hash(rows: DataFrame, messages: str, name: str = "hash") -
 
 
 def occurrence(rows: DataFrame, key: str, order: list[str], name: str = "nth") -> DataFrame:
-    """1, 2, ... within each key."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    """1, 2, ... within each key. A key of many rows is ranked range by range and offset by what the ranges before hold of it."""
+    part, before = free_name(rows, "part"), free_name(rows, "before")
+    dealt = ranged(rows, [key, *order], part)
+    rank = F.row_number().over(Window.partitionBy(part, key).orderBy(*order))
+    earlier = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row a range and key
+    offset = dealt.groupBy(key, part).agg(F.count(F.lit(1)).alias(before)).withColumn(before, F.sum(before).over(earlier)).filter(F.col(before).isNotNull())
+    offset = offset.select(F.col(key).alias(f"{before}_key"), F.col(part).alias(f"{before}_part"), before)  # only keys that reach over ranges
+    ranked = dealt.withColumn(name, rank)
+    joined = ranked.join(offset, (F.col(part) == F.col(f"{before}_part")) & F.col(key).eqNullSafe(F.col(f"{before}_key")), "left")
+    return joined.select(*rows.columns, (F.col(name) + F.coalesce(before, F.lit(0))).cast("int").alias(name))
