@@ -66,6 +66,17 @@ def distillation(student: Column, teacher: Column, kind: str = "forward", mix: f
     return {"forward": forward, "reverse": reverse, "mixed": mix * forward + (1 - mix) * reverse}[kind]
 
 
+def sequence_error(policy: Column, sampler: Column) -> Column:
+    """Mean over a sequence of exp(|policy - sampler|); 1 without tokens."""
+    each = F.zip_with(policy, sampler, lambda p, s: F.exp(F.abs(p - s)))
+    return F.when(F.size(each) > 0, total(each) / F.size(each)).otherwise(F.lit(1.0))
+
+
+def sequence_mask(policy: Column, sampler: Column, threshold: float) -> Column:
+    """1 for sequences whose log-probability error is at most the threshold, else 0."""
+    return (sequence_error(policy, sampler) <= threshold).cast("int")
+
+
 def masked_mean(loss: Column, mask: Column) -> Column:
     """Aggregate: sum of masked losses over valid tokens, additive over any split of the rows."""
     return F.sum(loss * mask) / (F.sum(mask) + 1e-8)

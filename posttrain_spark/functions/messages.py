@@ -27,6 +27,20 @@ def context_question_answer(context: Column, question: Column, answers: Column)
     return F.array(message("system", context), message("user", question), message("assistant", F.element_at(answers, 1)))
 
 
+def nested_prompt_truth(prompt: Column, reward_model: Column) -> Column:
+    """A user turn from the first message of a list and an assistant turn from a nested ground truth."""
+    return F.array(message("user", F.get(prompt, 0)["content"]), message("assistant", reward_model["ground_truth"]))
+
+
+def generation_prompt(ids: Column, length: Column, content: Column | None = None, images: Column | None = None) -> Column:
+    """What generation gets: text with its images where there are both, else the ids without padding."""
+    plain = F.slice(ids, 1, F.greatest(length, F.lit(0)))
+    if content is None or images is None:
+        return F.struct(F.lit(None).cast("string").alias("prompt"), plain.alias("prompt_token_ids"), F.lit(None).cast("array<string>").alias("images"))
+    shown = content.isNotNull() & F.coalesce(F.size(images) > 0, F.lit(False))
+    return F.struct(F.when(shown, content).alias("prompt"), F.when(~shown, plain).alias("prompt_token_ids"), F.when(shown, images).alias("images"))
+
+
 def checked_chat(messages: Column, system: Column | None = None, default_system: str | None = None) -> Column:
     """Prepends the system turn (from a column, else a constant) and insists that the assistant speaks last."""
     lead = F.lit(default_system).cast("string")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .answers import has_tags, normal_answer, tagged
+from .answers import has_tags, last_boxed, normal_answer, tagged, unboxed
 
 #: A reward and whether the response is correct; null if the reward says nothing about that.
 Reward = tuple[Column, Column]
@@ -29,9 +29,28 @@ def exact_alnum(truth: Column, response: Column, answer_tag: str = "answer") ->
     return F.when(ok, 1.0).otherwise(0.0), ok
 
 
+def answer_value(answer: Column) -> Column:
+    """Number that a normal answer stands for: whole, decimal, percent, ``a/b`` or a LaTeX fraction; else null."""
+    number = r"-?\d+(?:\.\d+)?"
+    plain = F.regexp_replace(answer, r"^\+|\\[!,; ]", "")
+    whole, percent = F.regexp_extract(plain, f"^({number})$", 1), F.regexp_extract(plain, rf"^({number})\\?%$", 1)
+    fraction = rf"^(-?)(?:\\[dt]?frac\{{({number})\}}\{{({number})\}}|({number})/({number}))$"
+    part = lambda k: F.regexp_extract(plain, fraction, k)
+    above, below = (F.concat(part(k), part(k + 2)).try_cast("double") for k in (2, 3))
+    sign = F.when(part(1) == "-", -1.0).otherwise(1.0)
+    return F.coalesce(whole.try_cast("double"), percent.try_cast("double") / 100, F.when(below != 0, sign * above / below))
+
+
 def math_expr(truth: Column, response: Column, tag: str = "answer") -> Reward:
-    """Equality of normal forms. Symbolic equality needs an algebra library and is not attempted."""
-    ok = F.coalesce(normal_answer(tagged(response, tag)) == normal_answer(truth), F.lit(False))
+    """Equality of normal forms or of the numbers that they stand for. The response's answer is tagged, else its last boxed expression.
+
+    Symbolic equality beyond that needs an algebra library and is not attempted.
+    """
+    given = normal_answer(F.coalesce(tagged(response, tag), unboxed(last_boxed(response))))
+    wanted = normal_answer(truth)
+    x, y = answer_value(given), answer_value(wanted)
+    close = F.abs(x - y) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(y))
+    ok = F.coalesce(given == wanted, F.lit(False)) | F.coalesce(close, F.lit(False))
     return F.when(ok, 1.0).otherwise(0.0), ok
 
 

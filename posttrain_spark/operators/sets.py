@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..sources.storage import free_name
-from .sampling import ranged
+from .sampling import numbered, ranged
 
 
 def is_object(line: Column) -> Column:
@@ -114,6 +114,12 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, max_rows: int = 10_000)
     return out.filter(F.when(F.col(found).isNull(), F.raise_error(F.concat(F.lit("no entry for "), F.col(key).cast("string"))).cast("boolean")).otherwise(True)).drop(found)
 
 
+def zipped(a: DataFrame, b: DataFrame, order_a: list[str], order_b: list[str]) -> DataFrame:
+    """Rows of two tables side by side by their place in an order; the longer one's rest goes. Column names must differ."""
+    at = free_name(a.join(b.limit(0), F.lit(True)), "place")
+    return numbered(a, order_a, at).join(numbered(b, order_b, at), at).drop(at)
+
+
 def merge_counters(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     """Union of keys with both values, missing ones as 0."""
     x, y = a.select(key, F.col(value).alias("start")), b.select(key, F.col(value).alias("end"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_queries, data_queries  # noqa: F401  (they register their queries)
+from . import chat_queries, data_queries, more_queries  # noqa: F401  (they register their queries)
 from .base import QUERIES, SQL, Query
 
 

@@ -72,25 +72,32 @@ def b10_split_last_turn(spark, d):
     return rows.select("conv_id", F.size(context).cast("long").alias("n_context"), F.md5(F.array_join(messages.contents(context), "|")).alias("context"), F.md5(last["content"]).alias("last"))
 
 
-OPTIONS = "options AS (SELECT item_id, string_split(text, ' ')[1:4] AS o FROM benchmark)"
+#: Four options from the whole text: its quarters.
+QUARTERS = "{0}(substr(text, 1, q), substr(text, q + 1, q), substr(text, 2 * q + 1, q), substr(text, 3 * q + 1))"
+OPTIONS = f"options AS (SELECT item_id, {QUARTERS.format('list_value')} AS o FROM (SELECT *, length(text) // 4 AS q FROM benchmark))"
 
 
-@query(f"WITH {OPTIONS} SELECT item_id, concat('A=', o[1], ';B=', o[2], ';C=', o[3], ';D=', o[4]) AS choices FROM options WHERE len(o) = 4")
+def options(spark, d):
+    return table(spark, d, "benchmark").withColumn("q", F.floor(F.length("text") / 4).cast("int")).select("item_id", F.expr(QUARTERS.format("array")).alias("o"))
+
+
+
+@query(f"WITH {OPTIONS} SELECT item_id, concat('A=', o[1], ';B=', o[2], ';C=', o[3], ';D=', o[4]) AS choices FROM options")
 def b14_lettered_options(spark, d):
     """Options as a map from letters."""
-    o = table(spark, d, "benchmark").select("item_id", F.slice(F.split("text", " "), 1, 4).alias("o")).filter(F.size("o") == 4)
+    o = options(spark, d)
     pairs = F.transform(F.array_sort(F.map_entries(messages.multiple_choice(F.col("o")))), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return o.select("item_id", F.array_join(pairs, ";").alias("choices"))
 
 
 @query(
     f"""WITH {OPTIONS}, dealt AS (
- SELECT item_id, o[1] AS correct, list_transform(list_sort(list_transform(range(0, 4), lambda i: concat(md5(concat_ws('|', '7', item_id::VARCHAR, i::VARCHAR)), '/', o[i + 1]))), lambda s: s[34:]) AS choices FROM options WHERE len(o) = 4)
+ SELECT item_id, o[1] AS correct, list_transform(list_sort(list_transform(range(0, 4), lambda i: concat(md5(concat_ws('|', '7', item_id::VARCHAR, i::VARCHAR)), '/', o[i + 1]))), lambda s: s[34:]) AS choices FROM options)
 SELECT item_id, array_to_string(choices, ';') AS choices, chr((64 + list_position(choices, correct))::INT) AS answer FROM dealt"""
 )
 def b15_shuffled_choices(spark, d):
     """Choices in hash order and the letter of the correct one."""
-    o = table(spark, d, "benchmark").select("item_id", F.slice(F.split("text", " "), 1, 4).alias("o")).filter(F.size("o") == 4)
+    o = options(spark, d)
     dealt, letter = messages.shuffled_choices(F.col("o")[0], [F.col("o")[k] for k in (1, 2, 3)], F.col("item_id"), 7)
     return o.select("item_id", F.array_join(dealt, ";").alias("choices"), letter.alias("answer"))
 
@@ -292,7 +299,7 @@ def h10_normal_answer(spark, d):
 )
 def h13_math_score(spark, d):
     """Score by the last answer line of the last 300 characters."""
-    solution = F.expr("CASE doc_id % 3 WHEN 0 THEN concat(left(text, 100), '\n Answer: 5\nanswer : $', n_chars, '$') WHEN 1 THEN concat('Answer: ', n_chars + 1) ELSE concat('Answer: 3\n', repeat('x', 300)) END")
+    solution = F.expr("CASE doc_id % 3 WHEN 0 THEN concat(text, '\n Answer: 5\nanswer : $', n_chars, '$') WHEN 1 THEN concat('Answer: ', n_chars + 1) ELSE concat('Answer: 3\n', repeat('x', 300)) END")
     s = answers.math_score(solution, F.col("n_chars").cast("string"))
     return table(spark, d, "documents").select("doc_id", s.alias("s")).select("doc_id", "s.score", "s.acc", "s.pred")
 

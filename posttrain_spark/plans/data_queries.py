@@ -141,11 +141,15 @@ def e2_pass_at_k(spark, d):
     return out.withColumn("pass_at_k", r6("pass_at_k"))
 
 
-@query()
+@query(
+    f"""WITH {ROLLOUTS}, r AS (SELECT prompt, event_type AS a, correct::DOUBLE AS w, row_number() OVER (PARTITION BY prompt ORDER BY event_id) AS i FROM rollouts
+), t AS (SELECT x.prompt, CASE WHEN y.a = z.a AND x.a <> y.a THEN y.w ELSE x.w END AS w FROM r x JOIN r y ON x.prompt = y.prompt AND x.i < y.i JOIN r z ON y.prompt = z.prompt AND y.i < z.i)
+SELECT p.prompt, round(coalesce(any_value(s.m), 0), 6) AS cons_at_k FROM (SELECT DISTINCT prompt FROM r) p LEFT JOIN (SELECT prompt, avg(w) AS m FROM t GROUP BY prompt) s ON s.prompt = p.prompt GROUP BY p.prompt"""
+)
 def e3_cons_at_k(spark, d):
-    """Majority vote over all subsets of three of each prompt's rollouts; combinatorial, so no SQL."""
+    """Majority vote over all subsets of three of each prompt's rollouts; the SQL lists the subsets."""
     rows = rollouts(spark, d).withColumn("right", F.col("correct").cast("double"))
-    return groups.cons_at_k(rows, "prompt", "event_id", "event_type", "right", 3)
+    return groups.cons_at_k(rows, "prompt", "event_id", "event_type", "right", 3).withColumn("cons_at_k", r6("cons_at_k"))
 
 
 @query(
@@ -200,23 +204,23 @@ def e9_rollout_severity(spark, d):
 
 
 @query(
-    """WITH s AS (SELECT doc_id, least(n_chars, 4096) AS n, doc_id % 16 AS bin FROM documents), b AS (SELECT bin, count(*) AS k, sum(n) AS load FROM s GROUP BY bin
-), t AS (SELECT sum(k) AS ns, count(*) AS nb, sum(load) AS len, stddev_samp(load / 400000.0) AS sd FROM b)
-SELECT ns::BIGINT AS num_sequences, nb AS num_bins, len::BIGINT AS total_sequence_length, nb * 400000 AS total_bin_capacity, (nb * 400000 - len)::BIGINT AS total_waste, round(len / (nb * 400000.0), 6)::DOUBLE AS average_utilization, round(1 - len / (nb * 400000.0), 6)::DOUBLE AS waste_ratio, round(1 - sd / (len / (nb * 400000.0)), 6)::DOUBLE AS bin_balance, ceil(len / 400000.0)::BIGINT AS theoretical_min_bins, round(ceil(len / 400000.0) / nb, 6)::DOUBLE AS bin_efficiency FROM t"""
+    """WITH s AS (SELECT doc_id, n_chars AS n, doc_id % 16 AS bin FROM documents), b AS (SELECT bin, count(*) AS k, sum(n) AS load FROM s GROUP BY bin
+), t AS (SELECT sum(k) AS ns, count(*) AS nb, sum(load) AS len, stddev_samp(load / 4000000.0) AS sd FROM b)
+SELECT ns::BIGINT AS num_sequences, nb AS num_bins, len::BIGINT AS total_sequence_length, nb * 4000000 AS total_bin_capacity, (nb * 4000000 - len)::BIGINT AS total_waste, round(len / (nb * 4000000.0), 6)::DOUBLE AS average_utilization, round(1 - len / (nb * 4000000.0), 6)::DOUBLE AS waste_ratio, round(1 - sd / (len / (nb * 4000000.0)), 6)::DOUBLE AS bin_balance, ceil(len / 4000000.0)::BIGINT AS theoretical_min_bins, round(ceil(len / 4000000.0) / nb, 6)::DOUBLE AS bin_efficiency FROM t"""
 )
 def e10_packing_statistics(spark, d):
-    rows = table(spark, d, "documents").select((F.col("doc_id") % 16).alias("bin"), F.least("n_chars", F.lit(4096).cast("long")).alias("length"))
-    s = packing.packing_statistics(rows, 400_000)
+    rows = table(spark, d, "documents").select((F.col("doc_id") % 16).alias("bin"), F.col("n_chars").alias("length"))
+    s = packing.packing_statistics(rows, 4_000_000)
     return s.select(*(r6(c).alias(c) if t == "double" else F.col(c).cast("long").alias(c) for c, t in s.dtypes))
 
 
 @query(
-    """WITH s AS (SELECT doc_id % 4 AS g, doc_id % 16 AS bin, least(n_chars, 4096) AS n FROM documents), b AS (SELECT g, bin, sum(n) AS load, count(*) AS k FROM s GROUP BY g, bin), t AS (SELECT g, sum(k) AS ns, count(*) AS nb, sum(load) AS len FROM b GROUP BY g)
-SELECT sum(ns)::BIGINT AS total_sequences, sum(nb)::BIGINT AS total_bins, round(sum(len) / (sum(nb) * 400000.0), 6)::DOUBLE AS average_utilization, round(least(1.0, min(len / (nb * 400000.0))), 6)::DOUBLE AS min_utilization, round(greatest(0, max(len / (nb * 400000.0))), 6)::DOUBLE AS max_utilization, round(avg(nb), 6)::DOUBLE AS average_bin_count, round(ceil(sum(len) / 400000.0) / sum(nb), 6)::DOUBLE AS bin_efficiency FROM t"""
+    """WITH s AS (SELECT doc_id % 4 AS g, doc_id % 16 AS bin, n_chars AS n FROM documents), b AS (SELECT g, bin, sum(n) AS load, count(*) AS k FROM s GROUP BY g, bin), t AS (SELECT g, sum(k) AS ns, count(*) AS nb, sum(load) AS len FROM b GROUP BY g)
+SELECT sum(ns)::BIGINT AS total_sequences, sum(nb)::BIGINT AS total_bins, round(sum(len) / (sum(nb) * 4000000.0), 6)::DOUBLE AS average_utilization, round(least(1.0, min(len / (nb * 4000000.0))), 6)::DOUBLE AS min_utilization, round(greatest(0, max(len / (nb * 4000000.0))), 6)::DOUBLE AS max_utilization, round(avg(nb), 6)::DOUBLE AS average_bin_count, round(ceil(sum(len) / 4000000.0) / sum(nb), 6)::DOUBLE AS bin_efficiency FROM t"""
 )
 def e11_packing_totals(spark, d):
-    rows = table(spark, d, "documents").select((F.col("doc_id") % 4).alias("g"), (F.col("doc_id") % 16).alias("bin"), F.least("n_chars", F.lit(4096).cast("long")).alias("length"))
-    s = packing.aggregated_statistics(packing.packing_statistics(rows, 400_000, ["g"]))
+    rows = table(spark, d, "documents").select((F.col("doc_id") % 4).alias("g"), (F.col("doc_id") % 16).alias("bin"), F.col("n_chars").alias("length"))
+    s = packing.aggregated_statistics(packing.packing_statistics(rows, 4_000_000, ["g"]))
     return s.select("total_sequences", "total_bins", *(r6(c).alias(c) for c in ("average_utilization", "min_utilization", "max_utilization", "average_bin_count", "bin_efficiency")))
 
 
@@ -358,11 +362,18 @@ def j3_preference_collate(spark, d):
     return out.filter(F.size("ids") == F.col("width")).select("doc_id", "side", "length", "width", F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-@query()
+@query(
+    """WITH b AS (SELECT item_id, list_transform(string_split(text, ' '), lambda w: length(w)) AS ids, row_number() OVER (ORDER BY item_id) - 1 AS i, count(*) OVER () AS n FROM benchmark
+), g AS (SELECT i // 7 AS g, flatten(list(ids ORDER BY i)) AS ids FROM b GROUP BY 1), w AS (SELECT max(len(ids)) AS w FROM g)
+SELECT g::INT AS "group", array_to_string(list_concat(ids, list_transform(range(0, (w - len(ids))::BIGINT), lambda x: -1)), ',') AS ids FROM g, w"""
+)
 def j6_group_and_concat(spark, d):
-    """Consecutive arrays joined and padded."""
-    rows = table(spark, d, "benchmark").select("item_id", F.transform(F.slice(F.split("text", " "), 1, 5), lambda w: F.length(w)).alias("ids"))
-    return packing.group_and_concat(rows, "item_id", "ids", [2, 3, 4], -1, 4).select("group", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+    """Consecutive arrays joined by sevens and padded to the widest."""
+    b = table(spark, d, "benchmark")
+    rows = b.select("item_id", F.transform(F.split("text", " "), lambda w: F.length(w)).alias("ids"))
+    n = b.count()
+    sizes = [min(7, n - k) for k in range(0, n, 7)]
+    return packing.group_and_concat(rows, "item_id", "ids", sizes, -1).select("group", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
 @query(
@@ -389,9 +400,10 @@ def j8_unpack(spark, d):
 
 @query()
 def j9_bin_packing(spark, d):
-    """Bins of at most 8192 by batch of 64, first fit decreasing; sequential, so no SQL."""
-    rows = table(spark, d, "documents").select("doc_id", F.floor(F.col("doc_id") / 64).alias("batch"), F.least("n_chars", F.lit(8192).cast("long")).alias("length"))
-    return packing.pack(rows, "batch", "doc_id", "length", 8192, "modified_first_fit_decreasing")
+    """Bins as large as the longest document (8192 at least) by batch of 64, first fit decreasing; sequential, so no SQL."""
+    rows = table(spark, d, "documents").select("doc_id", F.floor(F.col("doc_id") / 64).alias("batch"), F.col("n_chars").alias("length"))
+    longest = rows.agg(F.max("length")).first()[0] or 0
+    return packing.pack(rows, "batch", "doc_id", "length", max(8192, longest), "modified_first_fit_decreasing")
 
 
 @query()
@@ -451,22 +463,33 @@ def k3_replay_buffer(spark, d):
     return replay.replay(rows, 7, 2, 50, "event_id")
 
 
-@query()
+@query(
+    f"""WITH {SERIES}, v AS (SELECT avg(value) AS mean, max(value) AS top FROM series WHERE metric = 'view')
+SELECT 0 AS "check", mean > 1 AS passed, round(mean, 6) AS value, concat(CASE WHEN mean > 1 THEN 'PASS' ELSE 'FAIL' END, ': mean(view) > 1.0') AS message FROM v
+UNION ALL SELECT 1, top < 0, top, concat(CASE WHEN top < 0 THEN 'PASS' ELSE 'FAIL' END, ': max(view) < 0.0') FROM v UNION ALL SELECT 2, false, NULL, 'FAIL: min(missing) > 0.0'"""
+)
 def c17_metric_checks(spark, d):
     """Named checks on the metric series: passed, value and message (C17)."""
     wanted = [{"metric": "view", "helper": "mean", "op": ">", "limit": 1.0}, {"metric": "view", "helper": "max", "op": "<", "limit": 0.0}, {"metric": "missing", "helper": "min", "op": ">", "limit": 0.0}]
-    return metrics.checks(series(spark, d), wanted)
+    return metrics.checks(series(spark, d), wanted).withColumn("value", r6("value"))
 
 
-@query()
+@query(
+    """WITH e AS (SELECT vec_id, list_transform(embedding[1:len(embedding) // 2], lambda v: v::DOUBLE) AS a, list_transform(embedding[len(embedding) // 2 + 1:len(embedding) // 2 * 2], lambda v: v::DOUBLE) AS b FROM embeddings
+), n AS (SELECT *, ln(list_sum(list_transform(a, lambda v: exp(v)))) AS na, ln(list_sum(list_transform(b, lambda v: exp(v)))) AS nb FROM e
+), p AS (SELECT vec_id, a, b, list_zip(list_transform(a, lambda v: v - na), list_transform(b, lambda v: v - nb)) AS st, list_zip(a, b) AS ab FROM n)
+SELECT vec_id, round(list_sum(list_transform(ab, lambda z: least(exp(z[1] - z[2]), least(greatest(exp(z[1] - z[2]), 0.8), 1.2)))), 6) AS objective, round(list_sum(list_transform(ab, lambda z: exp(z[2] - z[1]) - 1 - (z[2] - z[1]))), 6) AS kl,
+ round(ln(1 + exp(-0.1 * (list_sum(a) - list_sum(b)))), 6) AS preference, round(list_sum(list_transform(st, lambda z: 0.5 * exp(z[2]) * (z[2] - z[1]) + 0.5 * exp(z[1]) * (z[1] - z[2]))), 6) AS distillation FROM p"""
+)
 def h21_policy_objective(spark, d):
-    """Clipped objective, divergences and preference loss on arrays from the embeddings (H21-H24); published formulas."""
-    e = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 8).cast("array<double>").alias("a"), F.slice("embedding", 9, 8).cast("array<double>").alias("b"))
+    """Clipped objective, divergences and preference loss between the halves of whole embeddings (H21-H24); published formulas."""
+    half = F.floor(F.size("embedding") / 2).cast("int")
+    e = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, half).cast("array<double>").alias("a"), F.slice("embedding", half + 1, half).cast("array<double>").alias("b"))
     a, b = F.col("a"), F.col("b")
     return e.select("vec_id", r6(losses.total(losses.clipped_policy(a, b, F.lit(1.0)))).alias("objective"), r6(losses.total(losses.kl(a, b))).alias("kl"), r6(losses.preference_loss(losses.total(a), losses.total(b), F.lit(0.0), F.lit(0.0))).alias("preference"), r6(losses.distillation(a, b, "mixed")).alias("distillation"))
 
 
-@query()
+@query("SELECT concat_ws('.', conv_id, count(*)) AS leaf, (count(*) + 1)::INT AS n FROM conversations WHERE role <> 'system' GROUP BY conv_id HAVING count(*) >= 2")
 def b27_thread_expansion(spark, d):
     """Conversations as chains of a tree, expanded to threads."""
     from ..operators.trees import threads
