@@ -8,7 +8,8 @@ from ..functions import losses, messages, rewards
 from ..operators import metrics, packing, sets, trees
 from ..sources import files
 from ..sources.storage import fresh_path
-from .base import CHATS, chats, query, r6, table
+from ..streaming import replay
+from .base import CHATS, ROLLOUTS, chats, query, r6, rollouts, table
 
 
 @query("SELECT item_id, md5(text) AS digest FROM benchmark")
@@ -173,3 +174,34 @@ def h5_math_values(spark, d):
     own = F.when(F.col("k") == 0, a).when(F.col("k") == 3, F.concat(a, F.lit("/100"))).when(F.col("k") == 4, F.concat((2 * F.col("a") + 1).cast("string"), F.lit("/2"))).otherwise(F.concat(a, F.lit("/"), b))
     truth = F.when(F.col("doc_id") % 2 == 0, own).otherwise(F.col("t").cast("string"))
     return v.select("doc_id", rewards.math_expr(truth, response)[0].alias("score"))
+
+
+def streamed(rows):
+    """A stream of the rows as they are now."""
+    at = fresh_path(rows.sparkSession, "source")
+    rows.write.parquet(at)
+    return rows.sparkSession.readStream.schema(rows.schema).parquet(at)
+
+
+@query(
+    """WITH t AS (SELECT user_id % 4 + 5 AS target_version, event_id AS trajectory_id, user_id % 11 AS v FROM events), r AS (
+ SELECT *, row_number() OVER (PARTITION BY target_version ORDER BY trajectory_id) - 1 AS i, count(*) OVER (PARTITION BY target_version) AS n FROM t WHERE v BETWEEN target_version - 2 AND target_version)
+SELECT target_version, trajectory_id, i // 16 + 1 AS batch, false AS expired FROM r WHERE i // 16 < n // 16 UNION ALL SELECT target_version, trajectory_id, -1, true FROM t WHERE v NOT BETWEEN target_version - 2 AND target_version"""
+)
+def k2_buffered_trajectories(spark, d):
+    """Trajectories wait in the stream's state until a batch is full; those of the wrong age go (K2, K3)."""
+    u = F.col("user_id")
+    rows = table(spark, d, "events").select((u % 4 + 5).alias("target_version"), F.col("event_id").alias("trajectory_id"), (u % 11).alias("weight_version"))
+    out, state = fresh_path(spark, "batches"), fresh_path(spark, "stream")
+    replay.buffered(streamed(rows), 16, 2).writeStream.format("parquet").option("checkpointLocation", state).option("path", out).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query(f"WITH {ROLLOUTS} SELECT prompt, round(stddev_samp(reward), 6) AS reward_std FROM rollouts GROUP BY prompt HAVING stddev_samp(reward) > 0")
+def k5_gathered_groups(spark, d):
+    """Groups of varied reward from a stream, here as many as there are (K5)."""
+    rows = rollouts(spark, d).groupBy("prompt").agg(F.stddev_samp("reward").alias("reward_std"))
+    varied, at = rows.filter("reward_std > 0").count(), fresh_path(spark, "groups")
+    stream = streamed(rows)
+    replay.accumulate(stream, max(1, varied), 1_000, at).option("checkpointLocation", fresh_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return replay.gathered(spark, at, stream.schema).select("prompt", r6("reward_std").alias("reward_std"))

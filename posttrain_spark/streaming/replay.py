@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def usable(trajectories: DataFrame, version: int, max_age: int) -> DataFrame:
@@ -53,24 +55,30 @@ def buffered(trajectories: DataFrame, batch_size: int, max_age: int) -> DataFram
     return trajectories.groupBy("target_version").applyInPandasWithState(step, schema, "held array<long>, batch long", "append", GroupStateTimeout.NoTimeout)
 
 
-def accumulate(groups: DataFrame, target: int, max_batches: int, sink: Callable[[DataFrame, int], None]):
-    """Dynamic sampling: a ``foreachBatch`` function that gathers groups of varied reward until ``target`` are there, then hands over the batch; too many batches without enough is an error.
+def accumulate(groups: DataFrame, target: int, max_batches: int, at: str) -> DataStreamWriter:
+    """Dynamic sampling: gathers groups of varied reward (``reward_std`` above 0) in the folder ``at`` until ``target`` are there; too many batches without enough is an error.
 
-    The groups wait in a table of the sink's; only their number is kept here.
+    Every batch writes what it adds to a folder of its own, replacing what an earlier attempt wrote, and counts what
+    the batches before it have written. So nothing is kept on the driver, and a stream that is started again goes on
+    where it was. Groups beyond the target are not needed and stay out.
     """
-    state = {"groups": 0, "batches": 0, "full": False}
 
     def take(batch: DataFrame, epoch: int) -> None:
-        if state["full"]:
+        before = gathered(batch.sparkSession, at, batch.schema).filter(F.col("epoch") < epoch).count()
+        if before >= target:
             return
-        state["batches"] += 1
-        kept = batch.filter(F.col("reward_std") > 0).limit(target - state["groups"])
-        kept = kept.persist()
-        state["groups"] += kept.count()
-        sink(kept, epoch)
-        kept.unpersist()
-        state["full"] = state["groups"] >= target
-        if not state["full"] and state["batches"] >= max_batches:
-            raise RuntimeError(f"{state['groups']} of {target} groups after {max_batches} batches")
-
-    return groups.writeStream.foreachBatch(take), state
+        mine = f"{at}/epoch={epoch}"
+        batch.filter(F.col("reward_std") > 0).limit(target - before).write.mode("overwrite").parquet(mine)
+        have = before + batch.sparkSession.read.schema(batch.schema).parquet(mine).count()
+        if have < target and epoch + 1 >= max_batches:
+            raise RuntimeError(f"{have} of {target} groups after {epoch + 1} batches")
+
+    return groups.writeStream.foreachBatch(take)
+
+
+def gathered(spark: SparkSession, at: str, schema: StructType) -> DataFrame:
+    """What ``accumulate`` has written so far, with the number of its batch as ``epoch``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], StructType([*schema.fields, StructField("epoch", LongType())]))
+    return spark.read.schema(StructType([*schema.fields, StructField("epoch", LongType())])).parquet(at)

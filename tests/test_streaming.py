@@ -1,3 +1,4 @@
+import pytest
 from posttrain_spark.streaming import replay
 
 
@@ -20,3 +21,29 @@ def test_buffer_emits_full_batches_and_expired_trajectories(spark, tmp_path):
     full = [r for r in got if not r.expired]
     assert expired == [0, 5, 10]
     assert sorted((r.target_version, r.batch) for r in full) == [(5, 1)] * 4 + [(5, 2)] * 4 + [(6, 1)] * 4
+
+
+def test_groups_gather_over_restarts(spark, tmp_path):
+    """Two runs of the stream, the second started anew, gather as many groups as one; a batch that runs again adds nothing."""
+    schema = "prompt long, reward_std double"
+    source, at = tmp_path / "in", str(tmp_path / "out")
+
+    def run(target, max_batches=50):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+        replay.accumulate(stream, target, max_batches, at).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+        return sorted(r.prompt for r in replay.gathered(spark, at, stream.schema).collect())
+
+    for k in range(2):
+        spark.createDataFrame([(10 * k + i, float(i % 2)) for i in range(10)], schema).coalesce(1).write.mode("append").parquet(str(source))
+    assert run(12) == [1, 3, 5, 7, 9, 11, 13, 15, 17, 19]
+    spark.createDataFrame([(100 + i, 1.0) for i in range(10)], schema).coalesce(1).write.mode("append").parquet(str(source))
+    assert len(run(12)) == 12
+    assert len(run(12)) == 12
+
+
+def test_too_many_batches_are_an_error(spark, tmp_path):
+    schema = "prompt long, reward_std double"
+    spark.createDataFrame([(1, 0.0)], schema).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    with pytest.raises(Exception, match="0 of 5 groups after 1 batches"):
+        replay.accumulate(stream, 5, 1, str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
