@@ -38,7 +38,7 @@ from .common import arrow_schema, doc_texts, materialize, partitions, prepare, r
 
 #: Token codes of a chunk: 0 is the end of a text, words follow; the start of a text is only a context.
 END, START = 0, -1
-CHUNK_TOKENS = 1 << 20
+CHUNK_TOKENS = 3 << 18
 #: Rows a chunk and n-gram length (a power of two), keys of a bucket, and sources merged where a bucket would hold more.
 PARTS, BUCKET_KEYS, FAN = 64, 1 << 22, 64
 #: A hash of an n-gram has so many bits more than the number of n-grams; words have all 64.
