@@ -43,6 +43,8 @@ NOTICES = {
 PAIR, TRIPLE = 2, 3
 DRIFT = 4
 COVERAGE, STRETCH = 0.6, 1.5
+#: A hash that no k-gram is meant to have.
+MARK = 0x4D41524B4D41524B
 #: Template positions (some 40 bytes each) that may be broadcast.
 BROADCAST_GRAMS = 500_000
 
@@ -61,10 +63,8 @@ def words(text: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(F.lower(inner), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
 
 
-def _grams(w: Column, k: int) -> Column:
-    """(position, hash) of the rolling k-grams of an array of words."""
-    gram = lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(k), *(F.get(w, i + j) for j in range(k))).alias("hash"))
-    return F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(0), F.size(w) - k), gram)).otherwise(F.array().cast("array<struct<pos:int,hash:bigint>>"))
+def _hash(words: list[Column]) -> Column:
+    return F.xxhash64(F.lit(len(words)), *words)
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -75,22 +75,31 @@ def templates(spark: SparkSession) -> DataFrame:
 
 def _positions(table: DataFrame) -> DataFrame:
     """Every k-gram of every template: ``hash`` and ``at`` (template, label, k, position, number of k-grams)."""
-    w = F.split("template", " ")
-    grams = F.when(F.col("k") == PAIR, _grams(w, PAIR)).otherwise(_grams(w, TRIPLE))
-    cut = table.select("template", "label", "k", F.size(grams).alias("n_grams"), F.explode(grams).alias("g"))
-    return cut.select(F.col("g.hash").alias("hash"), F.struct("template", "label", "k", "n_grams", F.col("g.pos").alias("t_pos")).alias("at"))
+    cut = table.withColumn("w", F.split("template", " ")).withColumn("n_grams", F.size("w") - F.col("k") + 1).filter("n_grams > 0")
+    each = cut.withColumn("t_pos", F.explode(F.sequence(F.lit(0), F.col("n_grams") - 1)))
+    gram = lambda k: _hash([F.get("w", F.col("t_pos") + j) for j in range(k)])
+    return each.select(F.when(F.col("k") == PAIR, gram(PAIR)).otherwise(gram(TRIPLE)).alias("hash"), F.struct("template", "label", "k", "n_grams", "t_pos").alias("at"))
 
 
 def matches(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """A key for each row, ``doc_id``, ``n_words`` and ``hits``, the positions of its k-grams with the template positions they match."""
-    w = F.col("w")
-    split = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words(F.coalesce(F.col("text"), F.lit(""))).alias("w"))
-    grams = split.select("row", "doc_id", F.size(w).cast("long").alias("n_words"), F.explode_outer(F.concat(_grams(w, PAIR), _grams(w, TRIPLE))).alias("g")).select("row", "doc_id", "n_words", "g.pos", "g.hash")
+    """A key for each row, ``doc_id``, ``n_words`` and ``hits``, the positions of its k-grams with the template positions they match.
+
+    Every row gets a mark before its words, which the table holds too, so that rows without a match stay. Words stand
+    beside the next two in one array, so that hashing and joining are compiled into one loop over its elements.
+    """
+    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.concat(F.array(F.lit("")), words(F.coalesce(F.col("text"), F.lit("")))).alias("w"))
+    n = F.size("w")
+    beside = F.arrays_zip(F.col("w"), F.slice("w", 2, n), F.slice("w", 3, n)).cast("array<struct<a:string,b:string,c:string>>")
+    each = base.select("row", "doc_id", (n - 1).cast("long").alias("n_words"), F.posexplode(beside).alias("place", "g"))
+    a, b, c = (F.col("g").getField(x) for x in ("a", "b", "c"))
+    hashes = F.when(F.col("place") == 0, F.array(F.lit(MARK))).otherwise(F.array(_hash([a, b]), _hash([a, b, c])))
+    grams = each.select("row", "doc_id", "n_words", (F.col("place") - 1).alias("pos"), F.explode(hashes).alias("hash"))
     known = _positions(table)
+    known = known.unionByName(docs.sparkSession.range(1).select(F.lit(MARK).alias("hash"), F.lit(None).cast(known.schema["at"].dataType).alias("at")))
     if known.count() <= BROADCAST_GRAMS:
         known = F.broadcast(known)
-    hit = F.when(F.col("at").isNotNull(), F.struct("pos", "at"))
-    return grams.join(known, "hash", "left").groupBy("row", "doc_id", "n_words").agg(F.collect_list(hit).alias("hits"))
+    hit = F.when(F.col("at").isNotNull() & (F.col("pos") >= 0), F.struct("pos", "at"))
+    return grams.join(known, "hash").groupBy("row", "doc_id", "n_words").agg(F.collect_list(hit).alias("hits"))
 
 
 def _chain(found: Column) -> Column:
