@@ -28,8 +28,9 @@ from .common import doc_texts, map_batches, prepare, workspace
 WIDE = 64
 _SHIFT = 20
 _INF = np.int64(1) << 62
-#: Words and pieces remembered by each Python worker: the first ones it meets, among them the frequent ones.
-CACHE = 250_000
+#: Bytes of words and pieces remembered by each Python worker, with what a dictionary's entry takes: the first ones it
+#: meets, among them the frequent ones.
+CACHE, ENTRY = 160 << 20, 330
 
 
 def byte_alphabet() -> list[str]:
@@ -217,6 +218,7 @@ class WordBpe:
         self.last = np.array([self.vocab[c + self.suffix] for c in chars], np.int64)
         self.by_word: dict[str, tuple[str, str]] = {}
         self.by_piece: dict[str, tuple[str, str]] = {}
+        self.room = CACHE
 
     @staticmethod
     def normal(piece: str) -> str:
@@ -269,7 +271,8 @@ class WordBpe:
             got = [made[w] if w in made else self.by_word[w] for w in ws]
             out[p] = got[0] if len(got) == 1 else (" ".join([x for x, _ in got]), " ".join([y for _, y in got]))
         for memory, more in ((self.by_word, made), (self.by_piece, out)):
-            if len(memory) < CACHE:
+            if self.room > 0:
+                self.room -= sum(len(k) + len(ids) + len(text) + ENTRY for k, (ids, text) in more.items())
                 memory.update(more)
         return out
 

@@ -34,17 +34,17 @@ def _smallest(edges: DataFrame) -> DataFrame:
     return moved.union(low.select("a", F.col("m").alias("b")))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``node``, ``component`` (the smallest node reachable) for every node of the links (``a``, ``b``), both long.
 
     Rounds of large star and small star until nothing changes: O(log n) rounds in practice, each two
     aggregations with map-side minima, so a hub costs no more than its links. Nothing is collected but one
     checksum a round, and each round is a written table in the shared folder. Self links, links in either
-    direction and repeated links are fine; null ends are ignored. Raises if ``max_rounds`` do not suffice.
+    direction and repeated links are fine; null ends are ignored.
     """
     edges = materialize(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").distinct(), "links")
     state = None
-    for _ in range(max_rounds):
+    while True:
         new = materialize(_smallest(_largest(edges)).filter("a <> b").distinct(), "links")
         release(edges)
         edges = new
@@ -52,7 +52,5 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     out = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return out.union(edges.select("b", "b").distinct().toDF("node", "component"))
