@@ -43,8 +43,11 @@ def shingle_hashes(text: str, words: int = 3, seed: int = 42) -> np.ndarray:
 
 
 def fingerprint(text: str, words: int = 3) -> int:
+    return fingerprint_of(shingle_hashes(text, words))
+
+
+def fingerprint_of(h: np.ndarray) -> int:
     """Bit k is set if it is set in over half of the shingle hashes; 0 for a text without words."""
-    h = shingle_hashes(text, words)
     n = len(h)
     if not n:
         return 0
