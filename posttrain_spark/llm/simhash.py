@@ -152,12 +152,16 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
 
     Returns ``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id``: the smallest ``doc_id`` reachable.
     Texts without words have fingerprint zero and link like any other. Repeated rows and repeated ids are kept
-    row by row; a null id keeps its row, never names a class, and a class of null ids only has a null id.
+    row by row; a null id keeps its row and links others, but never names a class; a class of null ids only has a null
+    id. A text of any length is read whole.
     """
     prints = materialize(simhash(docs, words), "fingerprints")
-    reps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).filter("rep is not null"), "prints")
-    found = components(near_links(reps, radius))
-    named = reps.join(found, reps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    # Fingerprints are the nodes: one that only rows of null ids have links others too.
+    reps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "prints")
+    found = materialize(components(near_links(reps.select("fp", F.col("fp").alias("rep")), radius)), "linked-prints")
+    lows = reps.join(found, reps.fp == found.node).groupBy("component").agg(F.min("rep").alias("low"))
+    linked = found.join(lows, "component").select("node", "low")
+    named = reps.join(linked, reps.fp == linked.node, "left").select("fp", F.when(F.col("node").isNotNull(), F.col("low")).otherwise(F.col("rep")).alias("component_id"))
     out = prints.join(named, "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -112,6 +112,14 @@ def test_table(make, odd, vocabulary):
     assert sh.near_duplicates(make([])).count() == 0
 
 
+def test_rows_without_an_id_link_others(spark, make, monkeypatch):
+    """Two documents that are near only a row of null id are of one class, named by the smallest id."""
+    prints = [(9, 0b1111), (None, 0b0011), (5, 0), (None, 0xFF << 40), (7, 0xFFFF00), (7, 0xFFFF00)]
+    monkeypatch.setattr(sh, "simhash", lambda docs, words: spark.createDataFrame(prints, "doc_id long, fp long"))
+    got = sorted(((r.doc_id, r.component_id) for r in sh.near_duplicates(make([])).collect()), key=repr)
+    assert got == sorted([(9, 5), (None, 5), (5, 5), (None, None), (7, 7), (7, 7)], key=repr)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (101, 101), (7, 3)] + [(500, 500 + k) for k in range(50)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
