@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import os
-import shutil
+import re
 import uuid
 from collections.abc import Iterable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,31 +68,55 @@ def task_name(path: str) -> str:
     return "-".join(path.split("/")[-2:]).split(".")[0].removeprefix("-")
 
 
-def resolve(patterns: list[str], unique: bool = True) -> list[str]:
-    """Files that match, sorted, each once (unless told otherwise); none is an error."""
-    found = [f for p in patterns for f in glob.glob(p, recursive=True) if os.path.isfile(f)]
+def _at(spark: SparkSession, path: str):
+    """A path and its file system, whichever it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _full(spark: SparkSession, path: str) -> str:
+    p, fs = _at(spark, path)
+    return fs.makeQualified(p).toString()
+
+
+def resolve(spark: SparkSession, patterns: list[str], unique: bool = True) -> list[str]:
+    """Files that match, with their file system, sorted, each once (unless told otherwise); none is an error. ``**/`` is a folder at any depth."""
+    found = []
+    for pattern in patterns:
+        head, deep, tail = pattern.partition("**/")
+        p, fs = _at(spark, head or "." if deep else pattern)
+        if deep:
+            name = re.compile(fnmatch.translate(tail))
+            files = fs.listFiles(p, True)
+            while files.hasNext():
+                at = files.next().getPath().toString()
+                # What follows the deep part has as many folders as the pattern.
+                if name.match("/".join(at.split("/")[-(tail.count("/") + 1) :])):
+                    found.append(at)
+        else:
+            found += [x.getPath().toString() for x in fs.globStatus(p) or () if x.isFile()]
     found = sorted(set(found)) if unique else sorted(found)
     if not found:
         raise FileNotFoundError(f"no file matches {patterns}")
     return found
 
 
-def overlap(a: list[str], b: list[str]) -> list[str]:
+def overlap(spark: SparkSession, a: list[str], b: list[str]) -> list[str]:
     """Files in both lists."""
-    return sorted({os.path.realpath(x) for x in a} & {os.path.realpath(x) for x in b})
+    return sorted({_full(spark, x) for x in a} & {_full(spark, x) for x in b})
 
 
-def checked_output(path: str, inputs: Iterable[str] = (), overwrite: bool = False) -> Path:
+def checked_output(spark: SparkSession, path: str, inputs: Iterable[str] = (), overwrite: bool = False) -> str:
     """A ``.jsonl`` path whose folder exists, that is no input, and that is free unless it may be overwritten."""
-    out = Path(path)
-    if out.suffix.lower() != ".jsonl":
+    if not path.lower().endswith(".jsonl"):
         raise ValueError(f"not a .jsonl path: {path}")
-    if overlap([str(out)], list(inputs)):
+    if overlap(spark, [path], list(inputs)):
         raise ValueError("the output is one of the inputs")
-    if out.exists() and not overwrite:
+    p, fs = _at(spark, path)
+    if fs.exists(p) and not overwrite:
         raise FileExistsError(path)
-    out.parent.mkdir(parents=True, exist_ok=True)
-    return out
+    fs.mkdirs(p.getParent())
+    return path
 
 
 def write_json_lines(rows: DataFrame, path: str, mode: str = "errorifexists", compression: str = "none") -> None:
@@ -107,18 +130,21 @@ def write_lines(rows: DataFrame, column: str, path: str, mode: str = "errorifexi
 
 
 def replace_folder(rows: DataFrame, path: str, write=write_json_lines) -> None:
-    """Writes beside a local folder, then takes its place; a failed write leaves the old one."""
-    staging = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    """Writes beside a folder, then takes its place; a failed write leaves the old one."""
+    name = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    staging, fs = _at(rows.sparkSession, name)
+    target, old = (_at(rows.sparkSession, x)[0] for x in (path.rstrip("/"), f"{name}.old"))
     try:
-        write(rows, staging)
+        write(rows, name)
     except Exception:
-        shutil.rmtree(staging, ignore_errors=True)
+        fs.delete(staging, True)
         raise
-    old = f"{staging}.old"
-    if os.path.exists(path):
-        os.rename(path, old)
-    os.rename(staging, path)
-    shutil.rmtree(old, ignore_errors=True)
+    if fs.exists(target) and not fs.rename(target, old):
+        raise OSError(f"{path} can't be moved")
+    if not fs.rename(staging, target):
+        fs.rename(old, target)
+        raise OSError(f"{path} can't be replaced")
+    fs.delete(old, True)
 
 
 def line_count(lines: DataFrame) -> int:

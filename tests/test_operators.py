@@ -277,12 +277,15 @@ def test_sources(spark, tmp_path):
     files.replace_folder(spark.range(1), str(tmp_path / "out"))
     assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ['{"id":0}']
     assert files.task_name("/data/sets/my.train.jsonl") == "sets-my"
-    assert files.resolve([str(tmp_path / "*.csv"), str(tmp_path / "a.*")]) == [str(tmp_path / "a.csv")]
+    assert files.resolve(spark, [str(tmp_path / "*.csv"), str(tmp_path / "a.*")]) == [f"file:{tmp_path}/a.csv"]
+    (tmp_path / "deep" / "er").mkdir(parents=True)
+    (tmp_path / "deep" / "er" / "a.csv").write_text("")
+    assert files.resolve(spark, [f"{tmp_path}/**/a.csv"]) == [f"file:{tmp_path}/a.csv", f"file:{tmp_path}/deep/er/a.csv"]
     with pytest.raises(FileNotFoundError):
-        files.resolve([str(tmp_path / "zz*")])
+        files.resolve(spark, [str(tmp_path / "zz*")])
     for bad in (tmp_path / "x.json", tmp_path / "b.jsonl"):
         with pytest.raises((ValueError, FileExistsError)):
-            files.checked_output(str(bad))
+            files.checked_output(spark, str(bad))
     mock = files.mock_rows(spark, 4, 6)
     assert mock.select("text").distinct().count() == 1 and len(mock.first().text.split()) == 6 and files.mock_candidate([9, 12, 11], 10) == 0
 
