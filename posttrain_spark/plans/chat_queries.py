@@ -170,13 +170,15 @@ def b30_image_paths(spark, d):
     return table(spark, d, "documents").select("doc_id", messages.image_path(path, "/data/").alias("path"))
 
 
-@query("SELECT event_id FROM events WHERE json_valid(props) AND json_type(props) = 'OBJECT' AND event_id % 3 = 0")
+JSON_LINE = """CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN concat('[', props, ']') WHEN 2 THEN substr(props, 2) WHEN 3 THEN concat('  ', props, ' ') WHEN 4 THEN concat('{"a": {"b": [', props, ', null, 1.5]}}') ELSE event_type END"""
+
+
+@query(f"WITH l AS (SELECT event_id, {JSON_LINE} AS line FROM events) SELECT event_id FROM l WHERE CASE WHEN json_valid(line) THEN json_type(line) = 'OBJECT' ELSE false END")
 def c1_json_objects(spark, d):
-    """Lines that are JSON objects; others (made here from every third row on) go."""
+    """Lines that are JSON objects: whole, nested and padded ones, not lists, pieces and words."""
     from ..operators.sets import is_object
 
-    line = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, F.lit("[1]")).otherwise(F.lit("{bad"))
-    return table(spark, d, "events").select("event_id", line.alias("line")).filter(is_object(F.col("line"))).select("event_id")
+    return table(spark, d, "events").select("event_id", F.expr(JSON_LINE).alias("line")).filter(is_object(F.col("line"))).select("event_id")
 
 
 @query("SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id HAVING count(*) > 2")
@@ -191,28 +193,39 @@ def c3_overlong(spark, d):
     return rows.withColumn("loss_multiplier", (F.col("length") <= 2000).cast("double"))
 
 
-@query("SELECT doc_id, source IN ('src1', 'src2') AND lang = 'en' AS expects FROM documents")
+AGENT = """CASE doc_id % 6 WHEN 0 THEN ' General_QA_v2 ' WHEN 1 THEN 'general_qa' WHEN 2 THEN 'my general_qa' WHEN 3 THEN 'SWE_pivot_single_step_tool_use_with_argument_comparison-1' WHEN 4 THEN 'single_step_tool_use_with_argument_comparison' ELSE source END"""
+ACTION = "CASE doc_id % 4 WHEN 0 THEN 'function_call' WHEN 1 THEN 'message' WHEN 2 THEN 'function_call ' END"
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, lower(trim({AGENT})) AS agent, {ACTION} AS action, lang = 'en' AS called FROM documents)
+SELECT doc_id, coalesce(starts_with(agent, 'general_qa') AND called, false) OR coalesce((starts_with(agent, 'single_step_tool_use_with_argument_comparison') OR starts_with(agent, 'swe_pivot_single_step_tool_use_with_argument_comparison') OR starts_with(agent, 'toolcall_schema_single_step_tool_use_with_argument_comparison')) AND action = 'function_call', false) AS expects FROM t"""
+)
 def c10_tool_call_expected(spark, d):
     """Rows as agent JSON; rules by agent prefix and field."""
-    agent = F.when(F.col("source").isin("src1", "src2"), F.lit(" General_QA_v2 ")).otherwise(F.lit("other"))
-    row = F.to_json(F.struct(F.struct(agent.alias("name")).alias("agent_ref"), (F.col("lang") == "en").alias("answer_is_tool_call")))
-    return table(spark, d, "documents").select("doc_id", expects_tool_call(row).alias("expects"))
+    row = F.struct(F.struct(F.expr(AGENT).alias("name")).alias("agent_ref"), F.struct(F.expr(ACTION).alias("type")).alias("expected_action"), (F.col("lang") == "en").alias("answer_is_tool_call"))
+    return table(spark, d, "documents").select("doc_id", F.to_json(row).alias("row")).select("doc_id", expects_tool_call(F.col("row")).alias("expects"))
 
 
-@query("SELECT doc_id, doc_id % 5 = 0 AS invalid FROM documents")
+MARKED = """concat(substr(text, 1, 50 + CAST(doc_id % 40 AS INT)), CASE doc_id % 7 WHEN 0 THEN '<tool_call>' WHEN 1 THEN '</tool_call>' WHEN 2 THEN '<function_call>' WHEN 3 THEN '</function_call' WHEN 4 THEN '< tool_call>' WHEN 5 THEN '</function_call>' ELSE '' END, text)"""
+
+
+@query(f"WITH t AS (SELECT doc_id, {MARKED} AS t FROM documents) SELECT doc_id, contains(t, '<tool_call>') OR contains(t, '</tool_call>') OR contains(t, '<function_call>') OR contains(t, '</function_call>') AS invalid FROM t")
 def c12_invalid_tool_call(spark, d):
-    text = F.when(F.col("doc_id") % 5 == 0, F.concat("source", F.lit(" <tool_call>"))).otherwise(F.col("source"))
-    return table(spark, d, "documents").select("doc_id", has_invalid_tool_call(text).alias("invalid"))
+    """Marks of a tool call within whole texts, and what only looks like one."""
+    return table(spark, d, "documents").select("doc_id", has_invalid_tool_call(F.expr(MARKED)).alias("invalid"))
 
 
-@query("SELECT doc_id, n_chars % 8 + 1 <= 8 AND doc_id % 6 <> 0 AS ok, doc_id % 10 = 0 AS double_start FROM documents")
+@query(
+    """WITH t AS (SELECT doc_id, n_chars % 8 + 1 AS n, list_transform(range(0, 9), lambda i: CASE WHEN doc_id % 3 = 0 AND i = doc_id % 9 THEN 3 WHEN i < n_chars % 8 + 1 THEN 5 ELSE 0 END) AS ids, [doc_id % 3, n_chars % 3] AS starts FROM documents)
+SELECT doc_id, n <= 9 AND len(list_filter(ids[n + 1:9], lambda x: x <> 0)) = 0 AS ok, len(list_filter(starts, lambda x: x = 1)) = 2 AS double_start FROM t"""
+)
 def c14_padding_checks(spark, d):
-    """Right padding and doubled start ids (C14, C15): sixths of the rows have an id in the padding."""
-    rows = table(spark, d, "documents").select("doc_id", (F.col("n_chars") % 8 + 1).cast("int").alias("n"))
+    """Right padding and doubled start ids (C14, C15): a third of the rows have another id somewhere."""
+    rows = table(spark, d, "documents").select("doc_id", (F.col("n_chars") % 8 + 1).cast("int").alias("n"), F.array(F.col("doc_id") % 3, F.col("n_chars") % 3).alias("starts"))
     ids = packing.padded(F.array_repeat(F.lit(5), F.col("n")), F.lit(9))
-    bad = F.transform(ids, lambda x, i: F.when((i == 8) & (F.col("doc_id") % 6 == 0), 3).otherwise(x))
-    start = F.when(F.col("doc_id") % 10 == 0, F.array(F.lit(1), F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2)))
-    return rows.select("doc_id", packing.well_padded(bad, F.col("n"), 0).alias("ok"), packing.double_bos(start, 1).alias("double_start"))
+    odd = F.transform(ids, lambda x, i: F.when((F.col("doc_id") % 3 == 0) & (i == F.col("doc_id") % 9), 3).otherwise(x))
+    return rows.select("doc_id", packing.well_padded(odd, F.col("n"), 0).alias("ok"), packing.double_bos(F.col("starts"), 1).alias("double_start"))
 
 
 JACCARD = f"""WITH {CHATS}, pairs AS (
@@ -321,26 +334,45 @@ def h16_choice_letters(spark, d):
     return table(spark, d, "documents").select("doc_id", answers.choice_letter(text).alias("letter"), answers.normal_response(plain).alias("plain"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source END AS query, CASE WHEN doc_id % 2 = 1 THEN concat('x = ', doc_id) END AS code, CASE WHEN doc_id % 2 = 1 THEN ' tail' END AS rest, concat('<result>', chr(10), '<1>', chr(10), lang, chr(10), '</1>', chr(10), '<2>', chr(10), source, chr(10), '</2>', chr(10), '</result>', chr(10)) AS result FROM documents")
+TOOL_TEXT = """CASE doc_id % 5 WHEN 0 THEN concat('a <retrieve>', text, '</retrieve> b</retrieve> c') WHEN 1 THEN concat(lang, '<code>', text, '</code>', source) WHEN 2 THEN text WHEN 3 THEN concat('</code>', source, '<code>x</code>', chr(10), text) ELSE concat('<retrieve>', source, '</retrieve><code></code>') END"""
+
+
+@query(
+    f"""WITH t AS (SELECT *, {TOOL_TEXT} AS t FROM documents)
+SELECT doc_id, CASE WHEN regexp_matches(t, '<retrieve>.*</retrieve>', 's') THEN md5(regexp_extract(t, '<retrieve>(.*)</retrieve>', 1, 's')) END AS query, CASE WHEN regexp_matches(t, '<code>.*</code>', 's') THEN md5(regexp_extract(t, '<code>(.*)</code>', 1, 's')) END AS code, CASE WHEN regexp_matches(t, '<code>.*</code>', 's') THEN md5(split_part(t, '</code>', -1)) END AS rest,
+ md5(concat('<result>', chr(10), '<1>', chr(10), lang, chr(10), '</1>', chr(10), '<2>', chr(10), text, chr(10), '</2>', chr(10), '</result>', chr(10))) AS result FROM t"""
+)
 def h25_tool_texts(spark, d):
-    """Retrieval queries, code blocks and result messages."""
-    text = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("a <retrieve>"), "source", F.lit("</retrieve>"))).otherwise(F.concat(F.lit("<code>x = "), "doc_id", F.lit("</code> tail")))
-    code, rest = retrieval.code_block(text)
-    return table(spark, d, "documents").select("doc_id", retrieval.retrieve_query(text).alias("query"), code.alias("code"), rest.alias("rest"), retrieval.result_text(F.array("lang", "source")).alias("result"))
+    """Retrieval queries, code blocks and result messages in whole texts."""
+    rows = table(spark, d, "documents").select("doc_id", "lang", "text", F.expr(TOOL_TEXT).alias("t"))
+    code, rest = retrieval.code_block(F.col("t"))
+    return rows.select("doc_id", F.md5(retrieval.retrieve_query(F.col("t"))).alias("query"), F.md5(code).alias("code"), F.md5(rest).alias("rest"), F.md5(retrieval.result_text(F.array("lang", "text"))).alias("result"))
 
 
-@query("SELECT doc_id, concat(lang, ' thinks') AS reasoning, CASE WHEN doc_id % 2 = 0 THEN source ELSE '' END AS final, CASE WHEN doc_id % 2 = 0 THEN source ELSE concat(lang, ' thinks') END AS final_off FROM documents")
+THINKING = """CASE doc_id % 5 WHEN 0 THEN concat(text, '</think>', source) WHEN 1 THEN concat('<think>', text, '</think>', text) WHEN 2 THEN text WHEN 3 THEN concat(lang, '<think>', text, '</think>') ELSE concat(text, '</think>', lang, '</think>x') END"""
+
+
+@query(
+    f"""WITH b AS (SELECT doc_id, regexp_replace({THINKING}, '^[\\s\\S]*?<think>', '') AS b FROM documents), s AS (SELECT doc_id, CASE WHEN contains(b, '</think>') THEN split_part(b, '</think>', 1) ELSE b END AS r, CASE WHEN contains(b, '</think>') THEN nullif(substr(b, strpos(b, '</think>') + 8), '') END AS c FROM b)
+SELECT doc_id, md5(r) AS reasoning, md5(coalesce(c, '')) AS final, md5(coalesce(c, r)) AS final_off FROM s"""
+)
 def h31_reasoning_split(spark, d):
-    text = F.concat("lang", F.lit(" thinks"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("</think>"), "source")).otherwise(F.lit("")))
-    reasoning, final = answers.reasoning_split(text)
-    return table(spark, d, "documents").select("doc_id", reasoning.alias("reasoning"), final.alias("final"), answers.reasoning_split(text, thinking=False)[1].alias("final_off"))
+    """Reasoning and content of whole texts with and without tags."""
+    reasoning, final = answers.reasoning_split(F.col("t"))
+    rows = table(spark, d, "documents").select("doc_id", F.expr(THINKING).alias("t"))
+    return rows.select("doc_id", F.md5(reasoning).alias("reasoning"), F.md5(final).alias("final"), F.md5(answers.reasoning_split(F.col("t"), thinking=False)[1]).alias("final_off"))
+
+
+CODE, RESULT = "CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN source END", "CASE WHEN doc_id % 4 < 2 THEN lang WHEN doc_id % 4 = 2 THEN text END"
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN concat('<result>', lang, '</result>') ELSE concat(chr(10), chr(10), '<result>', chr(10), lang, chr(10), '</result>') END AS shown FROM documents")
+@query(
+    f"""WITH t AS (SELECT doc_id, {CODE} AS c, {RESULT} AS r FROM documents)
+SELECT doc_id, md5(CASE WHEN r IS NULL THEN '' WHEN coalesce(contains(c, chr(10)), false) OR contains(r, chr(10)) THEN concat(chr(10), chr(10), '<result>', chr(10), r, chr(10), '</result>') ELSE concat('<result>', r, '</result>') END) AS shown FROM t"""
+)
 def h35_code_results(spark, d):
-    code = F.when(F.col("doc_id") % 3 == 2, F.lit("a\nb")).otherwise(F.lit("a"))
-    result = F.when(F.col("doc_id") % 3 != 0, F.col("lang"))
-    return table(spark, d, "documents").select("doc_id", retrieval.code_result(code, result).alias("shown"))
+    """Code results as they are shown, code and results being whole texts, short ones or missing."""
+    return table(spark, d, "documents").select("doc_id", F.md5(retrieval.code_result(F.expr(CODE), F.expr(RESULT))).alias("shown"))
 
 
 @query("SELECT doc_id, coalesce(try_cast(regexp_extract(source, '[0-9]+') AS DOUBLE), 0.0) AS score, CASE WHEN n_chars % 2 <> 0 THEN 'correct' ELSE 'incorrect' END AS label, CAST(ceil(n_chars / 64.0) * 64 AS BIGINT) AS rounded FROM documents")

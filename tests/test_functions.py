@@ -137,3 +137,34 @@ def test_losses(spark):
     r = one(spark, o=losses.clipped_policy(a, b, F.lit(1.0)), k=losses.kl(a, a), p=losses.preference_loss(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(0.0)), d=losses.distillation(a, a), t=losses.top_logits(F.array(F.lit(1.0), F.lit(3.0), F.lit(3.0)), 2), w=losses.importance_weights(a, b, cap=1.2))
     assert r.o == [pytest.approx(1.2), pytest.approx(1.0)] and r.k == [0.0, 0.0] and r.p == pytest.approx(0.693147, abs=1e-5) and r.d == pytest.approx(0)
     assert [tuple(x) for x in r.t] == [(3.0, 1), (3.0, 2)] and r.w == [pytest.approx(1.2), 1.0]
+
+
+def plain_last_boxed(text):
+    """The last box by a stack of its braces."""
+    at = text.rfind("\\boxed{")
+    depth = 0
+    for k in range(max(at, 0), len(text)):
+        depth += (text[k] == "{") - (text[k] == "}")
+        if text[k] == "}" and depth == 0:
+            return text[at : k + 1] if at >= 0 else None
+    return None
+
+
+def test_boxes_of_random_texts(spark):
+    import random
+
+    rng = random.Random(41)
+    parts = ["\\boxed{", "{", "}", "}", "x", " ", "\\frac{1}{2}", "\\boxed", "é", "\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(600)]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", answers.last_boxed(F.col("t")).alias("b"), answers.strict_box(F.col("t"), F.lit("x"))[0].alias("s")).collect()
+    for r in got:
+        want = plain_last_boxed(texts[r.k])
+        assert r.b == want, texts[r.k]
+        assert r.s == (1 if want == "\\boxed{x}" else -1)
+    assert sum(r.b is not None for r in got) > 50
+
+
+def test_answers_as_numbers(spark):
+    cases = [("12", 12.0), ("-3.50", -3.5), ("1/4", 0.25), ("-\\frac{3}{4}", -0.75), ("\\dfrac{1}{2}", 0.5), ("25\\%", 0.25), ("1/0", None), ("x", None), ("", None), ("1e5", None), ("--1", None)]
+    got = spark.createDataFrame([(k, a) for k, (a, _) in enumerate(cases)], "k int, a string").select("k", rewards.answer_value(F.col("a")).alias("v")).collect()
+    assert [r.v for r in sorted(got)] == [v for _, v in cases]
