@@ -44,3 +44,20 @@ def test_stages_keep_the_columns(spark, tmp_path):
         docs = f(spark, docs, str(tmp_path))
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         assert docs.count() == 1
+
+
+def test_odd_rows_and_empty_tables(spark, make, odd, tmp_path):
+    """Null ids and texts, repeated rows, very long texts, columns with clashing names, and tables without rows."""
+    extra = [(20, "¡Otra fila más!"), (None, "A row without an id.\nAnother line here.")]
+    make(odd + extra).write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    items = spark.createDataFrame([(1, "otra FILA más"), (2, None)], "item_id long, text string")
+    items.write.parquet(str(tmp_path / "a" / "benchmark.parquet"))
+    got = cp.run(spark, str(tmp_path / "a")).collect()
+    kept = [r for r in odd + extra[1:] if r[0] in (1, None, 6, -7, 8, 9)]  # 5 copies 1, 20 is an item
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted((i is None, i or 0) for i, _ in kept)
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = {i: t for i, t in kept}
+    assert all(r.ids == lib.encode(texts[r.doc_id], add_special_tokens=False).ids for r in got)
+    make([]).write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    items.limit(0).write.parquet(str(tmp_path / "b" / "benchmark.parquet"))
+    assert cp.run(spark, str(tmp_path / "b")).count() == 0
