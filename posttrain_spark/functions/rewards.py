@@ -123,13 +123,13 @@ def alignment_label(score: Column) -> Column:
 
 
 def ngram_severity(tokens: Column, n: int, threshold: int) -> Column:
-    """Share of over-repeated n-grams, or the top frequency over the most that fit, whichever is larger; at most 1."""
+    """Share of over-repeated n-grams, or the top frequency over the most that fit, whichever is larger; at most 1. N-grams are told apart by 64-bit hashes."""
     total = F.size(tokens) - (n - 1)
-    grams = F.sort_array(F.transform(F.sequence(F.lit(1), F.greatest(total, F.lit(1))), lambda i: F.array_join(F.transform(F.slice(tokens, i, n), lambda t: t.cast("string")), "\x1f")))
+    grams = F.sort_array(F.transform(F.sequence(F.lit(1), F.greatest(total, F.lit(1))), lambda i: F.xxhash64(F.slice(tokens, i, n))))
 
     def runs(sorted_: Column) -> Column:
         # Sorted n-grams: one pass counts runs, runs over the threshold, and the longest.
-        start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("over"), F.lit(0).alias("top"))
+        start = F.struct(F.lit(0).cast("long").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("over"), F.lit(0).alias("top"))
 
         def step(a: Column, g: Column) -> Column:
             run = F.when(a["last"].eqNullSafe(g) & (a["run"] > 0), a["run"] + 1).otherwise(F.lit(1))
