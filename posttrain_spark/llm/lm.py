@@ -268,6 +268,24 @@ def resolve(asks: DataFrame, keys: float, sources: int, level: int = 1) -> DataF
     return out
 
 
+def corpus_sums(counts: DataFrame, order: int) -> np.ndarray:
+    """``count_classes`` of the whole corpus by n-gram length; the buckets of a task are added up there."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for length, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total[length] = total.get(length, 0.0) + np.frombuffer(x, np.float64)
+        if total:
+            yield pa.RecordBatch.from_pydict({"length": list(total), "sums": [x.tobytes() for x in total.values()]}, schema=schema)
+
+    schema = arrow_schema("length int, sums binary")
+    out = np.zeros((order + 1, 3 + 2 * CLASSES))
+    for r in counts.filter("src is null").select("length", "sums").mapInArrow(add, "length int, sums binary").collect():
+        out[r["length"]] += np.frombuffer(bytes(r["sums"]), np.float64)
+    return out
+
+
 def mass_of(sums: np.ndarray, once: float) -> float:
     """The mass at which the failure arcs of contexts with these sums weigh as much as the n-grams found once."""
     n, total = sums[3 : 3 + CLASSES], sums[3 + CLASSES :]
@@ -389,9 +407,7 @@ def score_documents(docs: DataFrame, order: int = 3, mass: list[float] | None =
                 yield _ask(row["chunk"], *ask)
 
     counts = resolve(chunks.mapInArrow(request, ASK), sources * CHUNK_TOKENS, sources)
-    sums = np.zeros((order + 1, 3 + 2 * CLASSES))
-    for r in counts.filter("src is null").select("length", "sums").toLocalIterator():
-        sums[r["length"]] += np.frombuffer(bytes(r["sums"]), np.float64)
+    sums = corpus_sums(counts, order)
     tokens, types = int(sums[1][0]), int(sums[1][1])
     mass = mass or [mass_of(sums[k], sums[k + 1][2]) for k in range(1, order)]
     mass = [*mass, *[mass[-1]] * order] if mass else []
