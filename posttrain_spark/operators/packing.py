@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from ..sources.storage import free_name
+
 
 def round_up(n: Column, multiple: int) -> Column:
     return (F.ceil(n / multiple) * multiple).cast("long")
@@ -109,39 +112,51 @@ def group_and_concat(rows: DataFrame, order: str, ids: str, sizes: list[int], pa
     for s in sizes:
         total += s
         ends.append(total)
-    at = F.col("_n")
+    nth = free_name(rows, "nth")
+    at = F.col(nth)
     group = F.lit(None).cast("int")
     for g in reversed(range(len(ends))):
         group = F.when(at <= ends[g], g).otherwise(group)
-    ranked = rows.withColumn("_n", F.row_number().over(Window.orderBy(order))).filter(at <= total) if total else rows.limit(0).withColumn("_n", F.lit(0))
-    joined = ranked.groupBy(group.alias("group")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col("_n"), F.col(ids).alias("x")))), lambda s: s["x"])).alias("ids"))
+    ranked = rows.withColumn(nth, F.row_number().over(Window.orderBy(order))).filter(at <= total) if total else rows.limit(0).withColumn(nth, F.lit(0))
+    joined = ranked.groupBy(group.alias("group")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(nth), F.col(ids).alias("x")))), lambda s: s["x"])).alias("ids"))
     width = joined.agg(F.greatest(F.max(F.size("ids")), F.lit(min_width))).first()[0] or min_width
     return joined.withColumn("ids", padded(F.col("ids"), F.lit(width), pad))
 
 
+class Rooms:
+    """Room left in bins, as a tree of maxima that finds the first bin with enough."""
+
+    def __init__(self, rooms: list[int]):
+        self.size = 1 << max(0, len(rooms) - 1).bit_length()
+        self.free = [0] * self.size + rooms + [-1] * (self.size - len(rooms))
+        for k in range(self.size - 1, 0, -1):
+            self.free[k] = max(self.free[2 * k], self.free[2 * k + 1])
+
+    def first(self, n: int) -> int | None:
+        if self.free[1] < n:
+            return None
+        k = 1
+        while k < self.size:
+            k = 2 * k if self.free[2 * k] >= n else 2 * k + 1
+        return k - self.size
+
+    def take(self, b: int, n: int) -> None:
+        k = b + self.size
+        self.free[k] -= n
+        while k := k >> 1:
+            self.free[k] = max(self.free[2 * k], self.free[2 * k + 1])
+
+
 def _first_fit(lengths: list[int], order: list[int], capacity: int) -> list[list[int]]:
-    """First bin with room for each item in turn, found by a tree of the bins' free space."""
-    size = 1
-    while size < max(1, len(lengths)):
-        size *= 2
-    free = [0] * size + [capacity] * size
-    for k in range(size - 1, 0, -1):
-        free[k] = max(free[2 * k], free[2 * k + 1])
+    """First bin with room for each item in turn."""
+    rooms = Rooms([capacity] * len(lengths))
     bins: list[list[int]] = []
     for i in order:
-        n = lengths[i]
-        k = 1
-        while k < size:
-            k = 2 * k if free[2 * k] >= n else 2 * k + 1
-        b = k - size
-        while len(bins) <= b:
-            bins.append([])
+        if (b := rooms.first(lengths[i])) is None:
+            raise ValueError(f"an item of {lengths[i]} is longer than the capacity {capacity}")
+        bins += [[] for _ in range(b + 1 - len(bins))]
         bins[b].append(i)
-        free[k] -= n
-        k >>= 1
-        while k:
-            free[k] = max(free[2 * k], free[2 * k + 1])
-            k >>= 1
+        rooms.take(b, lengths[i])
     return bins
 
 
@@ -177,24 +192,29 @@ def modified_first_fit_decreasing(lengths: list[int], capacity: int, seed: int =
     bins = [[i] for i in large]
     room = [capacity - lengths[i] for i in large]
 
-    def put(b: int, pool: list[int], i: int) -> None:
-        pool.remove(i)
+    def put(b: int, i: int) -> None:
         bins[b].append(i)
         room[b] -= lengths[i]
 
+    def largest(pool: list[int], n: int) -> int:
+        """Place of the largest item that fits in n; the pool's size if none does."""
+        return bisect_left(pool, -n, key=lambda i: -lengths[i])
+
     for b in range(len(bins)):
-        if (i := next((i for i in medium if lengths[i] <= room[b]), None)) is not None:
-            put(b, medium, i)
+        if (k := largest(medium, room[b])) < len(medium):
+            put(b, medium.pop(k))
     for b in reversed(range(len(bins))):
         if len(bins[b]) == 1 and len(small) >= 2 and lengths[small[-1]] + lengths[small[-2]] <= room[b]:
-            least = small[-1]
-            put(b, small, least)
-            put(b, small, next(i for i in small if lengths[i] <= room[b]))
-    rest = sorted([*medium, *small, *tiny], key=lambda i: (-lengths[i], i))
-    for i in list(rest):
-        b = next((b for b in range(len(bins)) if lengths[i] <= room[b]), None)
-        if b is not None:
-            put(b, rest, i)
+            put(b, small.pop())
+            put(b, small.pop(largest(small, room[b])))
+    rooms, rest = Rooms(room), []
+    for i in sorted([*medium, *small, *tiny], key=lambda i: (-lengths[i], i)):
+        b = rooms.first(lengths[i]) if bins else None
+        if b is None:
+            rest.append(i)
+        else:
+            bins[b].append(i)
+            rooms.take(b, lengths[i])
     left = _first_fit([lengths[i] for i in rest], list(range(len(rest))), capacity)
     return bins + [[rest[j] for j in g] for g in left if g]
 
