@@ -50,7 +50,7 @@ SHARD_IDS = 1 << 22
 #: Bytes of text that are encoded together.
 AT_ONCE = 12 << 20
 #: Bytes of pieces of text and their ids remembered by each Python worker, with what a dictionary's entry takes.
-CACHE, ENTRY = 256 << 20, 160
+CACHE, ENTRY = 200 << 20, 160
 
 
 def _kind(planes: int) -> type:
@@ -299,9 +299,9 @@ class PieceEncoder:
         self.marks.update(zip(marks, self._ids(marks), strict=True))
         out = {p: (got[w] if w in got else memory[w]) + (self.marks[p[len(w) :]] if p != w else b"") for p, w in split.items()}
         if self.room > 0:
-            for more in (got, out):
-                self.room -= sum(len(p) + len(x) + ENTRY for p, x in more.items())
-                memory.update(more)
+            more = got | out
+            self.room -= sum(map(len, more)) + sum(map(len, more.values())) + ENTRY * len(more)
+            memory.update(more)
         if len(self.marks) > 10_000:  # not many and short, but any run of marks is one
             self.marks = {"": b""}
         return out
