@@ -324,16 +324,6 @@ def test_replay(spark):
     assert replay.replay(df, 4, 2, 3, "k").count() == replay.buffer_size(3, 2) == 12
 
 
-def test_accumulate(spark, tmp_path):
-    spark.createDataFrame([(i, float(i % 2)) for i in range(20)], "g long, reward_std double").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("g long, reward_std double").parquet(str(tmp_path / "in"))
-    got = []
-    writer, state = replay.accumulate(stream, 6, 5, lambda df, e: got.extend(r.g for r in df.collect()))
-    q = writer.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert state["full"] and len(got) == 6 and all(g % 2 for g in got)
-
-
 def test_consistency_counts_all_subsets():
     import random
     from collections import Counter
