@@ -118,8 +118,23 @@ def word_jaccard(response: Column, truth: Column) -> Column:
     return safe(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)))
 
 
+def two_decimals(x: Column) -> Column:
+    """The double itself to two decimals, its ties to even, as C and Python print it; Java rounds its shortest decimal form, so 0.045 and 0.125 go up there."""
+    a = F.abs(x)
+    p = a * 100
+    c = a * 134217729.0
+    high = c - (c - a)
+    error = (high * 100 - p) + (a - high) * 100  # of the product, exact
+    n = F.floor(p)
+    above = p - n - 0.5
+    up = (above > 0) | (above == 0) & ((error > 0) | (error == 0) & (n % 2 == 1))
+    n = n + up.cast("int")
+    text = F.concat(F.when(x < 0, "-").otherwise(""), F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
+    return F.when(a < 1e9, text).otherwise(F.format_string("%.2f", x))
+
+
 def alignment_label(score: Column) -> Column:
-    return F.concat(F.when(score > 0.5, "aligned").otherwise("misaligned"), F.format_string(" (%.2f)", score))
+    return F.concat(F.when(score > 0.5, "aligned").otherwise("misaligned"), F.lit(" ("), two_decimals(score), F.lit(")"))
 
 
 def ngram_severity(tokens: Column, n: int, threshold: int) -> Column:

@@ -42,6 +42,12 @@ def r6(c: Column | str) -> Column:
     return F.round(c, 6)
 
 
+def sql_r6(c: Column | str) -> Column:
+    """Half up on the product with a million, as DuckDB rounds doubles of 0 or more; ``round`` goes by the shortest decimal form, which differs at some ties."""
+    p = (F.col(c) if isinstance(c, str) else c) * 1e6
+    return (F.floor(p) + (p - F.floor(p) >= 0.5).cast("int")) / 1e6
+
+
 #: Responses with tags, the same expression in Spark and DuckDB.
 RESPONSE = """CASE WHEN doc_id % 4 = 0 THEN concat('<think>', source, '</think><answer>', lang, '!</answer>')
  WHEN doc_id % 4 = 1 THEN concat('<think>', lang, '</think> no answer')

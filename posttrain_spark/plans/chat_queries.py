@@ -9,7 +9,7 @@ from ..operators import packing, retrieval, trees
 from ..operators.groups import expects_tool_call, has_invalid_tool_call
 from ..sources.files import load_lines, load_table, write_json_lines
 from ..sources.storage import fresh_path
-from .base import CHATS, RESPONSES, chats, query, r6, responses, table
+from .base import CHATS, RESPONSES, chats, query, r6, responses, sql_r6, table
 
 
 @query("SELECT doc_id, lang, n_chars FROM documents WHERE n_chars >= 1000")
@@ -251,7 +251,7 @@ def jaccard_scores(spark, d):
 
 @query(JACCARD + " SELECT conv_id, round(score, 6) AS score, concat(CASE WHEN score > 0.5 THEN 'aligned' ELSE 'misaligned' END, printf(' (%.2f)', score)) AS label FROM scored")
 def h14_word_jaccard(spark, d):
-    return jaccard_scores(spark, d).select("conv_id", r6("score").alias("score"), rewards.alignment_label(F.col("score")).alias("label"))
+    return jaccard_scores(spark, d).select("conv_id", sql_r6("score").alias("score"), rewards.alignment_label(F.col("score")).alias("label"))
 
 
 @query(JACCARD + " SELECT round(avg((score > 0.5)::INT), 6) AS alignment_rate, round(avg(score), 6) AS mean_score, round(avg((score > 0.8)::INT), 6) AS high_rate FROM scored")

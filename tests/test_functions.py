@@ -60,6 +60,12 @@ def test_word_jaccard(spark):
     assert j("a b", "a b c d") == pytest.approx(0.5 * 3 / 7)
 
 
+def test_alignment_label_rounds_the_double_itself(spark):
+    scores = [k / 200 for k in range(201)] + [k / 800 for k in range(800)] + [0.045, 0.125, -0.045, -0.001, 0.0049999999999999, 123456.785]
+    got = spark.createDataFrame([(s,) for s in scores], "s double").select("s", rewards.alignment_label(F.col("s")).alias("label")).collect()
+    assert [r.label for r in got] == [f"{'aligned' if r.s > 0.5 else 'misaligned'} ({r.s:.2f})" for r in got]
+
+
 @pytest.mark.parametrize(
     ("ids", "n", "threshold", "want"),
     [([1], 2, 0, 0.0), ([1, 1, 1, 1], 1, 2, 1.0), ([1, 2, 3, 4], 2, 1, 0.0), ([1, 2, 1, 2, 3, 4, 5, 6], 2, 1, 0.5), ([], 1, 1, 0.0)],
