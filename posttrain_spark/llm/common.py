@@ -11,11 +11,7 @@ Conventions that hold for every operator here
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..sources.storage import fresh_path, materialize, release, shared_dir  # noqa: F401  (the operators take them from here)
+from ..sources.storage import fresh_path, importable, materialize, release, shared_dir  # noqa: F401  (the operators take them from here)
 
-ROOT = Path(__file__).resolve().parents[2]
 #: Input batches handed to Python: rows and bytes, whichever is reached first.
 BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
 
@@ -43,15 +38,7 @@ def prepare(spark: SparkSession) -> None:
     """Bounds Arrow batches and makes this package importable on executors."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    sc = spark.sparkContext
-    on_path = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if str(ROOT) not in on_path and not getattr(sc, "_posttrain_shipped", False):
-        at = os.path.join(tempfile.mkdtemp(), "posttrain_spark.zip")
-        with zipfile.ZipFile(at, "w") as z:
-            for f in sorted((ROOT / "posttrain_spark").rglob("*.py")):
-                z.write(f, f.relative_to(ROOT))
-        sc.addPyFile(at)
-        sc._posttrain_shipped = True
+    importable(spark)
 
 
 _WORK: dict = {"name": "", "held": {}}

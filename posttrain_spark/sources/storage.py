@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = Path(__file__).resolve().parents[2]
+
+
+def importable(spark: SparkSession) -> None:
+    """Ships this package to executors unless their Python path has it."""
+    sc = spark.sparkContext
+    on_path = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if str(ROOT) not in on_path and not getattr(sc, "_posttrain_shipped", False):
+        at = os.path.join(tempfile.mkdtemp(), "posttrain_spark.zip")
+        with zipfile.ZipFile(at, "w") as z:
+            for f in sorted((ROOT / "posttrain_spark").rglob("*.py")):
+                z.write(f, f.relative_to(ROOT))
+        sc.addPyFile(at)
+        sc._posttrain_shipped = True
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``. Where it is unset, a temporary folder if driver and executors are one process, else an error."""

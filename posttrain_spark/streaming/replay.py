@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +14,8 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..sources.storage import importable
+
 
 def usable(trajectories: DataFrame, version: int, max_age: int) -> DataFrame:
     """Trajectories generated by a version of at most ``max_age`` before the current one; older are expired, later not yet due."""
@@ -26,31 +31,76 @@ def replay(trajectories: DataFrame, current: int, max_age: int, prompts: int, ke
     return usable(trajectories, current, max_age).orderBy(F.desc("weight_version"), key).limit(buffer_size(prompts, max_age))
 
 
+#: Ids that a task sorts at once; more of a version are sorted in runs of as many, which lie in a temporary folder.
+SORTED = 1 << 21
+
+
+class Ascending:
+    """Ids in ascending order, as arrays; in memory are those of a run or two."""
+
+    def __enter__(self) -> Ascending:
+        self.folder, self.runs, self.parts, self.n = None, [], [], 0
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.runs = []
+        if self.folder:
+            self.folder.cleanup()
+
+    def add(self, ids: np.ndarray) -> None:
+        self.parts.append(ids)
+        self.n += len(ids)
+        if self.n >= SORTED:
+            self.folder = self.folder or tempfile.TemporaryDirectory()
+            at = os.path.join(self.folder.name, f"{len(self.runs)}.npy")
+            np.save(at, self._sorted())
+            self.runs.append(np.load(at, mmap_mode="r"))
+
+    def _sorted(self) -> np.ndarray:
+        ids = np.sort(np.concatenate([np.zeros(0, np.int64), *self.parts]))
+        self.parts, self.n = [], 0
+        return ids
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        left = [*self.runs, self._sorted()]
+        size = max(1, SORTED // len(left))
+        while left := [x for x in left if len(x)]:
+            # No id beyond the blocks is smaller than the least of their ends.
+            end = min(x[min(size, len(x)) - 1] for x in left)
+            cuts = [int(np.searchsorted(x[:size], end, side="right")) for x in left]
+            yield np.sort(np.concatenate([x[:n] for x, n in zip(left, cuts, strict=True)]))
+            left = [x[n:] for x, n in zip(left, cuts, strict=True)]
+
+
 def buffered(trajectories: DataFrame, batch_size: int, max_age: int) -> DataFrame:
     """Streaming form: trajectories of a target version wait in state until a batch is full.
 
     Input: ``target_version``, ``trajectory_id``, ``weight_version``. Output: ``target_version``, ``trajectory_id``,
     ``batch`` (from 1; -1 if expired) and ``expired``, true for a trajectory that is too old or too new for its target.
-    State holds fewer than ``batch_size`` ids a version.
+    Batches are filled by what waits, then by the ids of the trigger in ascending order, however many Arrow batches these
+    come in. State holds fewer than ``batch_size`` ids a version.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (target,) = key
         held, batch = state.get if state.exists else ([], 0)
-        held, out = list(held), []
-        for pdf in frames:
-            for r in pdf.sort_values("trajectory_id").itertuples():
-                if not target - max_age <= r.weight_version <= target:
-                    out.append((target, r.trajectory_id, -1, True))
-                    continue
-                held.append(int(r.trajectory_id))
-                if len(held) == batch_size:
-                    batch += 1
-                    out += [(target, i, batch, False) for i in held]
-                    held = []
-        state.update((held, batch))
-        yield pd.DataFrame(out, columns=["target_version", "trajectory_id", "batch", "expired"])
-
+        with Ascending() as ids:
+            for pdf in frames:
+                good = pdf["weight_version"].between(target - max_age, target)
+                ids.add(pdf["trajectory_id"][good].astype("int64").to_numpy())
+                if not good.all():
+                    yield pd.DataFrame({"target_version": target, "trajectory_id": pdf["trajectory_id"][~good], "batch": -1, "expired": True})
+            waiting = np.array(held, np.int64)
+            for block in ids:
+                waiting = np.concatenate([waiting, block])
+                full = len(waiting) // batch_size
+                if full:
+                    numbers = np.repeat(np.arange(batch + 1, batch + full + 1), batch_size)
+                    yield pd.DataFrame({"target_version": target, "trajectory_id": waiting[: full * batch_size], "batch": numbers, "expired": False})
+                    batch, waiting = batch + full, waiting[full * batch_size :]
+        state.update((waiting.tolist(), batch))
+
+    importable(trajectories.sparkSession)
     schema = "target_version long, trajectory_id long, batch long, expired boolean"
     return trajectories.groupBy("target_version").applyInPandasWithState(step, schema, "held array<long>, batch long", "append", GroupStateTimeout.NoTimeout)
 

@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 from posttrain_spark.streaming import replay
 
@@ -23,6 +26,41 @@ def test_buffer_emits_full_batches_and_expired_trajectories(spark, tmp_path):
     assert sorted((r.target_version, r.batch) for r in full) == [(5, 1)] * 4 + [(5, 2)] * 4 + [(6, 1)] * 4
 
 
+def test_batches_go_by_id_over_many_arrow_batches(spark, tmp_path):
+    """A version of several Arrow batches, written out of order, in two triggers: the ids of a trigger fill batches in ascending order."""
+    schema, at = "target_version long, trajectory_id long, weight_version long", str(tmp_path / "in")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+
+    def run():
+        out = replay.buffered(spark.readStream.schema(schema).parquet(at), batch_size=16, max_age=2).writeStream.format("parquet")
+        out.option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "out")).outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+
+    order = []
+    for lo in (0, 5000):
+        ids = list(range(lo, lo + 1009))
+        random.Random(lo).shuffle(ids)
+        spark.createDataFrame([(5, i, 5 if i % 7 else 9) for i in ids], schema).repartition(3).write.mode("append").parquet(at)
+        run()
+        order += [i for i in sorted(ids) if i % 7]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {r.trajectory_id: r.batch for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert {i: b for i, b in got.items() if b > 0} == {x: k // 16 + 1 for k, x in enumerate(order[: len(order) // 16 * 16])}
+    assert {i for i, b in got.items() if b < 0} == {i for lo in (0, 5000) for i in range(lo, lo + 1009) if i % 7 == 0}
+
+
+def test_ids_sorted_in_runs(monkeypatch):
+    monkeypatch.setattr(replay, "SORTED", 64)
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 63, 64, 1000):
+        ids = rng.integers(0, 300, n)
+        with replay.Ascending() as held:
+            for part in np.array_split(ids, 9):
+                held.add(part)
+            blocks = list(held)
+        assert np.concatenate([np.zeros(0, np.int64), *blocks]).tolist() == sorted(ids.tolist())
+        assert all(len(b) <= 2 * 64 for b in blocks)
+
+
 def test_groups_gather_over_restarts(spark, tmp_path):
     """Two runs of the stream, the second started anew, gather as many groups as one; a batch that runs again adds nothing."""
     schema = "prompt long, reward_std double"
