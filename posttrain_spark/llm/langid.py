@@ -178,43 +178,45 @@ class Model:
             share[left] /= share[left].sum(1, keepdims=True)
         return best
 
-    def speaks(self, texts: list[str | None]) -> list[bool]:
-        """Whether some word of a text is likelier in a learned language than if all n-grams were alike; any word will do unless ``settled``."""
-        split = [list(dict.fromkeys(tokens(t))) if t else [] for t in texts]
-        if not self.settled:
-            return [bool(ws) for ws in split]
-        flat = [w for ws in split for w in ws]
-        if not flat:
-            return [False] * len(texts)
-        lengths = np.fromiter(map(len, flat), np.int64, len(flat)) + 2
-        grams = sum(np.maximum(lengths - n + 1, 0) for n in GRAMS)
-        known = self.word_rows(flat).max(1) > -grams * np.log(BUCKETS)
-        before = np.r_[0, np.cumsum(known)]
-        ends = np.cumsum([len(ws) for ws in split])
-        return (before[ends] > before[np.r_[0, ends[:-1]]]).tolist()
-
-    def predict(self, texts: list[str | None], penalty: float = 1.0) -> list[tuple[str, float, str]]:
-        """Language of the largest share (ties: the first by name), that share, and all shares of at least a hundredth."""
-        out: list[tuple[str, float, str]] = [(UNKNOWN, 0.0, "")] * len(texts)
-        if not self.languages:
-            return out
+    def fitted(self, texts: list[str | None], penalty: float) -> Iterator[tuple[int, Counter, np.ndarray, np.ndarray]]:
+        """Of each text with a word, as many at a time as ``AT_ONCE`` says: its place, its words, their log likelihoods by language, and the proportions."""
         limit = max(1, AT_ONCE // len(self.languages))
         part: list[tuple[int, Counter]] = []
         n = 0
         for k, text in enumerate([*texts, None]):
             ws = Counter(tokens(text)) if text else Counter()
             if part and (k == len(texts) or n + len(ws) > limit):
-                flat = [w for _, c in part for w in c]
-                counts = np.array([x for _, c in part for x in c.values()])
-                share = self.mixtures(np.array([len(c) for _, c in part]), self.word_rows(flat), counts, penalty)
-                for (p, _), s in zip(part, share, strict=True):
-                    b = int(s.argmax())
-                    mix = ",".join(f"{self.languages[j]}:{s[j]:.2f}" for j in np.nonzero(s >= 0.01)[0])
-                    out[p] = (self.languages[b], min(1.0, float(s[b])), mix)
+                rows = self.word_rows([w for _, c in part for w in c])
+                sizes = np.array([len(c) for _, c in part])
+                share = self.mixtures(sizes, rows, np.array([x for _, c in part for x in c.values()]), penalty)
+                ends = np.cumsum(sizes)
+                for (p, c), a, z, s in zip(part, ends - sizes, ends, share, strict=True):
+                    yield p, c, rows[a:z], s
                 part, n = [], 0
             if ws:
                 part.append((k, ws))
                 n += len(ws)
+
+    def identified(self, texts: list[str | None], penalty: float = 1.0) -> list[bool]:
+        """Whether some word of a text is likelier in a language of its mixture than if all n-grams were alike; any word will do unless ``settled``."""
+        if not self.settled:
+            return [bool(t and tokens(t)) for t in texts]
+        out = [False] * len(texts)
+        for p, words, rows, share in self.fitted(texts, penalty):
+            lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+            grams = sum(np.maximum(lengths - n + 1, 0) for n in GRAMS)
+            out[p] = bool((rows[:, share > 0].max(1) > -grams * np.log(BUCKETS)).any())
+        return out
+
+    def predict(self, texts: list[str | None], penalty: float = 1.0) -> list[tuple[str, float, str]]:
+        """Language of the largest share (ties: the first by name), that share, and all shares of at least a hundredth."""
+        out: list[tuple[str, float, str]] = [(UNKNOWN, 0.0, "")] * len(texts)
+        if not self.languages:
+            return out
+        for p, _, _, s in self.fitted(texts, penalty):
+            b = int(s.argmax())
+            mix = ",".join(f"{self.languages[j]}:{s[j]:.2f}" for j in np.nonzero(s >= 0.01)[0])
+            out[p] = (self.languages[b], min(1.0, float(s[b])), mix)
         return out
 
 
@@ -282,11 +284,12 @@ def identify(docs: DataFrame, model: Model, penalty: float = 1.0) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, held_out boolean, lang_pred string, score double, mixture string")
 
 
-def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, penalty: float = 1.0) -> DataFrame:
     """The documents, with all their columns, that are in some learned language or in a mixture of several.
 
-    Null texts, texts without a letter and those in no learned language (``Model.speaks``) go. If no language was
-    learned, or one from few texts, every text with a letter stays.
+    The mixture of every whole text is fitted as in ``identify``. Null texts, texts without a letter and those whose
+    words no language of their mixture explains (``Model.identified``) go. If no language was learned, or one from few
+    texts, every text with a letter stays.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return keep_rows(docs, lambda texts: shared.value.speaks(texts))
+    return keep_rows(docs, lambda texts: shared.value.identified(texts, penalty))

@@ -138,3 +138,15 @@ def test_against_brute_force():
         same += np.abs(share - want).max() < 0.02
         assert reached >= score - 1.0  # the set is reached by leaving out one language after the other
     assert same >= 22
+
+
+def test_documents_are_kept_by_their_mixture():
+    """A word that is likely in a language outside the mixture alone doesn't keep a text; the same word by itself does."""
+    table = np.full((2, langid.BUCKETS), 50.0)
+    foreign = ["zqk" + chr(97 + k % 20) + chr(97 + k // 20) for k in range(300)]
+    table[:, langid.gram_buckets(foreign)[0]] = [[40], [45]]
+    table[:, langid.gram_buckets(["ab"])[0]] = [[55], [48]]
+    model = langid.Model(["aa", "bb"], table)
+    text = " ".join([*foreign, "ab"])
+    assert model.settled and model.predict([text])[0][::2] == ("bb", "bb:1.00")
+    assert model.identified([text, "ab", None, "12", "ab " * 400 + text]) == [False, True, False, False, True]
