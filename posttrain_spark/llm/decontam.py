@@ -6,9 +6,9 @@ same code, and a word is the 64-bit hash of its bytes from then on.
 
 1. Corpus statistics: in how many documents each word occurs (words hashed to ``FEATURES``), over all documents.
 2. A randomised SVD (Gaussian range finder, power steps) of TF-IDF passages gives one latent space of ``RANK``
-   dimensions. Its rows are a bounded sample of document passages and of benchmark passages (these with more weight),
-   its products are distributed, and its words are those of benchmark rows or of ``ROWS`` sampled rows. Words that stand
-   together in documents point the same way there, so a paraphrase by other words is near its source.
+   dimensions. Its rows are all passages of all documents and of the benchmark (these with more weight), its products
+   are distributed, and its words are those of benchmark rows or of ``ROWS`` document rows. Words that stand together in
+   documents point the same way there, so a paraphrase by other words is near its source.
 3. Every document is projected whole, in windows of 16, 32 and 64 words at every eighth word. A passage of the
    benchmark is compared with all windows of the size next to its own; a latent cosine of ``COSINE`` or more makes a
    candidate. One goes on if its surroundings hold ``RARE`` of the passage's rarer words (fewer for short passages),
@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,14 +44,17 @@ PASSAGE, STRIDE = 48, 24
 BLOCK_WORDS = 1 << 20
 #: Dimensions of the latent space, and those that the range finder has beside them; power steps.
 RANK, OVERSAMPLE, POWER = 64, 8, 2
-#: The space is fitted on passages of about so many documents and items, chosen by a hash, ``PLACES`` of each document.
-SAMPLE, PLACES = 8_192, 4
-#: Sampled rows that a word must be in to have a vector, unless a benchmark row holds it.
+#: Rows of documents that a word must be in to have a vector, unless a benchmark row holds it.
 ROWS = 3
-#: Tasks that multiply with the rows of the fit.
-FITTING = 8
-#: Weight of a benchmark row in the fit.
-EMPHASIS = 3.0
+#: Tasks that multiply with the rows of the fit, at least, and the rows of a task beyond that.
+FITTING, FIT_ROWS = 4, 1 << 19
+#: Rows that are multiplied together, and words of them that are gathered at once.
+TOGETHER, GATHERED = 1 << 14, 1 << 14
+#: Deletes the shuffled parts of a sum when it is there.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Weight of a benchmark row in the fit beside four document rows of weight 1 for each of up to so many documents; its
+#: square goes with the rows there are, so that the benchmark's share doesn't fall as a corpus grows.
+EMPHASIS, BESIDE = 3.0, 8_192
 #: Words of a step; steps of the windows, and the words of the passages that each window size is for, at most.
 STEP = 8
 SCALES = {2: 20, 4: 40, 8: PASSAGE}
@@ -175,8 +179,17 @@ def summed(rows: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarra
                 total[k] = total[k] + array(x, kind) if k in total else array(x, kind)
         yield from (row(k, x) for k, x in total.items())
 
-    got = {r["slice"]: array(r["part"], r["kind"]) for r in rows.mapInArrow(make, ddl).repartition(SLICES, "slice").mapInArrow(add, ddl).collect()}
-    return np.concatenate([got[k] for k in range(SLICES)]) if got else None
+    conf = rows.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        got = {r["slice"]: (r["part"], r["kind"]) for r in rows.mapInArrow(make, ddl).repartition(SLICES, "slice").mapInArrow(add, ddl).collect()}
+    finally:
+        conf.set(CLEANUP, before)
+    if not got:
+        return None
+    parts = [array(*got.pop(k)) for k in range(SLICES)]  # what has been unpacked is let go
+    return np.concatenate(parts)
 
 
 def weights(texts: DataFrame) -> np.ndarray:
@@ -240,7 +253,7 @@ class Space:
         self.row = np.zeros(FEATURES, np.int32)
         self.row[used] = np.arange(1, len(used) + 1)
         self.vectors = np.zeros((len(used) + 1, basis.shape[1]), np.float32)
-        self.vectors[1:] = basis * self.idf[used][:, None]
+        np.multiply(basis, self.idf[used][:, None], out=self.vectors[1:])
 
     def of(self, feats: np.ndarray) -> np.ndarray:
         """Direction of a passage; zeros if none of its words has a vector."""
@@ -249,61 +262,105 @@ class Space:
 
 
 def fit(rows: DataFrame, idf: np.ndarray, rank: int = RANK) -> Space:
-    """Randomised SVD of the TF-IDF rows (``features array<int>, weight double``), each of length ``weight``.
+    """Randomised SVD of TF-IDF rows (``features array<int>`` with repeats, ``scale float``: weight over length, ``item boolean``).
 
     Every product with the rows is a distributed job; the driver orthogonalises a table of words by dimensions.
     """
     context = rows.sparkSession.sparkContext
-    rows = rows.coalesce(FITTING)  # each task makes a table of words by dimensions
+    n = rows.count()
+    rows = rows.coalesce(max(FITTING, n // FIT_ROWS))  # each task makes a table of words by dimensions
 
     def held(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
         total = np.zeros(FEATURES, np.int64)
         for batch in batches:
-            for x, w in zip(*(batch.column(c).to_pylist() for c in (0, 1)), strict=True):
-                total[np.unique(np.array(x, np.int64))] += 1 if w == 1 else ROWS
+            flat, sizes = batch.column(0).flatten().to_numpy(), pc.list_value_length(batch.column(0)).to_numpy()
+            row, f = np.divmod(np.unique(np.repeat(np.arange(len(sizes)), sizes) * FEATURES + flat), FEATURES)
+            item = batch.column(2).to_numpy(zero_copy_only=False)
+            total += np.bincount(f, np.where(item, ROWS, 1)[row], FEATURES).astype(np.int64)
         return total if total.any() else None
 
     count = summed(rows, held)
     used = np.flatnonzero(count >= ROWS) if count is not None else np.zeros(0, np.int64)
+    used = used[np.argsort(-count[used], kind="stable")] if len(used) else used  # common words lie together in memory
     if not len(used):
         return Space(idf, used, np.zeros((0, 1), np.float32))
-    column = np.full(FEATURES, -1, np.int64)
+    # The last row of a table stands for words without a vector.
+    column = np.full(FEATURES, len(used), np.uint16 if len(used) < 1 << 16 else np.int32)  # 16 bits are sorted faster
     column[used] = np.arange(len(used))
-    basis = np.random.default_rng(5).standard_normal((len(used), min(len(used), rank + OVERSAMPLE))).astype(np.float32)
+    weight = idf[used].astype(np.float32)[:, None]
+    basis = np.zeros((len(used) + 1, min(len(used), rank + OVERSAMPLE)), np.float32)
+    basis[:-1] = np.random.default_rng(5).standard_normal(basis[:-1].shape, np.float32)
     for step in range(POWER + 1):
-        basis = np.linalg.qr(basis)[0].astype(np.float32)
-        shared = context.broadcast((basis, column, idf))
+        basis = orthonormal(basis)
+        basis[:-1] *= weight
+        shared = context.broadcast((np.ascontiguousarray(basis), column))
+        shared.__dict__.pop("_value", None)  # executors read the file; the driver needs no table beside the next
+        del basis
 
         def product(batches: Iterator[pa.RecordBatch], shared=shared) -> np.ndarray | None:
-            q, col, idf = shared.value
+            q, col = shared.value
             total = np.zeros_like(q)
-            for batch in batches:
-                lists = batch.column(0)
-                flat, sizes = lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy()
-                key, times = np.unique(np.repeat(np.arange(len(sizes)), sizes) * FEATURES + flat, return_counts=True)
-                row, f = np.divmod(key, FEATURES)
-                value = times * idf[f]
-                length = np.sqrt(np.bincount(row, value * value, len(sizes))) / batch.column(1).to_numpy()
-                value = (value / np.maximum(length[row], 1e-12)).astype(np.float32)
-                known = col[f] >= 0
-                row, c, value = row[known], col[f[known]], value[known][:, None]
-                if not len(row):
-                    continue
-                first = np.flatnonzero(np.diff(row, prepend=-1))
-                latent = np.zeros((len(sizes), q.shape[1]), np.float32)
-                latent[row[first]] = np.add.reduceat(q[c] * value, first, axis=0)
-                order = np.argsort(c, kind="stable")
-                first = np.flatnonzero(np.diff(c[order], prepend=-1))
-                total[c[order][first]] += np.add.reduceat((latent[row] * value)[order], first, axis=0)
+            for lists, scale in _grouped(batches):
+                c, sizes = col[lists.flatten().to_numpy()], pc.list_value_length(lists).to_numpy()
+                add_product(q, c, sizes, scale, total)
+            total[-1] = 0
             return total.ravel() if total.any() else None
 
         made = summed(rows, product)
-        shared.unpersist()
+        shared.destroy()  # its files, too
         if made is None:
             return Space(idf, used, np.zeros((len(used), 1), np.float32))
-        basis = made.reshape(basis.shape)
-    q, r = np.linalg.qr(basis)
-    return Space(idf, used, (q @ np.linalg.svd(r)[0][:, :rank]).astype(np.float32))
+        basis = made.reshape(len(used) + 1, -1)
+        basis[:-1] *= weight
+        del made
+    return Space(idf, used, orthonormal(basis)[:-1, :rank])
+
+
+def orthonormal(x: np.ndarray) -> np.ndarray:
+    """The left singular vectors of ``x``, the largest first, but for those of no length. From the products of columns, in the place of ``x``."""
+    step = 1 << 14
+    for again in (False, True):
+        g = sum(p.T @ p for p in (x[a : a + step].astype(np.float64) for a in range(0, len(x), step)))
+        w, v = np.linalg.eigh(g)
+        keep = w > w[-1] * 1e-12
+        turn = v[:, keep] / np.sqrt(w[keep])
+        turn = turn @ v[:, keep].T if again else turn[:, ::-1]  # the second time rounding is taken out, and nothing turned
+        for a in range(0, len(x), step):
+            x[a : a + step, : turn.shape[1]] = x[a : a + step] @ turn
+        x = x[:, : turn.shape[1]]
+    return x
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.ListArray, np.ndarray]]:
+    """Lists and scales of ``TOGETHER`` rows or somewhat more at a time."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= TOGETHER:
+            yield pa.concat_arrays([x.column(0) for x in held]), np.concatenate([x.column(1).to_numpy() for x in held])
+            held, n = [], 0
+    if n:
+        yield pa.concat_arrays([x.column(0) for x in held]), np.concatenate([x.column(1).to_numpy() for x in held])
+
+
+def add_product(q: np.ndarray, words: np.ndarray, sizes: np.ndarray, scale: np.ndarray, total: np.ndarray) -> None:
+    """Adds X'Xq to ``total``; X has ``scale`` for each of the ``words`` of a row, of which there are ``sizes``, one at least."""
+    ends = np.cumsum(sizes)
+    latent = np.empty((len(sizes), q.shape[1]), np.float32)
+    a = 0
+    while a < len(sizes):  # what is gathered at once stays in the processor's memory
+        lo = int(ends[a] - sizes[a])
+        z = max(a + 1, int(np.searchsorted(ends, lo + GATHERED, side="right")))
+        np.add.reduceat(q[words[lo : ends[z - 1]]], ends[a:z] - sizes[a:z] - lo, axis=0, out=latent[a:z])
+        a = z
+    latent *= (scale * scale)[:, None]
+    order = np.argsort(words, kind="stable")
+    words, row = words[order], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+    for a in range(0, len(words), GATHERED):
+        part = words[a : a + GATHERED]
+        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        total[part[first]] += np.add.reduceat(latent[row[a : a + GATHERED]], first, axis=0)
 
 
 class Seeds:
@@ -568,43 +625,49 @@ class Detector:
             yield Block(ids, held, self.space)
 
 
-def train(docs: DataFrame, benchmark: DataFrame, sample: int = SAMPLE, rank: int = RANK, block_words: int = BLOCK_WORDS) -> Detector:
-    """Corpus statistics over all documents, and the latent space.
+def train(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, block_words: int = BLOCK_WORDS) -> Detector:
+    """Corpus statistics and the latent space, both of all documents and the whole benchmark.
 
     Items with a null text or without a word are left out; items of equal id are told apart and reported under
-    that id. Equal rows of documents are drawn for the fit together and count once in it.
+    that id. Repeated rows count as often as they occur.
     """
-    prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    prepare(spark)
     texts = doc_texts(docs)
     idf = weights(texts)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
-    n, m = texts.count(), items.count()
-    rows = _drawn(texts, "doc_id", sample / max(1, n), PLACES, 1.0).unionByName(_drawn(items, "item_id", sample / max(1, m), None, EMPHASIS))
-    kept = materialize(rows, "passages")
-    space = fit(kept, idf, rank)
+    shared = spark.sparkContext.broadcast(idf)
+    kept = materialize(_passages(texts, shared, whole), "passages")
+    marked = materialize(_passages(items, shared, passages_of), "marked")
+    emphasis = EMPHASIS * (kept.count() / (4 * max(1, min(texts.count(), BESIDE)))) ** 0.5 or EMPHASIS
+    rows = kept.withColumn("item", F.lit(False)).unionByName(marked.select("features", (F.col("scale") * emphasis).cast("float").alias("scale"), F.lit(True).alias("item")))
+    space = fit(rows, idf, rank)
     release(kept)
+    release(marked)
     return Detector(space, items, block_words)
 
 
-def _drawn(texts: DataFrame, key: str, rate: float, places: int | None, weight: float) -> DataFrame:
-    """Passages of the rows that a hash selects: ``places`` at even distances from a place that the hash gives, or all."""
-    unit = F.pmod(F.xxhash64(key, "text", F.lit("passage")), F.lit(1 << 30))
+def whole(words: np.ndarray) -> list[np.ndarray]:
+    """All words, in as few passages as can be, of about equal length."""
+    return np.array_split(words, max(1, -(-len(words) // PASSAGE)))
 
-    def run(batch: pa.RecordBatch) -> dict:
-        words, sizes = batch_words(batch.column(0))
-        codes, at, out = features(words), np.r_[0, np.cumsum(sizes)], []
-        for k, h in enumerate(batch.column(1).to_pylist()):
-            x = codes[at[k] : at[k + 1]]
-            if places is None or len(x) <= PASSAGE:
-                out += passages_of(x) if places is None else [x]
-            else:
-                spots = len(x) - PASSAGE + 1
-                out += [x[lo : lo + PASSAGE] for lo in sorted({(h + p * spots // places) % spots for p in range(places)})]
-        out = [x.tolist() for x in out if len(x)]
-        return {"features": out, "weight": [weight] * len(out)}
 
-    chosen = texts.select("text", unit.alias("h")).filter(F.col("h") < int(min(1.0, rate) * (1 << 30))).dropDuplicates(["h"])
-    return map_batches(chosen, run, "features array<int>, weight double")
+def _passages(texts: DataFrame, idf: Broadcast, cut: Callable[[np.ndarray], list[np.ndarray]]) -> DataFrame:
+    """``features`` of every passage of every text, and ``scale``, one over the length of its TF-IDF row."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        words, counts = batch_words(batch.column(0))
+        codes, at = features(words), np.r_[0, np.cumsum(counts)]
+        out = [p for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True) for p in cut(codes[a:z]) if len(p)]
+        sizes = np.array([len(p) for p in out], np.int64)
+        flat = np.concatenate([np.zeros(0, np.int64), *out])
+        key, times = np.unique(np.repeat(np.arange(len(out)), sizes) * FEATURES + flat, return_counts=True)
+        row, f = np.divmod(key, FEATURES)
+        length = np.sqrt(np.bincount(row, (times * idf.value[f]) ** 2, len(out)))
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(flat, pa.int32()))
+        return {"features": lists, "scale": pa.array(1 / np.maximum(length, 1e-12), pa.float32())}
+
+    return map_batches(texts.select("text"), run, "features array<int>, scale float")
 
 
 def find_leaks(docs: DataFrame, detector: Detector) -> DataFrame:

@@ -259,3 +259,37 @@ def test_changed_copies_of_hot_items(spark, make):
     docs = make(rows)
     detector = dc.train(docs, spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id) for r in dc.find_leaks(docs, detector).collect()} == leaks
+
+
+def test_space_is_fitted_on_all_documents(spark, make):
+    """Every word in three documents of twenty thousand has a vector, every word of every text is in a passage."""
+    docs = [(i, f"common words stand here r{i % 6000:04d}x r{i % 5900:04d}y") for i in range(18_000)]
+    bench = spark.createDataFrame([(1, "other words of a benchmark")], "item_id long, text string")
+    space = dc.train(make(docs), bench, rank=8).space
+    rare = [w for i in range(0, 6000, 7) for w in dc.text_words(f"r{i:04d}x")]
+    assert (space.row[dc.features(np.array(rare, np.uint64))] > 0).all()
+    for n in (0, 1, 48, 49, 60, 1000):
+        words = np.arange(n)
+        parts = dc.whole(words)
+        assert np.concatenate(parts).tolist() == words.tolist() and max(map(len, parts)) <= dc.PASSAGE
+
+
+def test_product_against_dense_rows(monkeypatch):
+    monkeypatch.setattr(dc, "GATHERED", 7)
+    rng = np.random.default_rng(6)
+    sizes, q = rng.integers(1, 12, 40), rng.standard_normal((30, 5)).astype(np.float32)
+    words, scale = rng.integers(0, 30, sizes.sum()).astype(np.int32), rng.random(40).astype(np.float32)
+    rows = np.zeros((40, 30))
+    np.add.at(rows, (np.repeat(np.arange(40), sizes), words), 1)
+    rows *= scale[:, None]
+    total = np.ones_like(q)
+    dc.add_product(q, words, sizes, scale, total)
+    assert np.allclose(total, 1 + rows.T @ (rows @ q), atol=1e-3)
+
+
+def test_orthonormal_against_svd():
+    rng = np.random.default_rng(9)
+    x = (rng.standard_normal((500, 12)) * 10.0 ** -np.arange(12)[rng.permutation(12)][None, :] ** 0.5).astype(np.float32)
+    x[:, 3] = 0
+    want, got = np.linalg.svd(x.astype(float))[0][:, :11], dc.orthonormal(x)
+    assert got.shape == (500, 11) and np.allclose(np.abs((got * want).sum(0)), 1, atol=1e-3) and np.allclose(got.T @ got, np.eye(11), atol=1e-5)
