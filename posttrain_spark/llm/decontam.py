@@ -7,7 +7,7 @@ same code, and a word is the 64-bit hash of its bytes from then on.
 1. Corpus statistics: in how many documents each word occurs (words hashed to ``FEATURES``), over all documents.
 2. A randomised SVD (Gaussian range finder, power steps) of TF-IDF passages gives one latent space of ``RANK``
    dimensions. Its rows are all passages of all documents and of the benchmark (these with more weight), its products
-   are distributed, and its words are those of benchmark rows or of ``ROWS`` document rows. Words that stand together in
+   are distributed, the table of words by dimensions stays in the shared folder until it is the space, and its words are those of benchmark rows or of ``ROWS`` document rows. Words that stand together in
    documents point the same way there, so a paraphrase by other words is near its source.
 3. Every document is projected whole, in windows of 16, 32 and 64 words at every eighth word. A passage of the
    benchmark is compared with all windows of the size next to its own; a latent cosine of ``COSINE`` or more makes a
@@ -25,17 +25,19 @@ space, whose size is fixed by the parameters, whatever the benchmark and the cor
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 import zstandard
 from pyspark.core.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, doc_texts, keep_rows, map_batches, materialize, prepare, release
+from .common import arrow_schema, doc_texts, fresh_path, keep_rows, map_batches, materialize, prepare, release
 
 FEATURES = 1 << 18
 SLICES = 16
@@ -49,7 +51,7 @@ ROWS = 3
 #: Tasks that multiply with the rows of the fit, at least, and the rows of a task beyond that.
 FITTING, FIT_ROWS = 4, 1 << 19
 #: Rows that are multiplied together, and words of them that are gathered at once.
-TOGETHER, GATHERED = 1 << 14, 1 << 14
+TOGETHER, GATHERED = 1 << 16, 1 << 13
 #: Deletes the shuffled parts of a sum when it is there.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Weight of a benchmark row in the fit beside four document rows of weight 1 for each of up to so many documents; its
@@ -153,43 +155,46 @@ def features(words: np.ndarray) -> np.ndarray:
     return np.maximum(words >> np.uint64(64 - FEATURES.bit_length() + 1), np.uint64(1)).astype(np.int64)
 
 
-def summed(rows: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None]) -> np.ndarray | None:
-    """Sum of the one-dimensional arrays, of equal length, that ``part`` makes of each task's rows; None if none is made.
+def _pack(x: np.ndarray) -> dict:
+    return {"part": [zstandard.ZstdCompressor(level=1).compress(x.tobytes())], "kind": [x.dtype.str]}
 
-    The arrays are cut into ``SLICES``, which as many tasks add up; the driver gets one sum.
-    """
-    ddl = "slice int, part binary, kind string"
-    schema = arrow_schema(ddl)
 
-    def row(k: int, x: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"slice": [k], "part": [zstandard.ZstdCompressor(level=1).compress(x.tobytes())], "kind": [x.dtype.str]}, schema=schema)
+def _unpack(part: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(part)), kind)
 
-    def array(x: bytes, kind: str) -> np.ndarray:
-        return np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(x)), kind)
+
+def _sum_slices(rows: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None], last: Callable[[np.ndarray], dict], fields: str) -> dict[int, Row]:
+    """The arrays, of equal shape, that ``part`` makes of each task's rows are cut into ``SLICES`` along the first axis,
+    which as many tasks add up. The driver gets what ``last`` makes of each slice's flat sum, nothing if no array is made.
+    """
+    ddl = "slice int, part binary, kind string"
+    between, schema = arrow_schema(ddl), arrow_schema(f"slice int, {fields}")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = part(batches)
         if made is not None:
-            yield from (row(k, x) for k, x in enumerate(np.array_split(made, SLICES)))
+            yield from (pa.RecordBatch.from_pydict({"slice": [k]} | _pack(x), schema=between) for k, x in enumerate(np.array_split(made, SLICES)))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, x, kind in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                total[k] = total[k] + array(x, kind) if k in total else array(x, kind)
-        yield from (row(k, x) for k, x in total.items())
+                total[k] = total[k] + _unpack(x, kind) if k in total else _unpack(x, kind)
+        yield from (pa.RecordBatch.from_pydict({"slice": [k]} | last(x), schema=schema) for k, x in total.items())
 
     conf = rows.sparkSession.conf
     before = conf.get(CLEANUP, "false")
     conf.set(CLEANUP, "true")
     try:
-        got = {r["slice"]: (r["part"], r["kind"]) for r in rows.mapInArrow(make, ddl).repartition(SLICES, "slice").mapInArrow(add, ddl).collect()}
+        return {r["slice"]: r for r in rows.mapInArrow(make, ddl).repartition(SLICES, "slice").mapInArrow(add, f"slice int, {fields}").collect()}
     finally:
         conf.set(CLEANUP, before)
-    if not got:
-        return None
-    parts = [array(*got.pop(k)) for k in range(SLICES)]  # what has been unpacked is let go
-    return np.concatenate(parts)
+
+
+def summed(rows: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None]) -> np.ndarray | None:
+    """Sum of the one-dimensional arrays, of equal length, that ``part`` makes of each task's rows; None if none is made."""
+    got = _sum_slices(rows, part, _pack, "part binary, kind string")
+    return np.concatenate([_unpack(got[k]["part"], got[k]["kind"]) for k in range(SLICES)]) if got else None
 
 
 def weights(texts: DataFrame) -> np.ndarray:
@@ -248,12 +253,13 @@ def passages_of(words: np.ndarray) -> list[np.ndarray]:
 class Space:
     """The latent space: the vector of each feature (0: none), times the word's weight."""
 
-    def __init__(self, idf: np.ndarray, used: np.ndarray, basis: np.ndarray):
+    def __init__(self, idf: np.ndarray, row: np.ndarray, vectors: np.ndarray):
+        """``row``: of each feature in ``vectors``, of which the first is that of no vector."""
         self.idf = idf.astype(np.float32)
-        self.row = np.zeros(FEATURES, np.int32)
-        self.row[used] = np.arange(1, len(used) + 1)
-        self.vectors = np.zeros((len(used) + 1, basis.shape[1]), np.float32)
-        np.multiply(basis, self.idf[used][:, None], out=self.vectors[1:])
+        self.row, self.vectors = row, vectors
+        held = np.flatnonzero(row)
+        for at in np.array_split(held, max(1, len(held) // GATHERED)):  # no second table beside it
+            vectors[row[at]] *= self.idf[at][:, None]
 
     def of(self, feats: np.ndarray) -> np.ndarray:
         """Direction of a passage; zeros if none of its words has a vector."""
@@ -266,7 +272,7 @@ def fit(rows: DataFrame, idf: np.ndarray, rank: int = RANK) -> Space:
 
     Every product with the rows is a distributed job; the driver orthogonalises a table of words by dimensions.
     """
-    context = rows.sparkSession.sparkContext
+    spark = rows.sparkSession
     n = rows.count()
     rows = rows.coalesce(max(FITTING, n // FIT_ROWS))  # each task makes a table of words by dimensions
 
@@ -282,52 +288,127 @@ def fit(rows: DataFrame, idf: np.ndarray, rank: int = RANK) -> Space:
     count = summed(rows, held)
     used = np.flatnonzero(count >= ROWS) if count is not None else np.zeros(0, np.int64)
     used = used[np.argsort(-count[used], kind="stable")] if len(used) else used  # common words lie together in memory
+    place = np.zeros(FEATURES, np.int32)  # the first row of a table stands for words without a vector
+    place[used] = np.arange(1, len(used) + 1)
+    nothing = Space(idf, place, np.zeros((len(used) + 1, 1), np.float32))
     if not len(used):
-        return Space(idf, used, np.zeros((0, 1), np.float32))
-    # The last row of a table stands for words without a vector.
-    column = np.full(FEATURES, len(used), np.uint16 if len(used) < 1 << 16 else np.int32)  # 16 bits are sorted faster
-    column[used] = np.arange(len(used))
-    weight = idf[used].astype(np.float32)[:, None]
-    basis = np.zeros((len(used) + 1, min(len(used), rank + OVERSAMPLE)), np.float32)
-    basis[:-1] = np.random.default_rng(5).standard_normal(basis[:-1].shape, np.float32)
-    for step in range(POWER + 1):
-        basis = orthonormal(basis)
-        basis[:-1] *= weight
-        shared = context.broadcast((np.ascontiguousarray(basis), column))
-        shared.__dict__.pop("_value", None)  # executors read the file; the driver needs no table beside the next
-        del basis
-
-        def product(batches: Iterator[pa.RecordBatch], shared=shared) -> np.ndarray | None:
-            q, col = shared.value
-            total = np.zeros_like(q)
+        return nothing
+    shape = len(used), min(len(used), rank + OVERSAMPLE)
+    shared = spark.sparkContext.broadcast((place, idf[used].astype(np.float32)[:, None]))
+    table = None
+    for _ in range(POWER + 1):
+
+        def product(batches: Iterator[pa.RecordBatch], table=table) -> np.ndarray | None:
+            q = total = None
+            row, weight = shared.value
             for lists, scale in _grouped(batches):
-                c, sizes = col[lists.flatten().to_numpy()], pc.list_value_length(lists).to_numpy()
-                add_product(q, c, sizes, scale, total)
-            total[-1] = 0
-            return total.ravel() if total.any() else None
-
-        made = summed(rows, product)
-        shared.destroy()  # its files, too
+                if q is None:
+                    q = table.read() if table else np.random.default_rng(5).standard_normal((shape[0] + 1, shape[1]), np.float32)
+                    q[0] = 0
+                    q[1:] *= weight
+                    total = np.zeros_like(q)
+                add_product(q, row[lists.flatten().to_numpy()], pc.list_value_length(lists).to_numpy(), scale, total)
+            if total is None or not total[1:].any():
+                return None
+            total[1:] *= weight
+            return total[1:]
+
+        made = orthonormal_table(rows, product, table.turn.shape[1] if table else shape[1])
+        if table:
+            table.release()
         if made is None:
-            return Space(idf, used, np.zeros((len(used), 1), np.float32))
-        basis = made.reshape(len(used) + 1, -1)
-        basis[:-1] *= weight
-        del made
-    return Space(idf, used, orthonormal(basis)[:-1, :rank])
+            return nothing
+        table = made
+    shared.destroy()
+    space = Space(idf, place, table.read(rank))
+    table.release()
+    return space
+
+
+class Table:
+    """Words by dimensions, in as many files of the shared folder as ``SLICES``; each row is to be multiplied by ``turn`` yet."""
+
+    def __init__(self, folder: str, names: list[str], rows: list[int], turn: np.ndarray):
+        self.folder, self.names, self.rows, self.turn = folder, names, rows, turn
+
+    def part(self, k: int, turn: np.ndarray) -> np.ndarray:
+        fs, root = pafs.FileSystem.from_uri(self.folder)
+        with fs.open_input_stream(f"{root}/{self.names[k]}") as f:
+            x = np.frombuffer(f.read(), np.float32).reshape(self.rows[k], len(turn))
+        return (x @ turn).astype(np.float32)
+
+    def read(self, dimensions: int | None = None) -> np.ndarray:
+        """All rows, after one of zeros."""
+        turn = self.turn[:, :dimensions]
+        out = np.zeros((sum(self.rows) + 1, turn.shape[1]), np.float32)
+        at = 1
+        for k, n in enumerate(self.rows):
+            out[at : at + n] = self.part(k, turn)
+            at += n
+        return out
 
+    def release(self) -> None:
+        fs, root = pafs.FileSystem.from_uri(self.folder)
+        fs.delete_dir(root)
 
-def orthonormal(x: np.ndarray) -> np.ndarray:
-    """The left singular vectors of ``x``, the largest first, but for those of no length. From the products of columns, in the place of ``x``."""
+
+def _kept(folder: str, x: np.ndarray) -> dict:
+    """Writes rows to a file that no other attempt names; its name, the number of rows and the products of the columns."""
+    fs, root = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(root, recursive=True)
+    name = uuid.uuid4().hex
+    with fs.open_output_stream(f"{root}/{name}") as f:
+        f.write(np.ascontiguousarray(x, np.float32))
+    return {"name": [name], "n": [len(x)], "gram": [gram(x).tobytes()]}
+
+
+def orthonormal_table(rows: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None], columns: int) -> Table | None:
+    """``orthonormal`` of the sum of the arrays that ``part`` makes of each task's rows; None if none is made.
+
+    Tasks write the slices; the driver gets the products of their columns only.
+    """
+    spark = rows.sparkSession
+    fields = "name string, n long, gram binary"
+    schema = arrow_schema(f"slice int, {fields}")
+    folders = fresh_path(spark, "table"), fresh_path(spark, "table")
+
+    def table(folder: str, got: dict[int, Row], dimensions: int, again: bool) -> Table:
+        g = sum(np.frombuffer(bytes(got[k]["gram"])).reshape(dimensions, dimensions) for k in range(SLICES))
+        return Table(folder, [got[k]["name"] for k in range(SLICES)], [got[k]["n"] for k in range(SLICES)], turning(g, again))
+
+    got = _sum_slices(rows, part, lambda x: _kept(folders[0], x.reshape(-1, columns)), fields)
+    if not got:
+        return None
+    first = table(folders[0], got, columns, False)
+
+    def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_pydict({"slice": [k]} | _kept(folders[1], first.part(k, first.turn)), schema=schema)
+
+    got = {r["slice"]: r for r in spark.range(0, SLICES, 1, SLICES).mapInArrow(turned, f"slice int, {fields}").collect()}
+    first.release()
+    return table(folders[1], got, first.turn.shape[1], True)
+
+
+def gram(x: np.ndarray) -> np.ndarray:
+    """The products of the columns, in double precision."""
     step = 1 << 14
+    return sum((p.T @ p for p in (x[a : a + step].astype(np.float64) for a in range(0, len(x), step))), np.zeros((x.shape[1],) * 2))
+
+
+def turning(g: np.ndarray, again: bool) -> np.ndarray:
+    """What makes columns of these products orthonormal, the largest first, but for those of no length; ``again``: rounding is taken out, and nothing turned."""
+    w, v = np.linalg.eigh(g)
+    keep = w > w[-1] * 1e-12
+    turn = v[:, keep] / np.sqrt(w[keep])
+    return turn @ v[:, keep].T if again else turn[:, ::-1]
+
+
+def orthonormal(x: np.ndarray) -> np.ndarray:
+    """The left singular vectors of ``x``, the largest first, but for those of no length, from the products of columns."""
     for again in (False, True):
-        g = sum(p.T @ p for p in (x[a : a + step].astype(np.float64) for a in range(0, len(x), step)))
-        w, v = np.linalg.eigh(g)
-        keep = w > w[-1] * 1e-12
-        turn = v[:, keep] / np.sqrt(w[keep])
-        turn = turn @ v[:, keep].T if again else turn[:, ::-1]  # the second time rounding is taken out, and nothing turned
-        for a in range(0, len(x), step):
-            x[a : a + step, : turn.shape[1]] = x[a : a + step] @ turn
-        x = x[:, : turn.shape[1]]
+        x = (x @ turning(gram(x), again)).astype(np.float32)
     return x
 
 
@@ -346,21 +427,35 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.ListArray,
 
 def add_product(q: np.ndarray, words: np.ndarray, sizes: np.ndarray, scale: np.ndarray, total: np.ndarray) -> None:
     """Adds X'Xq to ``total``; X has ``scale`` for each of the ``words`` of a row, of which there are ``sizes``, one at least."""
-    ends = np.cumsum(sizes)
-    latent = np.empty((len(sizes), q.shape[1]), np.float32)
-    a = 0
-    while a < len(sizes):  # what is gathered at once stays in the processor's memory
-        lo = int(ends[a] - sizes[a])
-        z = max(a + 1, int(np.searchsorted(ends, lo + GATHERED, side="right")))
-        np.add.reduceat(q[words[lo : ends[z - 1]]], ends[a:z] - sizes[a:z] - lo, axis=0, out=latent[a:z])
-        a = z
+    latent = np.zeros((len(sizes), q.shape[1]), np.float32)
+    _add_runs(q, words, np.cumsum(sizes) - sizes, sizes, latent, np.arange(len(sizes)))
     latent *= (scale * scale)[:, None]
-    order = np.argsort(words, kind="stable")
-    words, row = words[order], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
-    for a in range(0, len(words), GATHERED):
-        part = words[a : a + GATHERED]
-        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        total[part[first]] += np.add.reduceat(latent[row[a : a + GATHERED]], first, axis=0)
+    word = words.astype(np.int64) << 32 | np.repeat(np.arange(len(sizes)), sizes)
+    word.sort()
+    row = word & 0xFFFFFFFF
+    word >>= 32
+    first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+    _add_runs(latent, row, first, np.diff(np.r_[first, len(word)]), total, word[first])
+
+
+def _add_runs(table: np.ndarray, index: np.ndarray, first: np.ndarray, counts: np.ndarray, out: np.ndarray, place: np.ndarray) -> None:
+    """Adds to ``out[place[k]]`` the rows of ``table`` that ``index`` names from ``first[k]`` on, ``counts[k]`` of them; no place occurs twice.
+
+    A run is the sum of pieces of the powers of two in its length; those of one length are gathered together.
+    """
+    held, ones = np.empty((GATHERED, table.shape[1]), table.dtype), np.ones((1, GATHERED), table.dtype)
+    longest = GATHERED.bit_length() - 1
+    for bit in range(min(longest + 1, int(counts.max(initial=0)).bit_length())):
+        n = 1 << bit
+        times = counts >> bit if bit == longest else counts >> bit & 1  # a long run has several of the longest, one gathered at a time
+        k = np.repeat(np.arange(len(counts)), times)
+        start = first[k] + (counts[k] & n - 1) + n * (np.arange(len(k)) - (np.cumsum(times) - times)[k])
+        step = GATHERED >> bit
+        for a in range(0, len(k), step):
+            at = index[start[a : a + step, None] + np.arange(n)]
+            rows = held[: at.size].reshape(*at.shape, -1)
+            np.take(table, at, axis=0, mode="clip", out=rows)  # any other mode gathers in a second table
+            out[place[k[a : a + step]]] += np.matmul(ones[:, :n], rows)[:, 0] if n > 1 else rows[:, 0]
 
 
 class Seeds:

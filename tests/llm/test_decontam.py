@@ -1,3 +1,4 @@
+import pickle
 import random
 
 import numpy as np
@@ -293,3 +294,29 @@ def test_orthonormal_against_svd():
     x[:, 3] = 0
     want, got = np.linalg.svd(x.astype(float))[0][:, :11], dc.orthonormal(x)
     assert got.shape == (500, 11) and np.allclose(np.abs((got * want).sum(0)), 1, atol=1e-3) and np.allclose(got.T @ got, np.eye(11), atol=1e-5)
+
+
+def test_driver_holds_no_table_of_the_fit(spark, make, monkeypatch):
+    """Nothing that the fit broadcasts or collects has the size of words by dimensions."""
+    rng = random.Random(41)
+    vocabulary = [f"d{i}" for i in range(24_000)]
+    docs = []
+    for _ in range(3):
+        rng.shuffle(vocabulary)
+        docs += [" ".join(vocabulary[a : a + 400]) for a in range(0, len(vocabulary), 400)]
+    docs, bench = make(list(enumerate(docs))), spark.createDataFrame([(1, "d1 d2 d3 d4")], "item_id long, text string")
+    broadcast, collect, seen = type(spark.sparkContext).broadcast, type(docs).collect, {"sent": 0, "got": 0}
+
+    def sending(context, value):
+        seen["sent"] = max(seen["sent"], len(pickle.dumps(value, 5)))
+        return broadcast(context, value)
+
+    def collecting(rows):
+        out = collect(rows)
+        seen["got"] = max(seen["got"], len(pickle.dumps([tuple(r) for r in out], 5)))
+        return out
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", sending)
+    monkeypatch.setattr(type(docs), "collect", collecting)
+    table = dc.train(docs, bench).space.vectors.nbytes
+    assert table > 5 << 20 and max(seen.values()) < table // 2, seen
