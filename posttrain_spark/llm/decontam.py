@@ -50,6 +50,8 @@ RANK, OVERSAMPLE, POWER = 64, 8, 2
 ROWS = 3
 #: Tasks that multiply with the rows of the fit, at least, and the rows of a task beyond that.
 FITTING, FIT_ROWS = 4, 1 << 19
+#: Rows of the fit that are written together, and the bytes of a row group of them, which Spark's reader unpacks at once.
+WRITTEN, GROUP_BYTES = 1 << 10, 16 << 20
 #: Rows that are multiplied together, and words of them that are gathered at once.
 TOGETHER, GATHERED = 1 << 16, 1 << 13
 #: Deletes the shuffled parts of a sum when it is there.
@@ -261,6 +263,16 @@ class Space:
         for at in np.array_split(held, max(1, len(held) // GATHERED)):  # no second table beside it
             vectors[row[at]] *= self.idf[at][:, None]
 
+    def sums(self, feats: np.ndarray) -> np.ndarray:
+        """Sums of the vectors of each row of features."""
+        out, step = np.empty((len(feats), self.vectors.shape[1]), np.float32), max(1, GATHERED // feats.shape[1])
+        held, ones = np.empty((step, feats.shape[1], out.shape[1]), np.float32), np.ones((1, feats.shape[1]), np.float32)
+        for a in range(0, len(feats), step):
+            row = self.row[feats[a : a + step]]
+            np.take(self.vectors, row, axis=0, mode="clip", out=held[: len(row)])  # any other mode gathers in a second table
+            np.matmul(ones, held[: len(row)], out=out[a : a + step, None])
+        return out
+
     def of(self, feats: np.ndarray) -> np.ndarray:
         """Direction of a passage; zeros if none of its words has a vector."""
         v = self.vectors[self.row[feats]].sum(0)
@@ -268,21 +280,20 @@ class Space:
 
 
 def fit(rows: DataFrame, idf: np.ndarray, rank: int = RANK) -> Space:
-    """Randomised SVD of TF-IDF rows (``features array<int>`` with repeats, ``scale float``: weight over length, ``item boolean``).
+    """Randomised SVD of TF-IDF rows as ``_passages`` packs them, with ``emphasis double``, their weight, and ``item boolean``.
 
-    Every product with the rows is a distributed job; the driver orthogonalises a table of words by dimensions.
+    Every product with the rows is a distributed job, which leaves the table of words by dimensions in the shared folder.
     """
     spark = rows.sparkSession
-    n = rows.count()
+    n = rows.agg(F.sum("passages")).first()[0] or 0
     rows = rows.coalesce(max(FITTING, n // FIT_ROWS))  # each task makes a table of words by dimensions
 
     def held(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
         total = np.zeros(FEATURES, np.int64)
-        for batch in batches:
-            flat, sizes = batch.column(0).flatten().to_numpy(), pc.list_value_length(batch.column(0)).to_numpy()
-            row, f = np.divmod(np.unique(np.repeat(np.arange(len(sizes)), sizes) * FEATURES + flat), FEATURES)
-            item = batch.column(2).to_numpy(zero_copy_only=False)
-            total += np.bincount(f, np.where(item, ROWS, 1)[row], FEATURES).astype(np.int64)
+        for words, sizes, _, item in _grouped(batches, 1):
+            first = np.r_[True, words[1:] != words[:-1]]  # a row's words are sorted
+            first[np.cumsum(sizes[:-1])] = True
+            total += np.bincount(words[first], np.repeat(np.where(item, ROWS, 1), sizes)[first], FEATURES).astype(np.int64)
         return total if total.any() else None
 
     count = summed(rows, held)
@@ -301,13 +312,13 @@ def fit(rows: DataFrame, idf: np.ndarray, rank: int = RANK) -> Space:
         def product(batches: Iterator[pa.RecordBatch], table=table) -> np.ndarray | None:
             q = total = None
             row, weight = shared.value
-            for lists, scale in _grouped(batches):
+            for words, sizes, scale, _ in _grouped(batches, TOGETHER):
                 if q is None:
                     q = table.read() if table else np.random.default_rng(5).standard_normal((shape[0] + 1, shape[1]), np.float32)
                     q[0] = 0
                     q[1:] *= weight
                     total = np.zeros_like(q)
-                add_product(q, row[lists.flatten().to_numpy()], pc.list_value_length(lists).to_numpy(), scale, total)
+                add_product(q, row[words], sizes, scale, total)
             if total is None or not total[1:].any():
                 return None
             total[1:] *= weight
@@ -412,17 +423,19 @@ def orthonormal(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.ListArray, np.ndarray]]:
-    """Lists and scales of ``TOGETHER`` rows or somewhat more at a time."""
+def _grouped(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Words in turn, and the size, the weight over length and the kind of each row, of ``least`` rows or somewhat more at a time."""
     held, n = [], 0
     for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n >= TOGETHER:
-            yield pa.concat_arrays([x.column(0) for x in held]), np.concatenate([x.column(1).to_numpy() for x in held])
-            held, n = [], 0
+        for count, words, sizes, scale, emphasis, item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            weight = (np.frombuffer(scale, np.float32) * np.float64(emphasis)).astype(np.float32)
+            held.append((np.frombuffer(words, np.int32), np.frombuffer(sizes, np.int32), weight, np.full(count, item)))
+            n += count
+            if n >= least:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held, n = [], 0
     if n:
-        yield pa.concat_arrays([x.column(0) for x in held]), np.concatenate([x.column(1).to_numpy() for x in held])
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
 def add_product(q: np.ndarray, words: np.ndarray, sizes: np.ndarray, scale: np.ndarray, total: np.ndarray) -> None:
@@ -454,7 +467,7 @@ def _add_runs(table: np.ndarray, index: np.ndarray, first: np.ndarray, counts: n
         for a in range(0, len(k), step):
             at = index[start[a : a + step, None] + np.arange(n)]
             rows = held[: at.size].reshape(*at.shape, -1)
-            np.take(table, at, axis=0, mode="clip", out=rows)  # any other mode gathers in a second table
+            np.take(table, at, axis=0, mode="clip", out=rows)
             out[place[k[a : a + step]]] += np.matmul(ones[:, :n], rows)[:, 0] if n > 1 else rows[:, 0]
 
 
@@ -598,10 +611,7 @@ class Block:
         rare, some = flat[marked], np.r_[0, np.cumsum(marked.reshape(-1, STEP).sum(1))]
         flat = flat.reshape(-1, STEP)
         for a in range(AROUND, int(base[-1]), AT_ONCE):
-            row = space.row[flat[a : a + AT_ONCE + widest]]
-            window = space.vectors[row[:, 0]]
-            for k in range(1, STEP):
-                window += space.vectors[row[:, k]]
+            window = space.sums(flat[a : a + AT_ONCE + widest])
             starts = flat[a : a + AT_ONCE, 0] > 0
             width = 1
             while width < widest:
@@ -732,10 +742,12 @@ def train(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, block_words:
     idf = weights(texts)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
     shared = spark.sparkContext.broadcast(idf)
-    kept = materialize(_passages(texts, shared, whole), "passages")
-    marked = materialize(_passages(items, shared, passages_of), "marked")
-    emphasis = EMPHASIS * (kept.count() / (4 * max(1, min(texts.count(), BESIDE)))) ** 0.5 or EMPHASIS
-    rows = kept.withColumn("item", F.lit(False)).unionByName(marked.select("features", (F.col("scale") * emphasis).cast("float").alias("scale"), F.lit(True).alias("item")))
+    packed = {"parquet.block.size": GROUP_BYTES}
+    kept = materialize(_passages(texts, shared, _wholes), "passages", packed)
+    marked = materialize(_passages(items, shared, _cuts), "marked", packed)
+    count = kept.agg(F.sum("passages")).first()[0] or 0
+    emphasis = EMPHASIS * (count / (4 * max(1, min(texts.count(), BESIDE)))) ** 0.5 or EMPHASIS
+    rows = kept.withColumns({"emphasis": F.lit(1.0), "item": F.lit(False)}).unionByName(marked.withColumns({"emphasis": F.lit(float(emphasis)), "item": F.lit(True)}))
     space = fit(rows, idf, rank)
     release(kept)
     release(marked)
@@ -744,25 +756,53 @@ def train(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, block_words:
 
 def whole(words: np.ndarray) -> list[np.ndarray]:
     """All words, in as few passages as can be, of about equal length."""
-    return np.array_split(words, max(1, -(-len(words) // PASSAGE)))
+    return np.split(words, np.cumsum(_whole_sizes(np.array([len(words)])))[:-1])
+
+
+def _whole_sizes(counts: np.ndarray) -> np.ndarray:
+    """The words of each passage of texts of so many words; 0 for a text without any."""
+    parts = np.maximum(1, -(-counts // PASSAGE))
+    place = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    return np.repeat(counts // parts, parts) + (place < np.repeat(counts % parts, parts))
+
 
+def _wholes(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return words, _whole_sizes(counts)
 
-def _passages(texts: DataFrame, idf: Broadcast, cut: Callable[[np.ndarray], list[np.ndarray]]) -> DataFrame:
-    """``features`` of every passage of every text, and ``scale``, one over the length of its TF-IDF row."""
+
+def _cuts(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    cut = [p for x in np.split(words, np.cumsum(counts)[:-1]) for p in passages_of(x)]
+    return np.concatenate([words[:0], *cut]), np.array([len(p) for p in cut], np.int64)
+
+
+def _passages(texts: DataFrame, idf: Broadcast, cut: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """The passages of all texts, packed as arrays, ``WRITTEN`` at a time: their number, the features of each in ascending
+    order with repeats, how many these are, and ``scale``, one over the length of a passage's TF-IDF row.
+
+    ``cut`` makes the passages' words in turn, and the size of each, of those of the texts.
+    """
 
     def run(batch: pa.RecordBatch) -> dict:
         words, counts = batch_words(batch.column(0))
-        codes, at = features(words), np.r_[0, np.cumsum(counts)]
-        out = [p for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True) for p in cut(codes[a:z]) if len(p)]
-        sizes = np.array([len(p) for p in out], np.int64)
-        flat = np.concatenate([np.zeros(0, np.int64), *out])
-        key, times = np.unique(np.repeat(np.arange(len(out)), sizes) * FEATURES + flat, return_counts=True)
-        row, f = np.divmod(key, FEATURES)
-        length = np.sqrt(np.bincount(row, (times * idf.value[f]) ** 2, len(out)))
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(flat, pa.int32()))
-        return {"features": lists, "scale": pa.array(1 / np.maximum(length, 1e-12), pa.float32())}
-
-    return map_batches(texts.select("text"), run, "features array<int>, scale float")
+        words, sizes = cut(features(words), counts)
+        sizes = sizes[sizes > 0]
+        bits = FEATURES.bit_length() - 1
+        key = np.repeat(np.arange(len(sizes)) << bits, sizes) | words
+        key.sort()
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+        times = np.diff(np.r_[first, len(key)])
+        length = np.sqrt(np.bincount(key[first] >> bits, (times * idf.value[key[first] & FEATURES - 1]) ** 2, len(sizes)))
+        flat, at = (key & FEATURES - 1).astype(np.int32), np.r_[0, np.cumsum(sizes)]
+        sizes, scale = sizes.astype(np.int32), (1 / np.maximum(length, 1e-12)).astype(np.float32)
+        cuts = [(a, min(a + WRITTEN, len(sizes))) for a in range(0, len(sizes), WRITTEN)]
+        return {
+            "passages": [z - a for a, z in cuts],
+            "words": [flat[at[a] : at[z]].tobytes() for a, z in cuts],
+            "sizes": [sizes[a:z].tobytes() for a, z in cuts],
+            "scale": [scale[a:z].tobytes() for a, z in cuts],
+        }
+
+    return map_batches(texts.select("text"), run, "passages long, words binary, sizes binary, scale binary")
 
 
 def find_leaks(docs: DataFrame, detector: Detector) -> DataFrame:

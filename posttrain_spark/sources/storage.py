@@ -50,11 +50,11 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back: cuts the lineage, survives lost executors."""
+def materialize(df: DataFrame, tag: str, options: dict | None = None) -> DataFrame:
+    """Writes ``df`` as Parquet to the shared folder and reads it back: cuts the lineage, survives lost executors. ``options``: of the writer."""
     spark = df.sparkSession
     at = fresh_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(at)
+    df.write.options(compression="zstd", **(options or {})).parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
     out._posttrain_path = at
     return out

@@ -320,3 +320,25 @@ def test_driver_holds_no_table_of_the_fit(spark, make, monkeypatch):
     monkeypatch.setattr(type(docs), "collect", collecting)
     table = dc.train(docs, bench).space.vectors.nbytes
     assert table > 5 << 20 and max(seen.values()) < table // 2, seen
+
+
+def test_packed_passages_against_plain_ones(spark, make, monkeypatch):
+    """Every word of every text is in a packed passage, with the length of its TF-IDF row; few rows hold them all."""
+    monkeypatch.setattr(dc, "WRITTEN", 100)
+    rng = random.Random(43)
+    words = [f"v{i}" for i in range(300)]
+    texts = [prose(rng, rng.choice((1, 2, 47, 48, 49, 96, 97, 500)), words) for _ in range(60)] + ["", " .", "x " * 200]
+    idf = np.random.default_rng(2).random(dc.FEATURES)
+    shared = spark.sparkContext.broadcast(idf)
+    for cut, plain in ((dc._wholes, dc.whole), (dc._cuts, dc.passages_of)):
+        rows = dc._passages(make(list(enumerate(texts))).coalesce(1), shared, cut).collect()
+        got = []
+        for r in rows:
+            sizes = np.frombuffer(bytes(r.sizes), np.int32)
+            assert r.passages == len(sizes) <= 100
+            got += zip((tuple(x) for x in np.split(np.frombuffer(bytes(r.words), np.int32).tolist(), np.cumsum(sizes)[:-1])), np.frombuffer(bytes(r.scale), np.float32), strict=True)
+        want = [np.sort(dc.features(p)) for t in texts for p in plain(dc.text_words(t)) if len(p)]
+        assert len(rows) < 10 and sorted(x for x, _ in got) == sorted(tuple(p) for p in want)
+        for x, scale in got:
+            f, times = np.unique(x, return_counts=True)
+            assert abs(scale * np.linalg.norm(times * idf[f.astype(int)]) - 1) < 1e-5
