@@ -1,3 +1,4 @@
+import pickle
 import random
 
 import corpus_pipeline as cp
@@ -61,3 +62,17 @@ def test_odd_rows_and_empty_tables(spark, make, odd, tmp_path):
     make([]).write.parquet(str(tmp_path / "b" / "documents.parquet"))
     items.limit(0).write.parquet(str(tmp_path / "b" / "benchmark.parquet"))
     assert cp.run(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_decontamination_collects_no_table(spark, tmp_path, monkeypatch):
+    """What the stage collects on the driver hasn't the size of words by dimensions."""
+    rng = random.Random(14)
+    words = [f"w{i}" for i in range(12_000)]
+    texts = [" ".join(x[a : a + 400]) for x in (rng.sample(words, len(words)) for _ in range(3)) for a in range(0, len(words), 400)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate([*texts, "x1 x2 x3 x4 x5"])], COLUMNS)
+    spark.createDataFrame([(1, "x1 x2 x3 x4 x5")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    collect, got = type(docs).collect, []
+    monkeypatch.setattr(type(docs), "collect", lambda rows: got.append(out := collect(rows)) or out)
+    kept = cp.benchmark_decontamination(spark, docs, str(tmp_path))
+    assert max(len(pickle.dumps([tuple(r) for r in x], 5)) for x in got) < len(words) * 64
+    assert {r.doc_id for r in collect(kept)} == set(range(len(texts)))
